@@ -26,15 +26,16 @@ def file_columns(path: Column) -> list[Column]:
 def fixed_windows(docs: DataFrame, id_col: str, size: int, overlap: int, text_col: str = "text") -> DataFrame:
     """Windows of ``size`` characters that share ``overlap`` with the one before; whole texts, no UDF.
 
-    Output: id, chunk_idx, start_index, text. The last window is the first one to reach the end.
+    Output: the other columns, chunk_idx, start_index, text. The last window is the first one to reach the end.
     """
     step = size - overlap
     n = F.length(text_col)
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    starts = docs.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
+    starts = docs.where(n > 0).select("*", F.explode_outer(F.sequence(F.lit(0), last)).alias("chunk_idx"))
     at = F.col("chunk_idx") * step
+    keep = [c for c in docs.columns if c != text_col]
     return starts.select(
-        F.col(id_col), F.col("chunk_idx").cast("long").alias("chunk_idx"), at.cast("long").alias("start_index"),
+        *keep, F.col("chunk_idx").cast("long").alias("chunk_idx"), at.cast("long").alias("start_index"),
         F.substring(F.col(text_col), at + 1, F.lit(size)).alias("text"))
 
 

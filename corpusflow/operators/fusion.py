@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
@@ -17,20 +18,17 @@ def rrf(primary: DataFrame, secondary: DataFrame, k: int = rules.RRF_K, limit: i
     order, then the secondary's. A query found in one list only keeps that list's own
     order and score.
     """
-    legs = primary.select("query_id", "chunk_id", "rank", "score", F.lit(0).alias("leg")).unionByName(
-        secondary.select("query_id", "chunk_id", "rank", "score", F.lit(1).alias("leg")))
-    fused = legs.groupBy("query_id", "chunk_id").agg(
-        F.min(F.when(F.col("leg") == 0, F.col("rank"))).alias("_r0"),
-        F.min(F.when(F.col("leg") == 1, F.col("rank"))).alias("_r1"),
-        F.max("score").alias("_own"),
-    )
-    both = legs.groupBy("query_id").agg(F.count_distinct("leg").alias("_legs"))
+    a = primary.select("query_id", "chunk_id", F.col("rank").alias("_r0"), F.col("score").alias("_s0"))
+    b = secondary.select("query_id", "chunk_id", F.col("rank").alias("_r1"), F.col("score").alias("_s1"))
+    j = a.join(b, ["query_id", "chunk_id"], "full")
+    w = W.partitionBy("query_id")
+    both = (F.count("_r0").over(w) > 0) & (F.count("_r1").over(w) > 0)
     part = [F.coalesce(1 / (F.lit(float(k)) + F.col(r) - 1), F.lit(0.0)) for r in ("_r0", "_r1")]
-    s = fused.join(both, "query_id").select(
+    s = j.withColumn("_both", both).select(
         "query_id", "chunk_id", "_r0", "_r1",
-        F.when(F.col("_legs") == 1, F.col("_own")).otherwise(F.round(part[0] + part[1], 9)).alias("score"),
+        F.when(F.col("_both"), F.round(part[0] + part[1], 9)).otherwise(F.coalesce("_s0", "_s1")).alias("score"),
         (F.col("_r0").isNotNull().cast("int") + F.col("_r1").isNotNull().cast("int")).alias("hits"),
-        F.when(F.col("_legs") == 1, F.coalesce("_r0", "_r1")).alias("_given"),
+        F.when(~F.col("_both"), F.coalesce("_r0", "_r1")).alias("_given"),
     )
     order = [F.asc_nulls_last("_given"), F.desc("score"), F.desc("hits"), F.asc_nulls_last("_r0"), F.asc_nulls_last("_r1")]
     n = limit if limit is not None else 2**31 - 1
@@ -64,48 +62,51 @@ def apply_rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return top_k(out, ["query_id"], [F.asc("_ord"), F.asc("chunk_id")], k).drop("_ord")
 
 
-def merge_parents(hits: DataFrame, parents: DataFrame, threshold: int = 2) -> DataFrame:
+def merge_parents(hits: DataFrame, parents: DataFrame, threshold: int = 2, counter: str = "replaced") -> DataFrame:
     """Replace children by their parent when at least ``threshold`` of them were found.
 
-    ``hits``: query_id, chunk_id, parent_chunk_id, score, rank. ``parents``: chunk_id,
-    parent_chunk_id. The parent takes the best child's score and the first child's place; a
-    parent that was itself among the hits stays a single row. ``replaced`` counts merged children.
+    ``hits``: query_id, chunk_id, parent_chunk_id, score, rank (a bounded list per query).
+    ``parents``: chunk_id, parent_chunk_id. The parent takes the best child's score and the first
+    child's place; a parent that was itself among the hits stays a single row. ``counter`` is
+    the number of children merged in this pass; counters of earlier passes are added up.
     """
-    if "replaced" not in hits.columns:
-        hits = hits.withColumn("replaced", F.lit(0).cast("long"))
-    key = F.when(F.trim("parent_chunk_id") != "", F.trim("parent_chunk_id"))
-    h = hits.withColumn("_p", key)
-    groups = h.where("_p is not null").groupBy("query_id", "_p").agg(
-        F.count("*").alias("n_children"), F.max("score").alias("best"), F.min("rank").alias("first_rank")
-    ).where(F.col("n_children") >= threshold)
-    parent = parents.select(F.col("chunk_id").alias("_p"), F.col("parent_chunk_id").alias("_pp"))
-    merged = groups.join(parent, "_p").select(
-        "query_id", F.col("_p").alias("chunk_id"), F.col("_pp").alias("parent_chunk_id"),
-        F.col("best").alias("score"), F.col("first_rank").alias("rank"), F.col("n_children").alias("replaced"))
-    kept = h.join(merged.select("query_id", F.col("chunk_id").alias("_p")), ["query_id", "_p"], "left_anti").drop("_p")
-    rows = kept.select(*merged.columns).unionByName(merged)
-    return first_per_key(rows, ["query_id", "chunk_id"], ["rank"]).select(*merged.columns)
+    earlier = [c for c in hits.columns if c.startswith("replaced")]
+    g = W.partitionBy("query_id", "_p")
+    h = hits.withColumn("_p", F.when(F.trim("parent_chunk_id") != "", F.trim("parent_chunk_id")))
+    h = h.withColumns({
+        "_n": F.count("_p").over(g), "_best": F.max("score").over(g), "_first": F.min("rank").over(g),
+        **{f"_sum_{c}": F.sum(c).over(g) for c in earlier},
+    }).withColumn("_p", F.when(F.col("_n") >= threshold, F.col("_p")))
+    j = h.join(parents.select(F.col("chunk_id").alias("_p"), F.col("parent_chunk_id").alias("_pp")), "_p", "left")
+    merged = F.col("_pp").isNotNull()
+    pick = lambda new, old: F.when(merged, F.col(new)).otherwise(F.col(old))
+    rows = j.select(
+        "query_id", pick("_p", "chunk_id").alias("chunk_id"), pick("_pp", "parent_chunk_id").alias("parent_chunk_id"),
+        pick("_best", "score").alias("score"), pick("_first", "rank").alias("rank"),
+        *[pick(f"_sum_{c}", c).alias(c) for c in earlier],
+        F.when(merged, F.col("_n")).otherwise(F.lit(0).cast("long")).alias(counter))
+    one = W.partitionBy("query_id", "chunk_id")
+    rows = rows.withColumns({
+        "_rn": F.row_number().over(one.orderBy("rank", F.desc(counter))),
+        **{c: F.max(c).over(one) for c in [*earlier, counter]},
+    })
+    return rows.where("_rn = 1").drop("_rn")
+
+
+def _two_passes(hits: DataFrame, parents: DataFrame, threshold: int) -> DataFrame:
+    return merge_parents(merge_parents(hits, parents, threshold, "replaced_1"), parents, threshold, "replaced_2")
 
 
 def auto_merge(hits: DataFrame, parents: DataFrame, k: int, threshold: int = 2) -> DataFrame:
     """Two merge passes (leaf to middle to root), best scores first, ``k`` per query."""
-    once = merge_parents(hits, parents, threshold)
-    twice = merge_parents(once, parents, threshold)
-    return top_k(twice.withColumnRenamed("rank", "_r"), ["query_id"], [F.desc("score"), F.asc("_r"), F.asc("chunk_id")], k).drop("_r")
+    rows = _two_passes(hits, parents, threshold).withColumnRenamed("rank", "_r")
+    return top_k(rows, ["query_id"], [F.desc("score"), F.asc("_r"), F.asc("chunk_id")], k).drop("_r")
 
 
 def auto_merge_meta(hits: DataFrame, parents: DataFrame, threshold: int = 2) -> DataFrame:
     """Per query: children replaced over both passes and passes that replaced any."""
-    def replaced(before, after):
-        new = after.join(before.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        return new.groupBy("query_id").agg(F.sum("replaced").alias("n"))
-
-    h0 = hits.withColumn("replaced", F.lit(0).cast("long"))
-    once = merge_parents(h0, parents, threshold)
-    twice = merge_parents(once, parents, threshold)
-    a = replaced(h0, once).withColumnRenamed("n", "n1")
-    b = replaced(once, twice).withColumnRenamed("n", "n2")
-    m = hits.select("query_id").distinct().join(a, "query_id", "left").join(b, "query_id", "left").fillna(0, ["n1", "n2"])
+    m = _two_passes(hits, parents, threshold).groupBy("query_id").agg(
+        F.sum("replaced_1").alias("n1"), F.sum("replaced_2").alias("n2"))
     total = F.col("n1") + F.col("n2")
     return m.select("query_id", (total > 0).alias("applied"), total.alias("replaced_chunks"),
                     ((F.col("n1") > 0).cast("int") + (F.col("n2") > 0).cast("int")).alias("steps"))

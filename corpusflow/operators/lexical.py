@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import salted_join, top_k
+from corpusflow.session import materialize
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, dl, term, tf): term counts with the document length ``dl`` in terms."""
     terms = docs.select(F.col(id_col), tx.index_terms(F.col(text_col)).alias("_terms"))
-    long = terms.select(id_col, F.size("_terms").cast("long").alias("dl"), F.explode("_terms").alias("term"))
-    return long.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    # the outer form keeps the optimizer from adding a filter that would tokenize each text again
+    long = terms.select(id_col, F.size("_terms").cast("long").alias("dl"), F.explode_outer("_terms").alias("term"))
+    return long.where("term is not null").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
     """One row: number of documents and mean length, documents without terms included."""
-    return docs.agg(
-        F.count("*").alias("n_docs"),
-        F.coalesce(F.avg(F.size(tx.index_terms(F.col(text_col)))), F.lit(1.0)).alias("avg_dl"),
-    )
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar()
+    n = docs.agg(F.count("*").alias("n_docs"))
+    return n.select("n_docs", F.when(F.col("n_docs") > 0, total / F.col("n_docs")).otherwise(1.0).alias("avg_dl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -81,13 +82,17 @@ def inner_product_top_k(
 
 
 class LexicalIndex:
-    """The three tables of an index over one text column."""
+    """The tables of an index over one text column.
+
+    Postings are written once to the shared work folder, so texts are tokenized once and
+    statistics and searches read the narrow table.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str = "text"):
         self.id_col = id_col
-        self.post = postings(docs, id_col, text_col)
+        self.post = materialize(postings(docs, id_col, text_col), "postings")
         self.df = document_frequency(self.post)
-        self.stats = corpus_stats(docs, text_col)
+        self.stats = corpus_stats(docs, self.post)
 
     def weights(self) -> DataFrame:
         return document_weights(self.post, self.df, self.stats, self.id_col)

@@ -15,7 +15,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     w = chunking.fixed_windows(docs, "doc_id", 500, 60)
     f = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     p = F.lit(0)
-    return w.join(docs.select("doc_id", "source"), "doc_id").select(
+    return w.select(
         "doc_id", "source", "chunk_idx", f.alias("filename"),
         chunking.chunk_id(f, p, 3, F.col("chunk_idx")).alias("chunk_id"),
         chunking.chunk_id(f, p, 2, F.floor(F.col("chunk_idx") / 2)).alias("parent_chunk_id"),

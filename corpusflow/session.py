@@ -27,6 +27,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the plans need.
+
+    Unions that keep a common partitioning zip their inputs, which fails in this Spark
+    version when adaptive execution gave them different partition counts.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (shared storage on a cluster).
 
