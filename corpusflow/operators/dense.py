@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.skew import top_k
 
@@ -139,13 +140,13 @@ def approximate_top_k(
     dim = chunks.select(F.size(vector)).first()[0]
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(v: pd.Series) -> pd.Series:
         b = (_matrix(v) @ planes > 0).reshape(len(v), tables, bits)
         code = (b * (1 << np.arange(bits))).sum(axis=2)
         return pd.Series(list(code + (np.arange(tables) << bits)))
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def probe_keys(v: pd.Series) -> pd.Series:
         p = (_matrix(v) @ planes).reshape(len(v), tables, bits)
         code = ((p > 0) * (1 << np.arange(bits))).sum(axis=2)
