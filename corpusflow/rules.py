@@ -63,3 +63,25 @@ AFFILIATION_WORDS = (
 CITE_BRACKET = r"\[(\d+(?:[,，]\s*\d+)*)\]"
 CITE_PAREN = r"\(([A-Z][a-z]+(?:\s+(?:&|and)\s+[A-Z][a-z]+)?),\s*(\d{4}[a-z]?)\)"
 CITE_INLINE = r"([A-Z][a-z]+)\s+et\s+al\.?\s*\((\d{4}[a-z]?)\)"
+
+# ---- topics, clarification, research reports -------------------------------
+ACADEMIC_TERMS = ("paper", "papers", "research", "survey", "rag", "method", "model")
+BROAD_MARKERS = ("相关", "内容", "看看", "研究", "介绍", "分析", "agent", "agents", "multi-agent")
+BRANCH_TEMPLATES = (
+    ("foundations and key concepts", "梳理核心概念、问题定义和技术脉络"),
+    ("latest methods and representative works", "检索近年代表性论文、方法和实验结论"),
+    ("applications, limitations and future directions", "总结应用价值、主要限制和后续研究机会"),
+)
+SECTION_SIGNALS = {
+    "abstract": ("abstract", "摘要"),
+    "introduction": ("introduction", "background", "引言", "背景"),
+    "method": ("method", "approach", "algorithm", "方法", "模型"),
+    "experiment": ("experiment", "evaluation", "result", "实验", "评估", "结果"),
+    "conclusion": ("conclusion", "discussion", "结论", "讨论"),
+    "references": ("references", "bibliography", "参考文献"),
+}
+ABLATION_WORDS = ("ablation", "baseline", "comparison", "消融", "基线", "对比")
+SLIDE_PLACEHOLDERS = ("bridge", "draft", "debug", "todo", "tbd", "placeholder")
+MANUSCRIPT_PLACEHOLDERS = ("plan", "research process", "内容待补充", "待补充", "研究过程", "研究阶段", "研究计划")
+CLOSING_WORDS = ("总结", "结论", "展望", "closing")
+OVERVIEW_WORDS = ("概览", "总览", "overview")
