@@ -1,5 +1,11 @@
 """Loads every catalog module, which registers its queries."""
 
-from corpusflow.plans import catalog_graph, catalog_ingest, catalog_retrieval, catalog_tabular  # noqa: F401
+from corpusflow.plans import (  # noqa: F401
+    catalog_graph,
+    catalog_ingest,
+    catalog_papers,
+    catalog_retrieval,
+    catalog_tabular,
+)
 
 FLAGSHIP = "t07_hybrid_retrieve"
