@@ -1,6 +1,7 @@
 """Loads every catalog module, which registers its queries."""
 
 from corpusflow.plans import (  # noqa: F401
+    catalog_context,
     catalog_graph,
     catalog_ingest,
     catalog_papers,

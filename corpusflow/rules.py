@@ -85,3 +85,79 @@ SLIDE_PLACEHOLDERS = ("bridge", "draft", "debug", "todo", "tbd", "placeholder")
 MANUSCRIPT_PLACEHOLDERS = ("plan", "research process", "内容待补充", "待补充", "研究过程", "研究阶段", "研究计划")
 CLOSING_WORDS = ("总结", "结论", "展望", "closing")
 OVERVIEW_WORDS = ("概览", "总览", "overview")
+
+# ---- context assembly --------------------------------------------------------
+MAX_TOKENS, RESERVE_RATIO, MIN_RELEVANCE = 3000, 0.2, 0.1
+MAX_HISTORY_MESSAGES, MAX_HISTORY_TURNS, MAX_EVIDENCE, MAX_CHARS = 12, 6, 6, 12000
+MODE_HINTS = {
+    "quick": "优先给出简短、直接、可靠的回答，不要展开过多推导。",
+    "router": "优先判断任务应该交给 quick 还是 deep。",
+    "deep": "优先基于证据做结构化、分步骤的回答。",
+}
+MODE_DEMANDS = {
+    "deep": "请优先基于证据回答；如信息不足，明确说明缺口；需要时给出分步骤分析。",
+    "quick": "请直接给出简洁、可靠的回答，避免展开不必要的推导。",
+    "router": "请根据当前问题判断路由倾向，只保留与路由相关的最小必要上下文。",
+}
+RELEVANCE = {"user_question": 1.0, "mode_hint": 0.95, "conversation_history": 0.6, "candidate_summary": 0.35}
+
+# ---- conversation compression ------------------------------------------------
+CONTEXT_WINDOW, TRIGGER_RATIO = 32000, 0.5
+HEAD_MESSAGES, TAIL_TOKENS = 3, 20000
+TOOL_ARG_MAX = 120
+THRASH_MIN_SAVINGS, THRASH_LIMIT = 0.1, 2
+
+# ---- memory and notes --------------------------------------------------------
+LOW_VALUE = (
+    "thanks", "thank you", "ok", "okay", "hello", "hi",
+    "收到", "谢谢", "好的", "知道了", "明白了", "随便", "无所谓",
+    "再见", "拜拜", "晚安", "早安",
+)
+LOW_VALUE_NOTES = (
+    "thanks", "thank you", "ok", "okay", "hello", "hi",
+    "收到", "谢谢", "好的", "知道了", "明白了", "随便", "无所谓",
+)
+DERIVABLE = (
+    "file path", "file structure", "code pattern",
+    "git commit", "git log", "pull request",
+    "the function", "the class", "the module",
+)
+MEMORY_TYPES = (
+    ("feedback", ("don't", "stop doing", "never do", "please don't", "shouldn't", "instead of", "not that",
+                  "不要", "别", "不应该", "不是这样", "改一下", "不是这个意思", "太长了", "简洁", "不对", "说错了", "理解错了", "你误会了")),
+    ("user", ("I prefer", "I like", "I usually", "my workflow", "I'm a", "我偏好", "我习惯", "我是", "我的研究方向", "我关注")),
+    ("project", ("deadline", "milestone", "target", "plan to", "scheduled", "next week", "by Friday",
+                 "截止", "目标", "计划", "下个月", "下周", "提交")),
+    ("reference", ("check the", "look at", "see the", "the file at", "external", "link", "url", "slack", "drive",
+                   "看一下", "参考", "链接", "文件在")),
+)
+MEMORY_ADVICE = {
+    "feedback": "**How to apply:** Check this before similar tasks.",
+    "project": "**How to apply:** Consider this when planning related work.",
+    "user": "**How to apply:** Tailor responses accordingly.",
+    "reference": "**How to apply:** Consult when the referenced resource is needed.",
+}
+INDEX_MAX_ENTRIES, INDEX_MAX_BYTES = 200, 25000
+HIGH_VALUE_KINDS = ("decision", "constraint", "summary", "preference", "blocker", "memory")
+HIGH_VALUE_HINTS = (
+    "important", "must", "should", "remember", "constraint",
+    "decision", "prefer", "always", "never", "key",
+    "important for later",
+    "重要", "必须", "约束", "决定", "偏好", "记住", "以后", "不要",
+)
+KIND_TO_TYPE = {
+    "decision": "project", "constraint": "feedback", "summary": "project",
+    "preference": "user", "blocker": "project", "memory": "reference",
+}
+NOTE_RULES = (
+    ("constraint", 0.92, ("must not", "must ", "never", "cannot", "can't", "avoid", "limit", "constraint", "required", "require",
+                          "do not", "don't", "必须", "务必", "一定要", "不能", "不要", "禁止", "避免", "限制", "约束", "要求")),
+    ("decision", 0.88, ("recommend", "should", "best", "choose", "decide", "decision", "prefer",
+                        "建议", "推荐", "应该", "最好", "选择", "决定")),
+    ("preference", 0.84, ("prefer", "like", "favorite", "favourite", "want", "rather", "偏好", "喜欢", "希望", "想要", "倾向")),
+    ("blocker", 0.8, ("blocked", "problem", "issue", "risk", "bug", "failure", "error", "问题", "风险", "错误", "失败", "缺陷", "阻塞")),
+    ("summary", 0.76, ("in summary", "to sum up", "overall", "key point", "key points", "summary", "总结", "概括", "要点", "重点", "结论")),
+    ("memory", 0.82, ("remember", "keep in mind", "note that", "long-term", "for later", "记住", "记忆", "以后", "后续", "长期", "留意")),
+)
+NOTE_SUMMARY_WORDS = ("important", "key", "crucial", "stable", "always", "must", "重要", "关键", "核心", "稳定", "总是", "必须")
+CACHE_THRESHOLD = 0.92
