@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,9 @@ def word_set(c: Column) -> Column:
 
 def contains_any(c: Column, words) -> Column:
     """True when the lower-case text holds any of the (lower-case) words."""
+    words = list(words)
+    if len(words) > 4:  # one pattern keeps the generated code small
+        return F.coalesce(c.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
     out = F.lit(False)
     for w in words:
         out = out | F.contains(c, F.lit(w))

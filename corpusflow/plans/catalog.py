@@ -2,6 +2,7 @@
 
 from corpusflow.plans import (  # noqa: F401
     catalog_context,
+    catalog_dialog,
     catalog_graph,
     catalog_ingest,
     catalog_papers,
