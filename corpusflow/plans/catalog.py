@@ -3,6 +3,7 @@
 from corpusflow.plans import (  # noqa: F401
     catalog_context,
     catalog_dialog,
+    catalog_eval,
     catalog_graph,
     catalog_ingest,
     catalog_papers,
