@@ -8,6 +8,7 @@ from corpusflow.plans import (  # noqa: F401
     catalog_ingest,
     catalog_papers,
     catalog_retrieval,
+    catalog_sources,
     catalog_tabular,
 )
 
