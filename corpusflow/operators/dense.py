@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.skew import top_k
+from corpusflow.operators.sparse import Best, ids_of
 
 BLOCK_ROWS = 4096
 BROADCAST_VALUES = 16_000_000  # 128 MB of doubles
@@ -51,19 +52,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _block_best(qid, qm, cid, cm, k: int, unit: bool) -> pd.DataFrame:
-    """The best ``k`` of one block per query, ties by id."""
-    if unit:
-        qm, cm = _unit(qm), _unit(cm)
+def _add_block(best: Best, first: int, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray) -> None:
+    """Add the products of a block of queries with a block of chunks to the running best."""
     s = np.round(qm @ cm.T, DIGITS) + 0.0
-    if len(cid) > k:
-        edge = np.partition(s, len(cid) - k, axis=1)[:, len(cid) - k]
-        qi, ci = np.nonzero(s >= edge[:, None])
-    else:
-        qi, ci = (x.ravel() for x in np.indices(s.shape))
-    out = pd.DataFrame({"query_id": qid[qi], "chunk_id": cid[ci], "score": s[qi, ci]})
-    out = out.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
-    return out.groupby("query_id", sort=False).head(k)
+    edge = best.edge[first:first + len(qm)]
+    if len(cid) > best.k:
+        kth = np.partition(s, len(cid) - best.k, axis=1)[:, len(cid) - best.k]
+        edge = np.maximum(edge, kth)
+    q, c = np.nonzero(s >= edge[:, None])
+    best.add(q + first, s[q, c], cid[c])
+
+
+def _scan_block(best: Best, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray) -> None:
+    step = max(1, BLOCK_ROWS * 1024 // max(1, len(cid)))
+    for i in range(0, len(qm), step):
+        _add_block(best, i, qm[i:i + step], cid, cm)
+
+
+def _frame(best: Best, qid: np.ndarray) -> pd.DataFrame:
+    ids = best.i if best.i is not None else np.zeros(0, np.int64)
+    return pd.DataFrame({"query_id": qid[best.q], "chunk_id": ids, "score": best.s})
 
 
 def exact_top_k(
@@ -77,7 +85,7 @@ def exact_top_k(
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact top-k by inner product or cosine.
 
-    Scores are matrix products inside tasks and each block keeps ``k`` rows per query, so the
+    Scores are matrix products inside tasks and each task keeps ``k`` rows per query, so the
     pairs never become rows. The query count is checked: a bounded batch is sent to
     all tasks and the chunks are scanned in place, without a shuffle; a larger one is cut into
     blocks of bounded size that meet every block of chunks once.
@@ -90,18 +98,17 @@ def exact_top_k(
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
     if size["values"] <= BROADCAST_VALUES:
         pdf = q.toPandas()  # at most BROADCAST_VALUES numbers
-        shared = q.sparkSession.sparkContext.broadcast(
-            (pdf["query_id"].to_numpy(), _matrix(pdf["v"]) if len(pdf) else np.zeros((0, 1))))
+        qm = _matrix(pdf["v"]) if len(pdf) else np.zeros((0, 1))
+        shared = q.sparkSession.sparkContext.broadcast((ids_of(pdf["query_id"]), _unit(qm) if unit else qm))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qid, qm = shared.value
+            best = Best(len(qid), k)
             for b in batches:
-                if not len(b) or not len(qid):
-                    continue
-                cid, cm = b["chunk_id"].to_numpy(), _matrix(b["v"])
-                step = max(1, BLOCK_ROWS * 1024 // max(1, len(cid)))
-                for i in range(0, len(qid), step):
-                    yield _block_best(qid[i:i + step], qm[i:i + step], cid, cm, k, unit)
+                if len(b) and len(qid):
+                    cm = _matrix(b["v"])
+                    _scan_block(best, qm, ids_of(b["chunk_id"]), _unit(cm) if unit else cm)
+            yield _frame(best, qid)
 
         local = c.mapInPandas(scan, schema)
     else:
@@ -113,9 +120,11 @@ def exact_top_k(
             "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-            return _block_best(a["query_id"].to_numpy(), _matrix(a["v"]), b["chunk_id"].to_numpy(), _matrix(b["v"]), k, unit)
+            qm, cm = (_matrix(x["v"]) if len(x) else np.zeros((0, 1)) for x in (a, b))
+            best = Best(len(a), k)
+            if len(a) and len(b):
+                _scan_block(best, _unit(qm) if unit else qm, ids_of(b["chunk_id"]), _unit(cm) if unit else cm)
+            return _frame(best, ids_of(a["query_id"]))
 
         local = qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb")).applyInPandas(meet, schema)
     return top_k(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

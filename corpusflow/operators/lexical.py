@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import salted_join, top_k
+from corpusflow.operators.sparse import sparse_top_k, term_vectors
 from corpusflow.session import materialize
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, dl, term, tf): term counts with the document length ``dl`` in terms."""
-    terms = docs.select(F.col(id_col), tx.index_terms(F.col(text_col)).alias("_terms"))
-    # the outer form keeps the optimizer from adding a filter that would tokenize each text again
-    long = terms.select(id_col, F.size("_terms").cast("long").alias("dl"), F.explode_outer("_terms").alias("term"))
-    return long.where("term is not null").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+def vectors(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, dl, terms, tfs): the term counts of every document, made in place."""
+    return term_vectors(docs.select(id_col, tx.index_text(F.col(text_col)).alias("_terms")), id_col, "_terms")
 
 
-def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
+def postings(vec: DataFrame, id_col: str) -> DataFrame:
+    """(id, dl, term, tf): the same as rows."""
+    long = vec.select(id_col, "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    return long.toDF(id_col, "dl", "term", "tf")
+
+
+def corpus_stats(vec: DataFrame) -> DataFrame:
     """One row: number of documents and mean length, documents without terms included."""
-    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar()
-    n = docs.agg(F.count("*").alias("n_docs"))
-    return n.select("n_docs", F.when(F.col("n_docs") > 0, total / F.col("n_docs")).otherwise(1.0).alias("avg_dl"))
+    return vec.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -54,83 +56,72 @@ def document_weights(post: DataFrame, df: DataFrame, stats: DataFrame, id_col: s
 
 
 def query_weights(queries: DataFrame, df: DataFrame, stats: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """BM25 weights of query terms against the corpus statistics; unseen terms get the highest idf.
-
-    The document frequencies are first cut to the terms the queries use.
-    """
+    """(id, term, weight, df): BM25 weights of query terms against the corpus statistics; unseen terms get the highest idf."""
     n, avg = _scalars(stats)
-    q = postings(queries, id_col, text_col)
-    # a term's frequency is one row: the query side can be skewed, so it is joined as the fact side
+    q = postings(vectors(queries, id_col, text_col), id_col)
+    # the query side may repeat a term often, the frequency table holds it once
     used = df.join(q.groupBy("term").agg(F.count("*").alias("_qn")), "term", "right")
     j = salted_join(q, used, "term", "_qn", F.xxhash64(id_col))
-    return j.select(id_col, "term", bm25(F.col("tf"), F.col("dl"), idf(F.col("df"), n), avg).alias("weight")).where("weight > 0")
-
-
-def inner_product_top_k(
-    doc_w: DataFrame, query_w: DataFrame, k: int, doc_id: str, query_id: str, digits: int = 9
-) -> DataFrame:
-    """(query, doc, score, rank): sparse inner product, best ``k`` per query.
-
-    The join is on terms, so only documents that share a term are scored, and partial sums
-    per (query, doc) combine before the shuffle. A small query side is broadcast by its
-    measured size; otherwise frequent terms split by the runtime skew handling.
-    """
-    q = query_w.select(F.col(query_id).alias("query_id"), "term", F.col("weight").alias("_qw"))
-    d = doc_w.select(F.col(doc_id).alias("chunk_id"), "term", F.col("weight").alias("_dw"))
-    scores = d.join(q, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("_qw") * F.col("_dw")), digits).alias("score"))
-    return top_k(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return j.select(id_col, "term", bm25(F.col("tf"), F.col("dl"), idf(F.col("df"), n), avg).alias("weight"), "df").where("weight > 0")
 
 
 class LexicalIndex:
     """The tables of an index over one text column.
 
-    Postings are written once to the shared work folder, so texts are tokenized once and
-    statistics and searches read the narrow table.
+    Term vectors are written once to the shared work folder; texts are tokenized once, without a shuffle, and
+    statistics and searches read the compact table.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str = "text"):
         self.id_col = id_col
-        self.post = materialize(postings(docs, id_col, text_col), "postings")
+        self.vec = materialize(vectors(docs, id_col, text_col), "vectors")
+        self.post = postings(self.vec, id_col)
         self.df = document_frequency(self.post)
-        self.stats = corpus_stats(docs, self.post)
+        self.stats = corpus_stats(self.vec)
 
     def weights(self) -> DataFrame:
+        """(id, term, weight) of all documents."""
         return document_weights(self.post, self.df, self.stats, self.id_col)
 
-    def query_side(self, queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:
-        return query_weights(queries, self.df, self.stats, query_id, text_col)
-
-    def weights_for(self, query_w: DataFrame) -> DataFrame:
-        """Document weights of the terms in the queries only: postings shrink before any shuffle of weights."""
-        used = query_w.select("term").distinct()
-        post = self.post.join(used, "term", "left_semi")
-        return document_weights(post, self.df.join(used, "term", "left_semi"), self.stats, self.id_col)
+    def scaled(self) -> DataFrame:
+        """Vectors with the document part of BM25, everything but the idf."""
+        avg = self.stats.select("avg_dl").scalar()
+        w = F.transform("tfs", lambda tf: bm25(tf.cast("double"), F.col("dl"), F.lit(1.0), F.col("_avg")))
+        v = self.vec.withColumn("_avg", avg)
+        return v.select(F.col(self.id_col).alias("chunk_id"), "dl", "terms", w.alias("weights"))
 
     def search(self, queries: DataFrame, query_id: str, k: int, text_col: str = "text") -> DataFrame:
-        q = self.query_side(queries, query_id, text_col)
-        return inner_product_top_k(self.weights_for(q), q, k, self.id_col, query_id)
+        """Inner product of query and document weights, best ``k`` per query."""
+        n = self.stats.select("n_docs").scalar()
+        q = query_weights(queries, self.df, self.stats, query_id, text_col)
+        e = q.where("df is not null").select(F.col(query_id).alias("query_id"), "term", (F.col("weight") * idf(F.col("df"), n)).alias("w"), F.lit(0).alias("qlen"))
+        return sparse_top_k(self.scaled(), e, k)
+
+    def match(self, queries: DataFrame, query_id: str, k: int, boost: float = 1.0, text_col: str = "text") -> DataFrame:
+        """Document weights of the distinct query terms added up."""
+        n = self.stats.select("n_docs").scalar()
+        t = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(tx.index_terms(F.col(text_col)))).alias("term")).where("term is not null")
+        used = self.df.join(t.groupBy("term").agg(F.count("*").alias("_qn")), "term")
+        e = salted_join(t, used, "term", "_qn", F.xxhash64("query_id")).select("query_id", "term", (idf(F.col("df"), n) * boost).alias("w"), F.lit(0).alias("qlen"))
+        return sparse_top_k(self.scaled(), e, k)
 
 
 def text_match(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int = 10) -> DataFrame:
     """Match query texts against one field: every query term counts once, the idf once."""
-    return field_scores({"text": 1.0}, docs, queries, id_col, query_id, k)
+    return LexicalIndex(docs, id_col).match(queries, query_id, k)
 
 
 def field_scores(
     fields: dict[str, float], docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int
 ) -> DataFrame:
-    """Best-field score: BM25 per field times its weight, the highest field counts per document."""
+    """Best-field score: BM25 per field times its weight, the highest field counts per document.
+
+    A document among the ``k`` best is among the ``k`` best of the field that gives its score, so the
+    best of every field are enough.
+    """
     legs = None
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tx.index_terms(F.col("text")))).alias("term"))
     for name, boost in fields.items():
-        idx = LexicalIndex(docs.where(F.col(name) != ""), id_col, name)
-        used = terms.select("term").distinct()
-        w = document_weights(idx.post.join(used, "term", "left_semi"), idx.df.join(used, "term", "left_semi"), idx.stats, id_col)
-        s = (
-            w.join(terms, "term")
-            .groupBy("query_id", F.col(id_col).alias("chunk_id"))
-            .agg((F.sum("weight") * boost).alias("s"))
-        )
+        s = LexicalIndex(docs.where(F.col(name) != ""), id_col, name).match(queries, query_id, k, boost).drop("rank")
         legs = s if legs is None else legs.unionByName(s)
-    best = legs.groupBy("query_id", "chunk_id").agg(F.round(F.max("s"), 9).alias("score"))
+    best = legs.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import first_per_key, top_k
+from corpusflow.operators.sparse import sparse_top_k
 
 WORD = r"0-9A-Za-z_一-鿿"
 
@@ -70,10 +73,12 @@ def duplicates(rows: DataFrame, id_col: str, title: str = "title", content: str
     # a set of n characters shares at least one of its n - ceil(0.8 n) + 1 rarest with any set that similar
     ordered = pos.withColumn("r", F.row_number().over(W.partitionBy("t", "sig").orderBy("f", "c")))
     pre = ordered.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    lo = pre.select("t", "c", F.col("sig").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"))
-    hi = pre.select("t", "c", F.col("sig").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"))
+    # sizes of similar sets differ by at most the factor 1 / 0.8, so their bands are equal or neighbours
+    band = F.floor(F.log("n") / math.log(1 / threshold))
+    lo = pre.select("t", "c", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("sig").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"))
+    hi = pre.select("t", "c", band.alias("band"), F.col("sig").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"))
     near = (F.col("fa") < F.col("fb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    cand = lo.join(hi, ["t", "c"]).where(near).select("t", "a", "b", "fb").distinct()
+    cand = lo.join(hi, ["t", "c", "band"]).where(near).select("t", "a", "b", "fb").distinct()
     sa, sb = F.split("a", ""), F.split("b", "")
     inter = F.size(F.array_intersect(F.array_remove(sa, ""), F.array_remove(sb, "")))
     union = F.size(F.array_union(F.array_remove(sa, ""), F.array_remove(sb, "")))
@@ -127,17 +132,12 @@ def words(c: Column) -> Column:
 
 
 def recall(memories: DataFrame, queries: DataFrame, k: int = 3, memory_id: str = "memory_id") -> DataFrame:
-    """(query_id, memory, score, rank): ten times the Jaccard overlap of words, best ``k`` per query.
-
-    The words are the join key, so only memories that share a word are scored.
-    """
-    m = memories.select(F.col(memory_id).alias("chunk_id"), words(F.concat_ws(" ", "title", "description")).alias("w"))
+    """(query_id, memory, score, rank): ten times the Jaccard overlap of words, best ``k`` per query."""
+    m = memories.select(F.col(memory_id).alias("chunk_id"), words(F.concat_ws(" ", "title", "description")).alias("terms"))
+    m = m.select("chunk_id", F.size("terms").alias("dl"), "terms", F.transform("terms", lambda t: F.lit(1.0)).alias("weights"))
     q = queries.select("query_id", words(F.col("text")).alias("w"))
-    mt = m.select("chunk_id", F.size("w").alias("nm"), F.explode_outer("w").alias("t")).where("t is not null")
-    qt = q.select("query_id", F.size("w").alias("nq"), F.explode_outer("w").alias("t")).where("t is not null")
-    c = mt.join(qt, "t").groupBy("query_id", "chunk_id", "nm", "nq").agg(F.count("*").alias("o"))
-    s = c.select("query_id", "chunk_id", F.round(F.col("o") / (F.col("nm") + F.col("nq") - F.col("o")) * 10.0, 9).alias("score"))
-    return top_k(s, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    e = q.select("query_id", F.size("w").alias("qlen"), F.explode_outer("w").alias("term"), F.lit(1.0).alias("w")).where("term is not null")
+    return sparse_top_k(m, e, k, jaccard=True)
 
 
 # ---- notes ---------------------------------------------------------------------
