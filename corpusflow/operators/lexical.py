@@ -92,18 +92,20 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, query_id: str, k: int, text_col: str = "text") -> DataFrame:
         """Inner product of query and document weights, best ``k`` per query."""
-        n = self.stats.select("n_docs").scalar()
-        q = query_weights(queries, self.df, self.stats, query_id, text_col)
-        e = q.where("df is not null").select(F.col(query_id).alias("query_id"), "term", (F.col("weight") * idf(F.col("df"), n)).alias("w"), F.lit(0).alias("qlen"))
-        return sparse_top_k(self.scaled(), e, k)
+        n, avg = _scalars(self.stats)
+        q = postings(vectors(queries, query_id, text_col), query_id)
+        # terms without a document cannot score, so the small side may be sent to the frequency table
+        i = idf(F.col("df"), n)
+        e = q.join(self.df, "term").select(
+            F.col(query_id).alias("query_id"), "term", (bm25(F.col("tf"), F.col("dl"), i, avg) * i).alias("w"), F.lit(0).alias("qlen")).where("w > 0")
+        return sparse_top_k(self.scaled(), materialize(e, "query-terms"), k)
 
     def match(self, queries: DataFrame, query_id: str, k: int, boost: float = 1.0, text_col: str = "text") -> DataFrame:
         """Document weights of the distinct query terms added up."""
         n = self.stats.select("n_docs").scalar()
         t = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(tx.index_terms(F.col(text_col)))).alias("term")).where("term is not null")
-        used = self.df.join(t.groupBy("term").agg(F.count("*").alias("_qn")), "term")
-        e = salted_join(t, used, "term", "_qn", F.xxhash64("query_id")).select("query_id", "term", (idf(F.col("df"), n) * boost).alias("w"), F.lit(0).alias("qlen"))
-        return sparse_top_k(self.scaled(), e, k)
+        e = t.join(self.df, "term").select("query_id", "term", (idf(F.col("df"), n) * boost).alias("w"), F.lit(0).alias("qlen"))
+        return sparse_top_k(self.scaled(), materialize(e, "query-terms"), k)
 
 
 def text_match(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int = 10) -> DataFrame:

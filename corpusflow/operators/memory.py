@@ -12,6 +12,7 @@ from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import first_per_key, top_k
 from corpusflow.operators.sparse import sparse_top_k
+from corpusflow.session import materialize
 
 WORD = r"0-9A-Za-z_一-鿿"
 
@@ -66,7 +67,9 @@ def duplicates(rows: DataFrame, id_col: str, title: str = "title", content: str
     """
     n = rows.select(F.col(id_col).alias("id"), tx.cache_key_text(F.col(title)).alias("t"), _chars(tx.cache_key_text(F.col(content))).alias("s"))
     n = n.withColumn("sig", F.array_join("s", ""))
-    sets = n.groupBy("t", "sig").agg(F.min("id").alias("first"), F.first("s").alias("s"))
+    n = materialize(n.select("id", "t", "sig"), "titles")
+    sets = n.groupBy("t", "sig").agg(F.min("id").alias("first"))
+    sets = materialize(sets.withColumn("s", F.array_remove(F.split("sig", ""), "")), "character-sets")
     repeated = n.join(sets.select("t", "sig", "first"), ["t", "sig"]).where("id <> first").select("id")
     freq = sets.select(F.explode("s").alias("c")).groupBy("c").agg(F.count("*").alias("f"))  # one row per character in use
     pos = sets.select("t", "sig", "first", F.size("s").alias("n"), F.explode("s").alias("c")).join(freq, "c")
@@ -137,7 +140,7 @@ def recall(memories: DataFrame, queries: DataFrame, k: int = 3, memory_id: str =
     m = m.select("chunk_id", F.size("terms").alias("dl"), "terms", F.transform("terms", lambda t: F.lit(1.0)).alias("weights"))
     q = queries.select("query_id", words(F.col("text")).alias("w"))
     e = q.select("query_id", F.size("w").alias("qlen"), F.explode_outer("w").alias("term"), F.lit(1.0).alias("w")).where("term is not null")
-    return sparse_top_k(m, e, k, jaccard=True)
+    return sparse_top_k(m, materialize(e, "query-terms"), k, jaccard=True)
 
 
 # ---- notes ---------------------------------------------------------------------

@@ -8,7 +8,7 @@ from corpusflow.operators import context, lexical
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.catalog_retrieval import SPARSE
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 from corpusflow.session import materialize
 
 # questions are the benchmark items; conversation of the same id is their session
@@ -26,7 +26,7 @@ def _history(spark, d):
 
 
 def _candidates(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     hits = lexical.LexicalIndex(docs, "doc_id").search(fx.queries(spark, d), "query_id", 8)
     kn = hits.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id").withColumnRenamed("rank", "pos")
     notes = table(spark, d, "conversations").where("role = 'system'").select(

@@ -7,7 +7,8 @@ from corpusflow.functions import text as tx
 from corpusflow.operators import cache, conversation, dense, memory
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
+from corpusflow.session import materialize
 
 # assistant messages alternate between a tool call (turn % 4 = 1) and a tool result (turn % 4 = 3)
 MSG = """msg as (select conv_id as session_id, turn as seq, case when role = 'assistant' and turn % 4 = 3 then 'tool' else role end as role, text as content,
@@ -60,7 +61,7 @@ z as (select *, case when no <= 3 then 'head' when back <= 150 or rno = 1 then '
 
 
 def _zones(spark, d):
-    return conversation.zones(_messages(spark, d), 3, 150)
+    return materialize(conversation.zones(_messages(spark, d), 3, 150), "zones")
 
 
 @query("m04_zones", f"with {ZONES} select session_id, seq, tokens, zone from z")
@@ -88,7 +89,7 @@ su as (select session_id, concat_ws(chr(10), '{conversation.HANDOFF}', '## Activ
 
 
 def _summary(spark, d):
-    z = conversation.align_pairs(_zones(spark, d))
+    z = materialize(conversation.align_pairs(_zones(spark, d)), "zones")
     return z, conversation.middle_summary(z)
 
 
@@ -242,7 +243,7 @@ rs as (select query_id, chunk_id, round(len(list_intersect(m.w, q.w)) / len(list
 
 
 def _recall(spark, d, k):
-    m = table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.left("text", F.lit(60)).alias("title"), F.left("text", F.lit(100)).alias("description"))
+    m = texts(spark, d).select(F.col("doc_id").alias("memory_id"), F.left("text", F.lit(60)).alias("title"), F.left("text", F.lit(100)).alias("description"))
     return memory.recall(m, fx.queries(spark, d), k)
 
 

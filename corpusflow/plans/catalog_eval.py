@@ -9,7 +9,7 @@ from corpusflow.operators import evaluate, guard, traces
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.catalog_dialog import LOWV, MSG, RECALL, _filled, _messages, _recall
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 from corpusflow.operators import memory
 
 
@@ -70,7 +70,7 @@ rs as (select *, round({' + '.join(f'{n}::int * {w}::double' for n, w in rules.S
 
 
 def _results(spark, d):
-    j = _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
+    j = texts(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
     n, t = F.col("n_chars"), F.col("text")
     r = j.select(
         "doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("route_correct"), (n % 2 == 0).alias("tool_correct"), (n % 3 != 0).alias("tool_args_correct"),
@@ -493,7 +493,7 @@ select doc_id, greatest(0.0::double, {', '.join(f'case when m_{n} then {w}::doub
  concat_ws(',', {', '.join(f"case when m_{n} then '{n}' end" for n, _, _ in rules.INJECTION_RULES)}, case when m_x then 'excessive_instruction_keywords' end) as matched,
  {' or '.join(f'm_{n}' for n, _, _ in rules.INJECTION_RULES)} as blocked from m""")
 def _(spark, d):
-    return guard.injection_report(_docs(spark, d).select("doc_id", _attacked().alias("text")), "doc_id")
+    return guard.injection_report(texts(spark, d).select("doc_id", _attacked().alias("text")), "doc_id")
 
 
 @query("g03_excessive_instructions", f"select doc_id, len(regexp_extract_all(t, '{rules.INSTRUCTION_WORDS}'))::int as n_words, {EXC} as excessive from (select doc_id, text || repeat(' you must, please', (doc_id % 5)::int) as t from documents)")
@@ -511,7 +511,7 @@ def _redact_sql():
 
 @query("g04_redact", f"with x as (select doc_id, {ATT} as t from documents), r as (select doc_id, {_redact_sql()} as r from x) select doc_id, case when length(r) > 2000 then left(r, 2000) || '...[truncated]' else r end as text from r")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", guard.redact(_attacked()).alias("text"))
+    return texts(spark, d).select("doc_id", guard.redact(_attacked()).alias("text"))
 
 
 @query("g05_authorized", "select event_id from events where not (event_type = 'error' and user_id % 2 = 0) and (user_id % 3 <> 0 or event_type in ('view', 'click'))")
@@ -537,4 +537,4 @@ def _clean_sql(c):
 @query("g06_clean_snippet", f"""with x as (select page_id, {_clean_sql("(html || ' ![a](b) [Link text](http://x) Search Sign in Search help |')")} as t from pages)
 select page_id, case when length(t) > 320 then rtrim(left(t, 317), {sq.BLANKS}) || '...' else t end as snippet from x""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", guard.clean_snippet(F.concat("html", F.lit(" ![a](b) [Link text](http://x) Search Sign in Search help |"))).alias("snippet"))
+    return texts(spark, d, "pages").select("page_id", guard.clean_snippet(F.concat("html", F.lit(" ![a](b) [Link text](http://x) Search Sign in Search help |"))).alias("snippet"))

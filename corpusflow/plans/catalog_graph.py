@@ -8,7 +8,7 @@ from corpusflow.functions.skew import top_k
 from corpusflow.operators import dense, graph, ranking
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 from corpusflow.session import materialize
 
 
@@ -82,7 +82,7 @@ links as (select 'paper/' || doc_id as from_entity, 'keyword/' || term as to_ent
 
 
 def _keywords(spark, d):
-    return graph.keywords(table(spark, d, "documents"), "doc_id", "text")
+    return graph.keywords(texts(spark, d), "doc_id", "text")
 
 
 def _tables(spark, d):
@@ -201,7 +201,7 @@ def _(spark, d):
 
 @query("e02_keyword_terms", f"select doc_id, array_to_string({KEYWORD_TERMS}, ' ') as terms from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(tx.keyword_terms(F.col("text")), " ").alias("terms"))
+    return texts(spark, d).select("doc_id", F.array_join(tx.keyword_terms(F.col("text")), " ").alias("terms"))
 
 
 AUTHORS = "upper(left(lang, 1)) || substr(lang, 2)"

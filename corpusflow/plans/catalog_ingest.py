@@ -6,7 +6,7 @@ from corpusflow.functions import text as tx
 from corpusflow.operators import chunking, ingest
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 
 LISTING = """listing as (select source || '/doc' || doc_id || '.md' as path, n_chars as size, (1704067200 + doc_id) * 1000000000 as mtime_ns from documents),
 manifest as (select path, case when size % 7 = 0 then size + 1 else size end as size, mtime_ns, timestamp '2024-01-01' as indexed_at
@@ -48,7 +48,7 @@ def _(spark, d):
 
 
 def _with_name(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text")
+    t = texts(spark, d).select("doc_id", "text")
     return t.withColumns({"filename": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")), "page_number": F.lit(0)})
 
 
@@ -107,12 +107,12 @@ NORM = sq.strip(r"regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t
 
 @query("i10_normalize_text", f"select doc_id, {NORM} as text from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
 
 
 @query("i11_html_text")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", ingest.html_text(F.col("html")).alias("text"))
+    return texts(spark, d, "pages").select("page_id", ingest.html_text(F.col("html")).alias("text"))
 
 
 @query("i12_preview", f"select doc_id, case when length(text) <= 300 then text else rtrim(substr(text, 1, 300), {sq.BLANKS}) || '...' end as preview from documents")

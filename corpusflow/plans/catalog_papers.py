@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 from corpusflow.operators import papers
 from corpusflow.plans import sqlkit as sq
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return texts(spark, d)
 
 
 @query("p01_abstract_from_index", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as abstract from documents")

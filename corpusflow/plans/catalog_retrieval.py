@@ -7,27 +7,27 @@ from corpusflow.functions import text as tx
 from corpusflow.operators import dense, fusion, lexical
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import query, table, texts
 
 K = 10
 
 
 @query("t01_index_terms", f"select doc_id, len(t) as n_terms, array_to_string(t, ' ') as terms from (select doc_id, {sq.terms('text')} as t from documents)")
 def _(spark, d):
-    t = table(spark, d, "documents").select("doc_id", tx.index_terms(F.col("text")).alias("t"))
+    t = texts(spark, d).select("doc_id", tx.index_terms(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
 @query("t02_corpus_stats", f"with {sq.lexical('documents', 'doc_id')} select term, df, n as n_docs, round(avg_dl, 6) as avg_dl from dfreq, stats")
 def _(spark, d):
-    idx = lexical.LexicalIndex(table(spark, d, "documents"), "doc_id")
+    idx = lexical.LexicalIndex(texts(spark, d), "doc_id")
     return idx.df.select("term", "df", idx.stats.select("n_docs").scalar().alias("n_docs"),
                          F.round(idx.stats.select("avg_dl").scalar(), 6).alias("avg_dl"))
 
 
 @query("t03_bm25_weights", f"with {sq.lexical('documents', 'doc_id')} select id as doc_id, term, round(w, 6) as weight from dw where w > 0")
 def _(spark, d):
-    w = lexical.LexicalIndex(table(spark, d, "documents"), "doc_id").weights()
+    w = lexical.LexicalIndex(texts(spark, d), "doc_id").weights()
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -37,7 +37,7 @@ OUT = "query_id, chunk_id, round(score, 6) as score, rank"
 
 
 def _sparse(spark, d, k):
-    return lexical.LexicalIndex(table(spark, d, "documents"), "doc_id").search(fx.queries(spark, d), "query_id", k)
+    return lexical.LexicalIndex(texts(spark, d), "doc_id").search(fx.queries(spark, d), "query_id", k)
 
 
 def _out(df):
@@ -99,7 +99,7 @@ def _(spark, d):
 
 
 def _fields(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     lines = F.split("text", "\n")
     return docs.select("doc_id", "text", F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("h1"),
                        F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("h2"))
@@ -290,7 +290,7 @@ def _(spark, d):
 qt as (select distinct item_id as query_id, unnest({sq.terms('text')}) as term from benchmark),
 b as (select query_id, id as chunk_id, round(sum(w), 9) as score from dw join qt using (term) group by all), {sq.ranked('b', K, 'o')} select {OUT} from o""")
 def _(spark, d):
-    return _out(lexical.text_match(table(spark, d, "documents"), fx.queries(spark, d), "doc_id", "query_id", K))
+    return _out(lexical.text_match(texts(spark, d), fx.queries(spark, d), "doc_id", "query_id", K))
 
 
 @query("t22_dimension_check", "select count(*) as n, min(len(embedding))::int as min_dim, max(len(embedding))::int as max_dim, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings")

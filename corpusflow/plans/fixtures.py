@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators import chunking
-from corpusflow.plans.registry import table
+from corpusflow.plans.registry import table, texts
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Leaf chunks (windows of 500 characters) of all documents, with parent and root ids."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, d).select("doc_id", "source", "text")
     w = chunking.fixed_windows(docs, "doc_id", 500, 60)
     f = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     p = F.lit(0)

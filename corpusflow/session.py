@@ -59,3 +59,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan over at least as many partitions as there are cores.
+
+    Only inputs of few files are moved, so that row-local text work uses the whole machine; a table with enough
+    splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
