@@ -14,7 +14,7 @@ from corpusflow.session import materialize
 
 def vectors(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, dl, terms, tfs): the term counts of every document, made in place."""
-    return term_vectors(docs.select(id_col, tx.index_text(F.col(text_col)).alias("_terms")), id_col, "_terms")
+    return term_vectors(docs, id_col, text_col, tx.index_words, tx.index_pieces)
 
 
 def postings(vec: DataFrame, id_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ emits at most ``k`` rows per query.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +54,27 @@ def ids_of(column) -> np.ndarray:
     return a.astype(str) if a.dtype == object else a
 
 
-def term_vectors(docs: DataFrame, id_col: str, prepared: str) -> DataFrame:
-    """(id, dl, terms, tfs) from a column of blank-separated terms; row-local, nothing is shuffled."""
+def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[str], list[str]], pieces: Callable[[str], list[str]]) -> DataFrame:
+    """(id, dl, terms, tfs) of whole texts; row-local, nothing is shuffled.
+
+    ``words`` cuts a text, ``pieces`` turns a word into its terms and is asked once per distinct word and task.
+    """
     t = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for b in batches:
             terms, tfs, ends, dl = [], [], [0], []
+            if len(known) > 1_000_000:
+                known.clear()
             for text in b.column(1).to_pylist():
-                c = Counter(text.split()) if text else {}
+                c: dict[str, int] = {}
+                for word, n in Counter(words(text)).items() if text else ():
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = pieces(word)
+                    for term in found:
+                        c[term] = c.get(term, 0) + n
                 terms.extend(c)
                 tfs.extend(c.values())
                 ends.append(len(terms))
@@ -72,7 +84,7 @@ def term_vectors(docs: DataFrame, id_col: str, prepared: str) -> DataFrame:
                 [b.column(0), pa.array(dl, pa.int64()), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())),
                  pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))], names=[id_col, "dl", "terms", "tfs"])
 
-    return docs.select(id_col, prepared).mapInArrow(count, f"{id_col} {t}, dl long, terms array<string>, tfs array<int>")
+    return docs.select(id_col, text_col).mapInArrow(count, f"{id_col} {t}, dl long, terms array<string>, tfs array<int>")
 
 
 def _queries(entries: pa.Table) -> tuple:
