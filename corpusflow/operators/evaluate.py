@@ -78,6 +78,12 @@ def _share(c: Column) -> Column:
     return F.coalesce(F.round(F.avg(c.cast("double")), 4), F.lit(0.0))
 
 
+def _mean_score(c: Column) -> Column:
+    """Mean of four-digit scores, rounded half up to four digits in whole numbers, so that no order of adding matters."""
+    s, n = F.sum(F.round(c * 10000).cast("long")), F.count(c)
+    return F.coalesce(F.when(n > 0, F.floor((2 * s + n) / (2 * n)) / 10000), F.lit(0.0))
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """One row of totals, rates and means; zeros when there are no results."""
     c = F.col
@@ -87,7 +93,7 @@ def summarize(results: DataFrame) -> DataFrame:
         _share(yes("route_correct")).alias("route_accuracy"), _share(yes("tool_correct")).alias("tool_accuracy"),
         _share(yes("tool_args_correct")).alias("tool_args_accuracy"), _share(yes("keyword_hit")).alias("keyword_hit_rate"),
         _share(yes("evidence_hit")).alias("evidence_hit_rate"),
-        F.coalesce(F.round(F.avg("latency_ms"), 2), F.lit(0.0)).alias("avg_latency_ms"), _share(c("score")).alias("avg_score"))
+        F.coalesce(F.round(F.avg("latency_ms"), 2), F.lit(0.0)).alias("avg_latency_ms"), _mean_score(c("score")).alias("avg_score"))
 
 
 def failure_class() -> list[Column]:

@@ -86,7 +86,7 @@ def _(spark, d):
 
 
 @query("v07_summary", f"""with {RES} select count(*) as total_cases, count(*) filter (score >= 0.75) as passed_cases, round(avg(route_correct::int), 4) as route_accuracy, round(avg(tool_correct::int), 4) as tool_accuracy,
- round(avg(tool_args_correct::int), 4) as tool_args_accuracy, round(avg(keyword_hit::int), 4) as keyword_hit_rate, round(avg(evidence_hit::int), 4) as evidence_hit_rate, round(avg(latency_ms), 2) as avg_latency_ms, round(avg(score), 4) as avg_score from rs""")
+ round(avg(tool_args_correct::int), 4) as tool_args_accuracy, round(avg(keyword_hit::int), 4) as keyword_hit_rate, round(avg(evidence_hit::int), 4) as evidence_hit_rate, round(avg(latency_ms), 2) as avg_latency_ms, floor((2 * sum(round(score * 10000)::bigint) + count(*)) / (2 * count(*))) / 10000 as avg_score from rs""")
 def _(spark, d):
     return evaluate.summarize(_results(spark, d))
 
