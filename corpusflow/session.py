@@ -39,13 +39,16 @@ def prepare(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (shared storage on a cluster).
 
-    Only when the session names no folder, as in tests, a temporary one is set.
+    Only where the session names no folder one is set: a temporary one on a local master, as in tests, else one
+    below the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="corpusflow-")
+        if spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="corpusflow-")
+        else:  # the warehouse is shared by all executors
+            base = spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpusflow/{label}-{uuid.uuid4().hex}"
 
