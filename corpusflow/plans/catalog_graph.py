@@ -194,7 +194,10 @@ def _(spark, d):
     return _turns(spark, d).select("conv_id", "turn", ranking.is_ambiguous(F.col("text")).alias("ambiguous"))
 
 
-@query("e01_slug")
+SLUG = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^\x00-\x7f]', '', 'g'), '[ /\\]', '-', 'g'), '[,''"()\[\]:;]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"""
+
+
+@query("e01_slug", "select doc_id, " + SLUG.replace("{c}", sq.strip("left(text, 60)")) + " as slug from documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", graph.slug(F.left("text", F.lit(60))).alias("slug"))
 
