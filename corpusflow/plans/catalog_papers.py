@@ -238,7 +238,11 @@ def _(spark, d):
     return papers.outline_items(e, "query_id", "doc_id")
 
 
-@query("p15_report_sections")
+@query("p15_report_sections", r"""with l as (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select doc_id, string_split(regexp_replace(text, '\n([A-M])', chr(10) || '## \1', 'g'), chr(10)) as x from documents)),
+c as (select doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) as t from l), s as (select *, sum((t like '## %')::int) over (partition by doc_id order by i)::bigint as sec from c),
+h as (select doc_id, sec, trim(substr(t, 4)) as title from s where t like '## %'),
+b as (select doc_id, sec, row_number() over (partition by doc_id, sec order by i) - 1 as bullet, regexp_replace(t, '^- ', '') as text from s where sec > 0 and t <> '' and not starts_with(t, '#'))
+select doc_id, sec - 1 as section, title, bullet, text from h left join b using (doc_id, sec) where title <> ''""")
 def _(spark, d):
     t = F.regexp_replace("text", r"\n([A-M])", "\n## $1")
     return papers.report_sections(_docs(spark, d).select("doc_id", t.alias("text")), "doc_id")
