@@ -85,7 +85,11 @@ def _(spark, d):
     return chunking.markdown_sections(table(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id")
 
 
-@query("i08_merge_small_chunks")
+@query("i08_merge_small_chunks", """with recursive q as (select doc_id, unnest(x) as text, generate_subscripts(x, 1) as pos from (select doc_id, string_split(text, chr(10)) as x from documents)),
+p as (select doc_id, text, length(text) as len, row_number() over (partition by doc_id order by pos) as n from q where text <> ''),
+f as (select doc_id, n, 0 as g, len as cur from p where n = 1 union all
+ select p.doc_id, p.n, case when p.len < 300 and f.cur < 1000 then g else g + 1 end, case when p.len < 300 and f.cur < 1000 then cur + 2 + p.len else p.len end from f join p on p.doc_id = f.doc_id and p.n = f.n + 1)
+select doc_id, g as merged_idx, count(*) as n_parts, string_agg(text, chr(10) || chr(10) order by n) as text from f join p using (doc_id, n) group by all""")
 def _(spark, d):
     t = table(spark, d, "documents")
     parts = t.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "text")).where("text <> ''")
