@@ -37,19 +37,17 @@ def prepare(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` (shared storage on a cluster).
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no folder one is set: a temporary one on a local master, as in tests, else one
-    below the warehouse.
+    The setting is read from the session. Where it is unset on a local master, as in tests, a temporary folder becomes the
+    checkpoint folder; on a cluster that is an error, since no other folder is known to be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="corpusflow-")
-        else:  # the warehouse is shared by all executors
-            base = spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/corpusflow/{label}-{uuid.uuid4().hex}"
 
 
