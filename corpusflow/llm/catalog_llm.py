@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, packing, wavelet
+from corpusflow.llm import bpe, matroska, packing, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -39,3 +39,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_wavelet_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.shards(table(spark, sf_dir, "documents"), "doc_id", "text", public_path("word_bpe_49k.json"), 2)
+
+
+@query("op8_host_reputation", urls.oracle())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.bad_documents(table(spark, sf_dir, "labels")), "page_id", "url")
+
+
+@query("op10_matroska_packets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.stored_media(table(spark, sf_dir, "documents"), "doc_id", "text")
