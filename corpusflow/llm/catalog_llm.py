@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, matroska, packing, urls, wavelet
+from corpusflow.llm import bpe, language, matroska, packing, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -49,3 +49,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_matroska_packets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_media(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
