@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, language, matroska, packing, urls, wavelet
+from corpusflow.llm import bpe, language, matroska, packing, toxicity, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -54,3 +54,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_severity_grades")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

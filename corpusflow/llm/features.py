@@ -55,7 +55,7 @@ def word_grams(words: list[str], orders: tuple[int, ...], whole: bool = False) -
     h = np.zeros(n, np.uint64)
     out, who = [], []
     wide = codes.astype(np.uint64)
-    for k in range(1, max(orders) + 1):
+    for k in range(1, max(orders, default=0) + 1):
         h = h * _MULTIPLIER
         h[:n - k + 1] += wide[k - 1:] + np.uint64(7)
         if k in orders:
