@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, language, matroska, packing, toxicity, urls, wavelet
+from corpusflow.llm import bpe, fingerprints, language, matroska, packing, pii, toxicity, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -59,3 +59,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_severity_grades")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_bottom_k_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_feistel_pseudonyms")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents"))
