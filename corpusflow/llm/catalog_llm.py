@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, fingerprints, language, matroska, packing, pii, toxicity, urls, wavelet
+from corpusflow.llm import bpe, fingerprints, language, matroska, near_dedup, packing, pii, toxicity, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -69,3 +69,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_feistel_pseudonyms")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents"))
+
+
+@query("op2_bayes_minhash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
