@@ -7,11 +7,12 @@
 3. Candidates are compared in batches of signature values. A pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold is below ``MISS``. What survives is verified on the full sets, with integers.
 4. Links give components (alternating star contraction). In a bucket that still holds several components, the members
-   outside of its largest one are compared with all other members, signature blocks against signature blocks
-   inside tasks: only survivors become rows, and a bucket of any size is dealt over many tasks. So a link between two
-   texts that share a bucket isn't lost, whatever the centre was. The survivors are verified and the components made anew.
+   outside of its largest one are compared with all other members, block against block inside tasks: the same
+   pruning, then full sets. A task emits only links that join components, so a bucket of m members gives less than m
+   rows a block, and a bucket of any size is dealt over many tasks. So a link between two texts that share a bucket
+   isn't lost, whatever the centre was. With these links the components are made anew.
 
-A pair at the threshold shares no bucket with a probability below 1e-5 (``BANDS`` bands of ``ROWS`` values).
+The bands are as wide as they can be while a pair at the threshold shares no bucket with a probability below 1e-5.
 
 Defined results: a text of fewer words than a shingle is one shingle; null texts and texts without words have an empty set
 and are linked with nothing; rows with a null id stay on their own; rows that repeat an id are one document; an empty
@@ -34,17 +35,18 @@ from corpusflow.llm.tables import bound_batches, fresh, pieces, stored
 
 WORDS = 5
 PER_HUNDRED = 85       # 100 x intersection >= PER_HUNDRED x union makes a link
-BANDS, ROWS = 20, 5
-VALUES = BANDS * ROWS
+VALUES = 100           # of a signature
+UNSEEN = 1e-5          # probability that a pair at the threshold shares no bucket
 BATCH = 20             # signature values that are compared at a time
 MISS = 1e-6            # posterior probability of a link below which a pair is dropped
-BLOCK = 512            # members of a bucket that a task compares with as many
+BLOCK = 1 << 20        # shingles of a block of members; a task compares two blocks
 FILTER_BITS = 1 << 26  # of the bitmap that keeps other documents out of the verification; a fixed 8 MB
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = (_rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 OFFSETS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 PLACES = (_rng.integers(0, 1 << 62, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+WEIGHTS = (_rng.integers(0, 1 << 62, 20, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 # sets and signatures
@@ -107,14 +109,22 @@ def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
 
 
-def band_keys(reps: DataFrame) -> DataFrame:
+def band_rows(per_hundred: int) -> int:
+    """Values of a band: as many as keep the probability of an unseen pair below ``UNSEEN``."""
+    t = per_hundred / 100
+    return max([1, *(r for r in range(2, 21) if (1 - t ** r) ** (VALUES // r) <= UNSEEN)])
+
+
+def band_keys(reps: DataFrame, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """(key, id) for each band of each representative."""
+    rows = band_rows(per_hundred)
+    bands = VALUES // rows
 
     def run(batches):
         for batch in batches:
-            sig = signatures(batch.column("sig")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = mix((sig * PLACES[None, None, :ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)[None, :] * PLACES[6])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["key", "id"])
+            sig = signatures(batch.column("sig"))[:, :bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            key = mix((sig * WEIGHTS[None, None, :rows]).sum(axis=2) + np.arange(bands, dtype=np.uint64)[None, :] * PLACES[6])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands))], names=["key", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
@@ -178,12 +188,10 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, per_hundred: int) -> DataFrame:
-    """Links among candidate pairs, by intersection and union of their full sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = spark.sparkContext.broadcast(_filter(ids))
-    keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+def full_sets(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, set) of the documents in ``ids`` (distinct), read in one scan; others stay behind at the scan."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+    keyed = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     keyed = keyed.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
 
     def sets(batches):
@@ -193,18 +201,24 @@ def verify(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str,
             for part in pieces(iter([some]), "text", 4_000_000):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], names=["id", "set"])
 
-    found = stored(keyed.where("id is not null").mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-sets")
+    return stored(keyed.mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-sets")
+
+
+def linked(a: np.ndarray, b: np.ndarray, per_hundred: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= per_hundred * (len(a) + len(b) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """Links among candidate pairs, by intersection and union of their full sets."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= per_hundred * (len(a) + len(b) - both))
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), per_hundred)
+                    for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -233,39 +247,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def block_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, per_hundred: int) -> DataFrame:
-    """Candidates between components that share a bucket.
+def block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, per_hundred: int) -> DataFrame:
+    """Links between components that share a bucket, enough to join what is linked.
 
-    ``members``: (key, id, size) of buckets with at least three members. A bucket's members outside of its largest component are
-    compared with all members, in blocks of signatures.
+    ``members``: (key, id) of buckets with at least three members. A bucket's members outside of its largest component are
+    compared with all members.
     """
-    tagged = stored(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "size"), "near-tagged")
-    per = tagged.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = tagged.join(main, "key")
-    outside = open_.groupBy("key").agg(F.sum((F.col("component") != F.col("main")).cast("long")).alias("outside"))
-    open_ = open_.join(outside, "key").join(reps.select("id", "sig"), "id")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30))
-    right = open_.withColumns({"y": F.pmod(mine, blocks("size")).cast("int"), "x": F.explode(F.sequence(F.lit(0), blocks("outside") - 1))})
-    left = open_.where("component != main").withColumns({"x": F.pmod(mine, blocks("outside")).cast("int"), "y": F.explode(F.sequence(F.lit(0), blocks("size") - 1))})
-    columns = ["key", "x", "y", "id", "component", "sig"]
+    tagged = members.join(labels, "id", "left").join(reps.select("id", "n", "sig"), "id")
+    tagged = stored(tagged.select("key", "id", F.coalesce("component", "id").alias("component"), "n", "sig"), "near-tagged")
+    per = tagged.groupBy("key", "component").agg(F.sum("n").alias("n"))
+    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("key", F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("xs"))
+    some = tagged.join(main, "key").join(sets, "id")
+    place = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30))
+    right = some.withColumns({"y": F.pmod(place, "ys").cast("int"), "x": F.explode(F.sequence(F.lit(0), F.col("xs") - 1))})
+    left = some.where("component != main").withColumns({"x": F.pmod(place, "xs").cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("ys") - 1))})
+    columns = ["key", "x", "y", "id", "component", "sig", "set"]
     rows = right.select(*columns, F.lit(False).alias("asks")).union(left.select(*columns, F.lit(True).alias("asks")))
     needed = least_matches(per_hundred)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        a, b = [], []
-        others = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            o = others[component[others] != component[i]]
-            k = o[survivors(np.broadcast_to(sig[i], (len(o), VALUES)), sig[o], needed)]
-            a.append(np.maximum(ids[k], ids[i]))
-            b.append(np.minimum(ids[k], ids[i]))
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+        each = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        ids, label = group.column("id").to_numpy(), np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+        asks = group.column("asks").to_numpy()
+        others, a, b = np.flatnonzero(~asks), [], []
+        for i in np.flatnonzero(asks).tolist():
+            o = others[label[others] != label[i]]
+            for j in o[survivors(np.broadcast_to(sig[i], (len(o), VALUES)), sig[o], needed)].tolist():
+                if label[j] != label[i] and linked(each[i], each[j], per_hundred):
+                    label[label == label[j]] = label[i]
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
@@ -278,16 +292,17 @@ def near_duplicates(docs: DataFrame, id_column: str, text_column: str, per_hundr
     usable = all_docs.where("d1 is not null and id is not null")
     reps = usable.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("d1", "d2", "r.*")
     reps = stored(reps, "near-classes")
-    keys = band_keys(reps)
+    keys = band_keys(reps, per_hundred)
     centres = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("centre"), F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(centres, "key"), "near-buckets")
     pairs = members.where("id != centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
-    links = stored(verify(stored(prune(pairs, reps, per_hundred), "near-candidates"), docs, id_column, text_column, per_hundred), "near-links")
-    labels = stored(components(links), "near-labels")
-    more = stored(block_pairs(members.where("size > 2").select("key", "id", "size"), reps, labels, per_hundred).join(pairs, ["a", "b"], "left_anti"), "near-candidates")
+    candidates = stored(prune(pairs, reps, per_hundred), "near-candidates")
+    crowded = members.where("size > 2").select("key", "id")
+    sets = full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).distinct(), docs, id_column, text_column)
+    labels = stored(components(verify(candidates, sets, per_hundred)), "near-labels")
+    more = stored(block_links(crowded, reps, sets, labels, per_hundred), "near-links")
     if not more.isEmpty():
-        extra = stored(verify(more, docs, id_column, text_column, per_hundred), "near-links")
-        labels = stored(components(links.union(extra)), "near-labels")
+        labels = stored(components(more.union(labels.select("id", "component"))), "near-labels")
     of_class = reps.select("d1", "d2", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = all_docs.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
