@@ -114,12 +114,13 @@ def choose_features(sample: DataFrame, levels: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def fit(at: np.ndarray, counts: np.ndarray, grades: np.ndarray, features: np.ndarray, l1: float = 5e-5, l2: float = 1e-4, rounds: int = 400) -> Model:
+def fit(at: np.ndarray, counts: np.ndarray, grades: np.ndarray, features: np.ndarray, l1: float | None = None, l2: float = 1e-4, rounds: int = 400) -> Model:
     """Accelerated proximal gradients on the cumulative-link loss. ``at``: features of each document, one after the other."""
     levels = int(grades.max()) if len(grades) else 0
     if not levels:
         return Model(features, np.zeros(len(features)), np.zeros(0))
     n, owner = len(grades), np.repeat(np.arange(len(grades)), counts)
+    l1 = 0.02 / n ** 0.5 if l1 is None else l1  # the noise of a mean gradient shrinks with the root of the sample
     above = grades[:, None] > np.arange(levels)[None, :]
     share = np.clip(above.mean(axis=0), 1 / (n + 1), n / (n + 1))
     t = -np.log(share / (1 - share))
