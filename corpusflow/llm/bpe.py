@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusflow.llm.tables import pieces
-from corpusflow.llm.vocab import Encoder, load, ragged
+from corpusflow.llm.vocab import Encoder
 
 GONE, WALL = -2, -1  # symbols: merged into its left neighbour; between words
-_OTHER_SPACE = re.compile(r"\s")
 
 
 class Merges:
@@ -137,47 +136,14 @@ class PairIndexEncoder(Encoder):
     """Texts to ids: the library normalises and splits, the pair index merges."""
 
     def __init__(self, path: str):
-        super().__init__(path, True, self._chunks)
+        super().__init__(path, True)
         self.merges = Merges(path)
         self.special_ids = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.merges.tokens |= {i: t for t, i in self.special_ids.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, as the tokenizer's own normaliser and splitter give them."""
-        normal, pre = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        return [[w for w, _ in pre(normal(t))] for t in texts]
-
-    def _split_chunks(self, chunks: list[str]) -> list[list[str]]:
-        """The same for chunks without white space, all at once."""
-        joined = self.tokenizer.normalizer.normalize_str(" ".join(chunks))
-        parts = joined.split(" ")
-        if len(parts) != len(chunks):
-            return self._split(chunks)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
-        at = np.searchsorted(ends, [s for _, (s, _) in words], side="right")
-        out: list[list[str]] = [[] for _ in chunks]
-        for i, (w, _) in zip(at.tolist(), words):
-            out[i].append(w)
-        return out
-
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, c in enumerate(chunks) if not c or _OTHER_SPACE.search(c)]
-        skip = set(odd)
-        split: list = [None] * len(chunks)
-        even = [i for i in range(len(chunks)) if i not in skip]
-        for i, w in zip(even, self._split_chunks([chunks[i] for i in even])):
-            split[i] = w
-        for i, w in zip(odd, self._split([chunks[i] for i in odd])):
-            split[i] = w
-        number: dict[str, int] = {}
-        index = np.fromiter((number.setdefault(w, len(number)) for ws in split for w in ws), np.int64)
-        flat, lens = merge_words(self.merges, list(number))
-        flat, per_word = ragged(flat, lens, index)
-        words = np.fromiter(map(len, split), np.int64, len(split))
-        upto, edge = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], np.cumsum(per_word)])
-        return flat, edge[upto[1:]] - edge[upto[:-1]]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return merge_words(self.merges, words)
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         """Texts in which special tokens may stand: these are cut out first."""
@@ -228,7 +194,3 @@ def round_trip(docs: DataFrame, id_column: str, text_column: str, tokenizer: str
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
-
-def reference_ids(path: str, text: str) -> list[int]:
-    """The library's own ids, for tests."""
-    return load(path).encode(text, add_special_tokens=False).ids

@@ -13,6 +13,7 @@ of their own; an empty table gives no rows; other columns are not read, whatever
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,16 +42,18 @@ class Rest:
         return head
 
 
-def closest(counts: dict[int, int], lengths: list[int], target: int) -> dict[int, int]:
+def closest(counts, lengths: list[int], target: int) -> dict[int, int]:
     """How often to take each length so that the sum comes closest to ``target`` from below.
 
-    ``lengths`` are the keys of ``counts`` in descending order. The table stops growing at an exact sum.
+    ``lengths`` ascend; ``counts`` gives how many there are of a length (0: none left). Lengths are added from the longest that
+    fits down, and the table stops growing at an exact sum.
     """
     mask, reach, steps = (1 << (target + 1)) - 1, 1, []
-    for n in lengths:
-        if n > target:
+    for at in range(bisect_right(lengths, target) - 1, -1, -1):
+        n = lengths[at]
+        left = min(counts(n), target // n)
+        if not left:
             continue
-        left = min(counts[n], target // n)
         steps.append((n, reach))
         k = 1
         while left:
@@ -60,10 +63,10 @@ def closest(counts: dict[int, int], lengths: list[int], target: int) -> dict[int
             k *= 2
         if reach >> target & 1:
             break
-    at, taken = reach.bit_length() - 1, {}
+    total, taken = reach.bit_length() - 1, {}
     for n, before in reversed(steps):
-        while not before >> at & 1:
-            at -= n
+        while not before >> total & 1:
+            total -= n
             taken[n] = taken.get(n, 0) + 1
     return taken
 
@@ -120,14 +123,18 @@ class Packer:
 
     def _pack(self, keep: int) -> Iterator[list[Rest]]:
         """Sequences while more than ``keep`` rests, and ids for a whole sequence, are left."""
-        lengths = sorted(self.rests, reverse=True)
+        lengths = sorted(self.rests)
+        count = lambda n: len(self.rests.get(n, ()))
         while self.size > keep and self.held >= self.capacity:
-            lengths = [n for n in lengths if n in self.rests]
-            opened = self._pop(lengths[0])
-            target = self.capacity - len(opened.ids)
-            taken = closest({n: len(s) for n, s in self.rests.items()}, [n for n in lengths if n in self.rests], target)
-            out = [opened, *(self._pop(n) for n, k in taken.items() for _ in range(k))]
-            slack = self.capacity - sum(len(r.ids) for r in out)
+            while lengths[-1] not in self.rests:
+                lengths.pop()
+            if len(lengths) > 2 * len(self.rests):
+                lengths = sorted(self.rests)
+            out = [self._pop(lengths[-1])]
+            slack = self.capacity - len(out[0].ids)
+            for n, k in closest(count, lengths, slack).items():
+                out += [self._pop(n) for _ in range(k)]
+                slack -= n * k
             if slack and keep:  # better sums may come with later documents
                 for r in out:
                     self._keep(r)
@@ -137,7 +144,7 @@ class Packer:
                 out.append(r.cut(min(slack, len(r.ids))))
                 slack -= len(out[-1].ids)
                 self._keep(r)
-                lengths = sorted(self.rests, reverse=True)
+                lengths = sorted(self.rests)
             yield out
 
 

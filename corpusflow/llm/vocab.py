@@ -1,15 +1,18 @@
 """Ids of whole texts from a public tokenizer, by way of the distinct chunks of a task.
 
-The library encodes a distinct chunk once; a text's ids are those of its chunks, put together by index. Texts are cut
-only where the tokenizer can't join: at a space that starts a word (byte-level), or at spaces and line feeds
-(word-level, which drops white space). The few texts with special-token strings, NUL or irregular white space are
-encoded whole.
+Texts are cut only where the tokenizer can't join: at a space that starts a word (byte-level), or at spaces and line
+feeds (word-level, which drops white space). The library normalises and splits a distinct chunk into its words once and
+encodes a distinct word once; a text's ids are put together by index. The few texts with special-token strings, NUL or
+irregular white space are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space between other white space, where the byte-level pattern doesn't start a new token.
 IRREGULAR = f"[{SPACE}] (?:[{SPACE}]|\\z)"
-MAX_CHUNKS = 700_000  # distinct chunks that a worker remembers
+MAX_CHUNKS, MAX_WORDS = 500_000, 900_000  # distinct chunks and words that a worker remembers
 HEAD = "\x00"         # marks the first chunk of a text, which no space precedes
+WALL = "\u010a"       # the byte-level letter for a line feed: a word of one id, which no other word holds
+_BLANK = re.compile(r"\s")  # white space in what a space ends
 
 
 @lru_cache(maxsize=4)
@@ -56,40 +61,142 @@ def ragged(flat: np.ndarray, lens: np.ndarray, index: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(shift, n) + np.arange(int(n.sum()))], n
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level tokenizers: printable ones stand for themselves, the others are counted on from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_TABLE = _byte_letters()
+LEAD = _TABLE[32]
+
+
+def _letters(word: str) -> str:
+    """A word in byte letters; ``LEAD`` and ``WALL`` are byte letters already."""
+    if word[0] == LEAD:
+        return LEAD + word[1:].encode().decode("latin-1").translate(_TABLE)
+    return word if word == WALL else word.encode().decode("latin-1").translate(_TABLE)
+
+
+def _simple(chunk: str, lead: str, words: list[str]) -> bool:
+    """Split letters and the ASCII marks behind them, and the same again after a line feed. False if it is something else."""
+    if chunk.isalpha():
+        words.append(lead + chunk)
+        return True
+    stem = chunk.rstrip(punctuation)
+    if stem != chunk and (not stem or stem.isalpha()):
+        if stem:
+            words.append(lead + stem)
+            lead = ""
+        words.append(lead + chunk[len(stem):])
+        return True
+    if "\n" in chunk:
+        a, b = chunk.split("\n", 1)
+        if _simple(a, lead, words):
+            words.append(WALL)
+            return _simple(b, "", words)
+    return False
+
+
+class Memory:
+    """Runs of ids by key; new keys are given to ``learn`` (keys -> ids, lengths)."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        known = self.known
+        new = [k for k in keys if k not in known]
+        if new:
+            new = list(dict.fromkeys(new))
+            flat, lens = self.learn(new)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+
 class Encoder:
     """``ids(texts)`` gives all ids of an Arrow array of texts as one array, and the number of ids of each text.
 
     ``words``: the tokenizer drops white space, so chunks are what lies between spaces and line feeds; otherwise a chunk
-    keeps the space before it. ``encode`` (chunks -> ids, lengths) replaces the library for ordinary chunks.
+    keeps the space before it.
     """
 
-    def __init__(self, path: str, words: bool, encode=None):
+    def __init__(self, path: str, words: bool):
         self.words, self.tokenizer = words, load(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.encode = encode or self._library
-        self._reset()
+        self.lower = words and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.bare = _bare(path)
+        self.wall = self.bare.encode(WALL).ids[0]
+        self.memory, self.word_memory = Memory(self._chunks), Memory(self.encode_words)
 
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    # from words to ids
 
-    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum())), lens
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised, split words and their number: all words go to the library in one text, with walls between them."""
+        odd = {i for i, w in enumerate(words) if WALL in w}
+        ids = np.asarray(self.bare.encode_batch_fast([f" {WALL} ".join([w for i, w in enumerate(words) if i not in odd] or [""])])[0].ids, np.uint32)
+        stop = ids == self.wall
+        lens = np.diff(np.flatnonzero(np.concatenate([[True], stop, [True]]))) - 1
+        flat = ids[~stop]
+        if not odd:
+            return flat, lens
+        return _weave(len(words), odd, flat, lens if len(odd) < len(words) else lens[:0], [e.ids for e in self.bare.encode_batch_fast([words[i] for i in sorted(odd)])])
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk; new ones are encoded."""
-        known = self.known
-        if len(known) + len(chunks) > MAX_CHUNKS:
-            self._reset()
-            known = self.known
-        new = [c for c in chunks if c not in known]
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            flat, lens = self.encode(new if self.words else [c[1:] if c[:1] == HEAD else f" {c}" for c in new])
-            self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+    # from chunks to words
+
+    def _split(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, as the tokenizer's own normaliser and splitter give them."""
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return [[w for w, _ in pre(normal(t))] for t in texts]
+
+    def _normal(self, chunks: list[str]) -> list[str]:
+        """Normalised chunks; those without inner white space go to the normaliser as one text."""
+        if not self.tokenizer.normalizer:
+            return chunks
+        parts = self.tokenizer.normalizer.normalize_str(" ".join(chunks)).split(" ")
+        if len(parts) != len(chunks):
+            raise ValueError("the normaliser made or dropped a space")
+        return parts
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks. Letters with marks behind them are split here, anything else by the library."""
+        lead = "" if self.words else LEAD
+        blank = {i for i, c in enumerate(chunks) if not c or _BLANK.search(c)} if self.words else set()
+        forms = self._normal(["x" if i in blank else c for i, c in enumerate(chunks)] if blank else chunks)
+        words, n, odd = [], [], {}
+        for i, c in enumerate(forms):
+            k = len(words)
+            head = lead
+            if not self.words and c[:1] == HEAD:
+                c, head = c[1:], ""
+            if i in blank or (not c.isascii() and (LEAD in c or WALL in c)) or not _simple(c, head, words):
+                del words[k:]
+                odd[i] = chunks[i] if self.words else c if not head else f" {c}"
+            n.append(len(words) - k)
+        flat, lens = self._of_words([w if w.isascii() else _letters(w) for w in words], np.array(n, np.int64))
+        if not odd:
+            return flat, lens
+        rest = self._split(list(odd.values()))
+        own, sizes = self._of_words([w for ws in rest for w in ws], np.fromiter(map(len, rest), np.int64, len(rest)))
+        keep = np.ones(len(chunks), bool)
+        keep[list(odd)] = False
+        return _weave(len(chunks), odd, flat, lens[keep], np.split(own, np.cumsum(sizes)[:-1]))
+
+    def _of_words(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        index = self.word_memory.numbers(words)
+        flat, lens = ragged(self.word_memory.flat, self.word_memory.lens, index)
+        edge, upto = np.concatenate([[0], np.cumsum(lens)]), np.concatenate([[0], np.cumsum(n)])
+        return flat, edge[upto[1:]] - edge[upto[:-1]]
+
+    # from texts to chunks
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
         odd = pc.match_substring(texts, HEAD)
@@ -105,27 +212,57 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         whole = self._whole(texts)
         plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        # fewer distinct chunks: a mark behind a word becomes a chunk of its own
         if self.words:
+            plain = pc.replace_substring_regex(plain, r"(\pL)([.,;:!?])([ \n])", r"\1 \2 ")
             plain = pc.replace_substring(plain, "\n", " ")
+            latin = pc.invert(pc.match_substring_regex(plain, r"[^\x{00}-\x{12f}]"))  # there, normal form is lower case
+            plain = pc.if_else(latin, pc.utf8_lower(plain), plain) if self.lower else plain
         else:
+            plain = pc.replace_substring_regex(plain, r"(\pL)([.,;:!?]) ", rf"\1 {HEAD}\2 ")
+            plain = pc.replace_substring_regex(plain, r"(\pL)([.,;:!?])\n(\pL)", f"\\1 {HEAD}\\2 {HEAD}\n {HEAD}\\3")
             plain = pc.binary_join_element_wise(HEAD, plain, "")
         split = pc.split_pattern(plain, " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        flat, lens = ragged(self.flat, self.lens, index)
+        chunks = coded.dictionary.to_pylist()
+        for memory, most in ((self.memory, MAX_CHUNKS), (self.word_memory, MAX_WORDS)):
+            if len(memory.known) + len(chunks) > most:
+                memory.forget()
+        index = self.memory.numbers(chunks)[coded.indices.to_numpy()]
+        flat, lens = ragged(self.memory.flat, self.memory.lens, index)
         edge = np.concatenate([[0], np.cumsum(lens)])
         upto = np.concatenate([[0], np.cumsum(counts)])
         n_ids = edge[upto[1:]] - edge[upto[:-1]]
         if not whole.any():
             return flat, n_ids
-        at = np.flatnonzero(whole)
-        own = dict(zip(at, self.encode_whole(texts.take(pa.array(at)).to_pylist())))
-        out = []
-        for i in range(len(texts)):
-            out.append(own.get(i, flat[edge[upto[i]]:edge[upto[i + 1]]]))
-            n_ids[i] = len(out[-1])
-        return np.concatenate(out), n_ids
+        own = self.encode_whole(texts.take(pa.array(np.flatnonzero(whole))).to_pylist())
+        kept = n_ids[~whole]  # those encoded whole have an empty chunk's ids so far: none
+        return _weave(len(texts), set(np.flatnonzero(whole).tolist()), flat, kept, own)
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _bare(path: str):
+    """The tokenizer's model alone, which splits at spaces."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+def _weave(n: int, odd, flat: np.ndarray, lens: np.ndarray, rest: list) -> tuple[np.ndarray, np.ndarray]:
+    """Runs put together again: the places in ``odd``, in order, take ``rest``, the others the runs of ``flat``."""
+    own = np.zeros(n, bool)
+    own[list(odd)] = True
+    sizes = np.zeros(n, np.int64)
+    sizes[~own], sizes[own] = lens, np.fromiter(map(len, rest), np.int64, len(rest))
+    out = np.empty(int(sizes.sum()), np.uint32)
+    mine = np.repeat(own, sizes)
+    out[~mine] = flat
+    if len(rest):
+        out[mine] = np.concatenate([np.asarray(r, np.uint32) for r in rest])
+    return out, sizes
