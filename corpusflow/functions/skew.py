@@ -6,35 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_HOT_KEYS = 10_000
+HOT_SHARE = 10_000  # a key with more than one ten-thousandth of all rows is hot; there are fewer than that many
 
 
-def salted_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    key: str,
-    weight: str,
-    spread: Column,
-    how: str = "inner",
-    salts: int = 64,
-) -> DataFrame:
+def salted_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, spread: Column, how: str = "inner") -> DataFrame:
     """Join many ``facts`` to the one row per key of ``dim`` without a hot partition.
 
-    ``weight`` is the number of fact rows a key of ``dim`` meets. A key is hot when it
-    holds more than 1/``MAX_HOT_KEYS`` of the total weight, so there are fewer than
-    ``MAX_HOT_KEYS`` hot keys at any scale and their list may be broadcast. Hot keys are
-    replicated ``salts`` times in ``dim`` and their facts spread over the copies; other
-    keys are joined as they are. Facts are read once.
+    ``weight`` is the number of fact rows a key of ``dim`` meets. Hot keys are fewer than ``HOT_SHARE`` at any scale, so
+    their rows of ``dim`` are broadcast and hot facts aren't shuffled by their key: having found their row they are
+    dealt by ``spread`` in the join of the other keys. Facts are read once.
     """
-    limit = dim.agg((F.sum(weight) / F.lit(MAX_HOT_KEYS)).alias("t")).scalar()
-    hot = dim.where(F.col(weight) > F.greatest(limit, F.lit(10_000))).select(key, F.lit(True).alias("_hot"))
-    marked = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(0)
-    )
-    copies = dim.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return marked.drop("_hot").join(copies.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    values = [c for c in dim.columns if c != key]
+    total = dim.agg(F.sum(weight).alias("t")).scalar()
+    is_hot = F.coalesce(F.col(weight) * HOT_SHARE > total, F.lit(False))
+    hot = dim.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_a"))
+    cold = dim.where(~is_hot).select(F.col(key).alias("_cold"), F.lit(-1).alias("_place"), F.struct(*values).alias("_b"))
+    first = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    first = first.withColumn("_salt", F.when(F.col("_hot").isNull(), -1).otherwise(F.pmod(spread, F.lit(1 << 20)).cast("int")))
+    both = first.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_place")), "left").withColumn("_row", F.coalesce("_a", "_b"))
+    if how == "inner":
+        both = both.where("_hot is not null or _cold is not null")
+    return both.select(*facts.columns, *(F.col(f"_row.{c}").alias(c) for c in values))
 
 
 def first_per_key(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
@@ -83,7 +75,13 @@ def running(
     inner = df
     for n, v in tmp.items():
         inner = inner.withColumn(n, F.sum(v).over(wi))
-    out = inner.join(before, [*keys, "_b"])
+    # a null key or order is a group like any other
+    at = {k: f"_j_{i}" for i, k in enumerate([*keys, "_b"])}
+    before = before.select(*[F.col(k).alias(j) for k, j in at.items()], *[f"{v}_p" for v in tmp.values()])
+    same = F.lit(True)
+    for k, j in at.items():
+        same = same & F.col(k).eqNullSafe(F.col(j))
+    out = inner.join(before, same).drop(*at.values())
     for n, v in tmp.items():
         out = out.withColumn(n, F.col(n) + F.col(f"{v}_p"))
     return out.drop("_b", *tmp.values(), *[f"{v}_p" for v in tmp.values()])

@@ -141,3 +141,7 @@ def first_match(rules_in_order, default) -> Column:
         out = F.when(cond, value) if out is None else out.when(cond, value)
     default = default if isinstance(default, Column) else F.lit(default)
     return default if out is None else out.otherwise(default)
+
+
+def first_line(c: Column) -> Column:
+    return F.element_at(F.split(c, "\n"), 1)

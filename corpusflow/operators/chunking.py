@@ -138,7 +138,9 @@ def markdown_sections(docs: DataFrame, id_col: str, text_col: str = "text") -> D
     the cuts, so a document never has to be regrouped.
     """
     # header lines outside of code fences start a section
-    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col)), r"\n(?=##? )", "\n\x1e")
+    fenced = F.split(F.concat(F.lit("\n"), F.col(text_col)), r"\n(?=```)", -1)
+    # every second piece begins with an opening fence
+    marked = F.array_join(F.transform(fenced, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\n(?=##? )", "\n\x1e")).otherwise(p)), "\n")
     parts = F.transform(F.split(marked, "\x1e"), lambda s: tx.strip(s))
     secs = F.filter(parts, lambda s: s != "")
     h1 = lambda s: F.trim(F.regexp_extract(s, r"^# ([^\n]*)", 1))

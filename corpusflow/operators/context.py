@@ -38,7 +38,7 @@ def gather(history: DataFrame, knowledge: DataFrame, parents: DataFrame | None,
                          content.alias("content"), score.cast("double").alias("score"))
 
     titled = lambda t, c: F.when(F.coalesce(t, F.lit("")) != "", F.concat(t, F.lit(": "), c)).otherwise(c)
-    step = 1_000_000
+    step = 1 << 40  # more candidates of a kind than a query can have
     out = part(history, "history", 0, F.concat_ws(": ", "role", "content"), F.lit(0.0))
     out = out.unionByName(part(knowledge, "knowledge", step, F.col("content"), F.col("score")))
     if parents is not None:
@@ -90,6 +90,8 @@ def history_text(history: DataFrame, n: int = rules.MAX_HISTORY_TURNS) -> DataFr
 def structure(questions: DataFrame, history: DataFrame, evidence: DataFrame, candidates: DataFrame, mode: str = "deep") -> DataFrame:
     """Packets (query_id, ordinal, kind, source, content, tokens, relevance) per question."""
     rel = rules.RELEVANCE
+    asked = questions.select("query_id").distinct()
+    history, candidates, evidence = (t.join(asked, "query_id", "left_semi") for t in (history, candidates, evidence))
     q = questions.select("query_id", F.lit(0).alias("ordinal"), F.lit("user_question").alias("kind"), F.lit("question").alias("source"),
                          F.col("question").alias("content"), F.lit(rel["user_question"]).alias("relevance"))
     h = history_text(history).select("query_id", F.lit(1).alias("ordinal"), F.lit("conversation_history").alias("kind"), F.lit("history").alias("source"),

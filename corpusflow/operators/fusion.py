@@ -113,26 +113,24 @@ def auto_merge_meta(hits: DataFrame, parents: DataFrame, threshold: int = 2) ->
 
 
 def merge_image_hits(hits: DataFrame, images: DataFrame) -> DataFrame:
-    """Attach image hits to the chunk of the same id; others become rows of their own.
+    """Attach image hits to the chunk of the same id; every other image hit becomes a row of its own.
 
-    ``hits``: query_id, chunk_id, text, score. ``images``: query_id, chunk_id, image_url, caption,
-    image_placeholder, image_score. Image rows without caption and placeholder are dropped.
+    ``hits``: query_id, chunk_id, text, score. ``images``: query_id, chunk_id, rank, image_url, caption, image_placeholder,
+    image_score; ``rank`` is the order of a query's image hits. A chunk takes the distinct urls in that order and the score
+    of the last hit. Image rows without caption and placeholder are dropped.
     """
     cap, ph = F.coalesce("caption", F.lit("")), F.coalesce("image_placeholder", F.lit(""))
+    url = F.when(F.col("image_url") != "", F.col("image_url"))
     grouped = images.groupBy("query_id", "chunk_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("image_url") != "", F.col("image_url")))).alias("image_urls"),
-        F.max("image_score").alias("image_score"),
-        F.max(ph).alias("_ph"), F.max(cap).alias("_cap"),
-    )
-    j = hits.join(grouped, ["query_id", "chunk_id"], "full")
-    new = F.col("text").isNull()
-    body = F.when(F.col("_ph") != "", F.concat(F.col("_ph"), F.lit("\n图片说明："), F.col("_cap"))).otherwise(F.col("_cap"))
-    return j.where(~new | (F.col("_ph") != "") | (F.col("_cap") != "")).select(
-        "query_id", "chunk_id",
-        F.when(new, body).otherwise(F.col("text")).alias("text"),
-        F.when(new, F.col("image_score")).otherwise(F.col("score")).alias("score"),
-        F.coalesce("image_urls", F.array().cast("array<string>")).alias("image_urls"),
-        "image_score", F.when(new, "image").otherwise("text").alias("chunk_type"))
+        F.array_sort(F.collect_list(F.struct("rank", url.alias("u")))).alias("_u"), F.max_by("image_score", "rank").alias("image_score"))
+    urls = F.coalesce(F.array_distinct(F.array_compact(F.transform("_u", lambda x: x["u"]))), F.array().cast("array<string>"))
+    own = hits.join(grouped, ["query_id", "chunk_id"], "left").select(
+        "query_id", "chunk_id", "text", "score", urls.alias("image_urls"), "image_score", F.lit("text").alias("chunk_type"))
+    body = F.when(ph != "", F.concat(ph, F.lit("\n图片说明："), cap)).otherwise(cap)
+    new = images.join(hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti").where((ph != "") | (cap != ""))
+    return own.unionByName(new.select(
+        "query_id", "chunk_id", body.alias("text"), F.col("image_score").alias("score"),
+        F.array_compact(F.array(url)).alias("image_urls"), "image_score", F.lit("image").alias("chunk_type")))
 
 
 def with_mode(hybrid: DataFrame, dense: DataFrame, queries: DataFrame) -> DataFrame:

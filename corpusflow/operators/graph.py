@@ -120,8 +120,8 @@ def citations(papers: DataFrame, paper: str, text: str) -> DataFrame:
     all_ = F.concat(bracket, named(rules.CITE_PAREN, 1, "paren", ""), named(rules.CITE_INLINE, 2, "inline", " et al"))
     rows = papers.select(paper, F.inline_outer(all_)).where("name is not null")
     # the patterns only let ASCII names through, so the slug needs no decomposition
-    target = F.concat(F.lit("paper/"), F.regexp_replace(F.lower("name"), r"\s+|&", "-"), F.col("year"))
-    rows = rows.select(paper, F.regexp_replace(target, "-+", "-").alias("target"), "o", F.col("f").alias("cite_format"))
+    target = F.concat(F.lit("paper/"), _dashes(F.lower(tx.strip(F.col("name")))), F.col("year"))
+    rows = rows.select(paper, target.alias("target"), "o", F.col("f").alias("cite_format"))
     return rows.groupBy(paper, "target").agg(F.min_by("cite_format", "o").alias("cite_format"))
 
 
@@ -153,7 +153,7 @@ LINK_KEY = ["from_entity", "to_entity", "relation"]
 
 def upsert_links(links: DataFrame) -> DataFrame:
     """One row per (from, to, relation)."""
-    return links.groupBy(*LINK_KEY).agg(F.first("from_type").alias("from_type"), F.first("to_type").alias("to_type"))
+    return links.groupBy(*LINK_KEY).agg(F.min("from_type").alias("from_type"), F.min("to_type").alias("to_type"))
 
 
 def paper_links(pairs: DataFrame, from_: Column, to: Column, relation: str, from_type: str, to_type: str) -> DataFrame:

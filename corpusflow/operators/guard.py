@@ -52,7 +52,7 @@ def validate(args: Column, specs: list[Spec]) -> list[Column]:
             out = out | (num > s.hi)
         bad_type = has & raw.isNotNull() & val.isNull()
         bad_range = F.coalesce(out, F.lit(False))
-        bad_enum = ~val.isin(*s.enum) if s.enum else F.lit(False)
+        bad_enum = val.isNull() | ~val.isin(*s.enum) if s.enum else F.lit(False)  # null isn't one of them
         missing = ~has & F.lit(s.required and s.default is None)
         errors.append(tx.first_match([(missing, err(s.name, "MISSING")), (bad_type, err(s.name, "WRONG_TYPE")), (has & bad_range, err(s.name, "OUT_OF_RANGE")),
                                       (has & F.coalesce(bad_enum, F.lit(False)), err(s.name, "INVALID_ENUM"))], F.lit(None).cast("struct<field:string,code:string>")))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.functions.skew import first_per_key, running
+from corpusflow.functions.skew import running
+from corpusflow.session import materialize
 
 MANIFEST_KEY = ["path", "size", "mtime_ns"]
 
@@ -60,23 +57,27 @@ def replace_by_source(table: DataFrame, new: DataFrame, source: str = "_source")
     return table.join(new.select(source).distinct(), source, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _is_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; any error other than its absence is raised."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_replacing(new: DataFrame, path: str, source: str = "_source", buckets: int = 256) -> None:
-    """Replace by source on disk: only the hash buckets of touched sources are rewritten.
+    """Replace by source (a file, a document) on disk: only the hash buckets of touched sources are rewritten.
 
-    The touched buckets are written anew and swapped by dynamic partition overwrite.
+    The touched buckets are written anew and swapped by dynamic partition overwrite. ``buckets`` should grow with the table.
     """
     spark = new.sparkSession
     b = F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
-    add = new.withColumn("_source_bucket", b)
-    try:
+    add = materialize(new.withColumn("_source_bucket", b), "replace")
+    if _is_table(spark, path):
         old = spark.read.parquet(path)
-    except Exception:
-        old = None
-    if old is not None:
         touched = add.select("_source_bucket").distinct()
-        kept = old.join(touched, "_source_bucket", "left_semi").join(new.select(source).distinct(), source, "left_anti")
-        from corpusflow.session import materialize
-
+        kept = old.join(touched, "_source_bucket", "left_semi")
+        gone = add.select(F.col(source).alias("_gone")).distinct()
+        kept = kept.join(gone, F.col(source).eqNullSafe(F.col("_gone")), "left_anti")
         add = materialize(kept.unionByName(add, allowMissingColumns=True), "replace")
     (add.repartition("_source_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_source_bucket").parquet(path))
@@ -94,47 +95,29 @@ def upsert_parents(store: DataFrame, new: DataFrame) -> DataFrame:
 # ---- extraction --------------------------------------------------------------
 
 
-class _Text(HTMLParser):
-    hidden = frozenset(("script", "style", "noscript"))
-    opens = frozenset(("p", "br", "div", "section", "article", "h1", "h2", "h3", "li"))
-    closes = frozenset(("p", "div", "section", "article", "li"))
-
-    def __init__(self):
-        super().__init__()
-        self.depth, self.out = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.hidden
-        if tag in self.opens:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in self.hidden:
-            self.depth = max(0, self.depth - 1)
-        if tag in self.closes:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if self.depth == 0 and data.strip():
-            self.out.append(data)
-
+def html_text(c: Column) -> Column:
+    """Visible text of a page, by built-ins: hidden blocks and comments go, block tags become line breaks, other tags
+    blanks, then character references are resolved."""
+    for p in rules.HTML_HIDDEN:
+        c = F.regexp_replace(c, p, " ")
+    c = F.regexp_replace(F.regexp_replace(c, rules.HTML_BREAK, "\n"), rules.HTML_TAG, " ")
+    return tx.normalize_text(_resolved(c))
 
-@F.pandas_udf(T.StringType())
-def _html_parts(html: pd.Series) -> pd.Series:
-    def one(h):
-        if h is None:
-            return None
-        p = _Text()
-        p.feed(h)
-        p.close()
-        return " ".join(p.out)
 
-    return html.map(one)
+def _resolved(c: Column) -> Column:
+    """Numbered references by their code point, named ones from the fixed list; the ampersand last."""
+    found = F.regexp_extract_all(c, F.lit(rules.HTML_NUMBER), F.lit(1))
 
+    def char(n):
+        code = F.coalesce(F.when(n.rlike("^[xX]"), F.conv(F.substr(n, F.lit(2)), 16, 10)).otherwise(n).try_cast("long"), F.lit(0))
+        ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
-def html_text(c: Column) -> Column:
-    """Visible text of a page; the tag parser runs per Arrow batch, clean-up stays in the JVM."""
-    return tx.normalize_text(_html_parts(c))
+    parts = F.transform(F.split(c, rules.HTML_NUMBER, -1), lambda p, i: F.concat(p, F.coalesce(F.transform(F.array(F.get(found, i)), lambda n: F.when(n.isNotNull(), char(n)))[0], F.lit(""))))
+    out = F.when(F.contains(c, F.lit("&#")), F.array_join(parts, "")).otherwise(c)
+    for name, value in rules.HTML_NAMED.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def extraction_rows(files: DataFrame, summary_length: int = 5000, known=(".txt", ".text", ".md", ".markdown", ".html", ".htm")) -> DataFrame:
@@ -150,7 +133,7 @@ def extraction_rows(files: DataFrame, summary_length: int = 5000, known=(".txt",
         F.lit(None).cast("string"),
     )
     is_html = ext.isin(".html", ".htm")
-    t = F.when(is_html, tx.normalize_text(_html_parts(F.when(is_html, F.col("raw"))))).otherwise(tx.normalize_text(F.col("raw")))
+    t = F.when(is_html, html_text(F.col("raw"))).otherwise(tx.normalize_text(F.col("raw")))
     out = files.select("path", name.alias("filename"), ext.alias("file_type"), error.alias("error"), t.alias("_t"))
     ok = F.col("error").isNull()
     return out.select(

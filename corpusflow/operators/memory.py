@@ -119,15 +119,19 @@ def upsert_memories(store: DataFrame, new: DataFrame) -> DataFrame:
 
 def index_lines(rows: DataFrame, key: str, order: str, max_entries: int = rules.INDEX_MAX_ENTRIES, max_bytes: int = rules.INDEX_MAX_BYTES,
                 header_bytes: int = 0) -> DataFrame:
-    """Index lines per key, newest first, within the entry and byte limits, and how many were left out."""
+    """Index lines per key, newest first, within the entry and byte limits, and how many were left out.
+
+    A key of which no line fits has one row without a line, so its count isn't lost.
+    """
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("filename"), F.lit(") — "), F.col("description"))
     top = top_k(rows.select(key, order, line.alias("line")), [key], [F.desc(order)], max_entries)
     w = W.partitionBy(key).orderBy("rank")
     used = top.withColumn("bytes", F.sum(F.octet_length("line") + 1).over(w))
     total = rows.groupBy(key).agg(F.count("*").alias("_n"))
     kept = used.where(F.col("bytes") <= max_bytes - header_bytes)
-    n_kept = F.count("*").over(W.partitionBy(key))
-    return kept.withColumn("_k", n_kept).join(total, key).select(key, order, "rank", "line", "bytes", (F.col("_n") - F.col("_k")).alias("omitted"))
+    kept = kept.withColumn("_k", F.count("*").over(W.partitionBy(key))).withColumnRenamed(key, "_key")
+    return total.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        key, order, "rank", "line", "bytes", (F.col("_n") - F.coalesce("_k", F.lit(0))).alias("omitted"))
 
 
 def words(c: Column) -> Column:

@@ -134,7 +134,7 @@ def running_total_and_rank(df: DataFrame, key: str, time: str, amount: str, row_
 
     Both are built on sums per (key, value), in slices of the order (:func:`running`).
     """
-    per_time = df.groupBy(key, time).agg(F.sum(F.col(amount).cast("decimal(18,2)")).alias("_a"))
+    per_time = df.groupBy(key, time).agg(F.sum(F.col(amount).cast("decimal(38,12)")).alias("_a"))
     totals = running(per_time, [key], F.date_trunc("year", F.col(time)), [time], {"running_total": F.col("_a")})
     per_amount = df.groupBy(key, amount).agg(F.count("*").alias("_c"))
     ranks = running(
@@ -142,8 +142,10 @@ def running_total_and_rank(df: DataFrame, key: str, time: str, amount: str, row_
     ).select(key, amount, (F.col("_upto") - F.col("_c") + 1).alias("amount_rank"))
     return (
         df.select(row_id, key, time, amount)
-        .join(totals.select(key, time, F.col("running_total").cast("double").alias("running_total")), [key, time])
-        .join(ranks, [key, amount])
+        .join(totals.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col("running_total").cast("double").alias("running_total")),
+              F.col(key).eqNullSafe(F.col("_k")) & F.col(time).eqNullSafe(F.col("_t"))).drop("_k", "_t")
+        .join(ranks.select(F.col(key).alias("_k"), F.col(amount).alias("_v"), "amount_rank"),
+              F.col(key).eqNullSafe(F.col("_k")) & F.col(amount).eqNullSafe(F.col("_v"))).drop("_k", "_v")
     )
 
 

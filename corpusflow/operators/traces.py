@@ -169,14 +169,17 @@ def tool_output(payload: Column) -> list[Column]:
             F.coalesce(g("$.truncated_from").try_cast("int"), F.lit(0)).alias("truncated_from")]
 
 
-def tool_result(raw: Column) -> list[Column]:
-    """Any raw result as ok flag and data: objects with ``ok`` as they are, lists by their first item, text as text."""
+def tool_result(raw: Column, is_list: Column | None = None) -> list[Column]:
+    """Any raw result as ok flag and data: objects with ``ok`` as they are, lists by their first item, text as text.
+
+    A text is parsed only where it begins with a brace; ``is_list`` marks results that came as lists, not as texts.
+    """
     t = tx.strip(F.coalesce(raw, F.lit("")))
     v = F.try_parse_json(t)
     kind = F.when(v.isNotNull(), F.substring(F.schema_of_variant(v), 1, 5))
     obj = (kind == "OBJEC") & F.startswith(t, F.lit("{"))
     has_ok = obj & F.get_json_object(t, "$.ok").isNotNull()
-    lst = (kind == "ARRAY") & F.startswith(t, F.lit("["))
+    lst = (kind == "ARRAY") & F.coalesce(is_list, F.lit(False)) if is_list is not None else F.lit(False)
     ok = F.when(has_ok, F.get_json_object(t, "$.ok") == "true").otherwise(True)
     data = tx.first_match([(has_ok, F.coalesce(F.get_json_object(t, "$.data"), F.lit(""))), (obj, t), (lst, F.coalesce(F.get_json_object(t, "$[0]"), F.lit("")))],
                           F.coalesce(raw, F.lit("")))

@@ -16,8 +16,8 @@ HIST = """hist as (select conv_id as query_id, turn as pos, case when role = 'us
  row_number() over (partition by conv_id order by turn desc) as r from conversations)"""
 GATHER = f"""{SPARSE}, {sq.ranked('sraw', 8, 'kn')}, {HIST},
 cand as (select query_id, 'history' as source, pos, role || ': ' || content as content, 0.0::double as score from hist where r <= 12 and {sq.strip('content')} <> ''
- union all select query_id, 'knowledge', 1000000 + rank, text, score from kn join documents on doc_id = chunk_id
- union all select conv_id, 'note', 3000000 + turn, 'sys: ' || text, 0.5::double from conversations where role = 'system')"""
+ union all select query_id, 'knowledge', 1099511627776 + rank, text, score from kn join documents on doc_id = chunk_id
+ union all select conv_id, 'note', 3298534883328 + turn, 'sys: ' || text, 0.5::double from conversations where role = 'system')"""
 
 
 def _history(spark, d):
@@ -100,10 +100,10 @@ HT = f"""ht as (select query_id, string_agg('- ' || role || ': ' || {sq.strip('c
  (select *, row_number() over (partition by query_id order by pos desc) as r2 from hist where r <= 12 and {sq.strip('content')} <> '') where r2 <= 6 group by 1)"""
 TOK = "case when length(content) = 0 then 0 else greatest(1, length(content) // 2) end"
 PACK = f"""{EVID}, {HT}, pk0 as (select item_id as query_id, 0 as ordinal, 'user_question' as kind, 'question' as source, text as content, 1.0::double as relevance from benchmark
- union all select query_id, 1, 'conversation_history', 'history', content, 0.6::double from ht
+ union all select query_id, 1, 'conversation_history', 'history', content, 0.6::double from ht where query_id in (select item_id from benchmark)
  union all select query_id, 1 + selected_rank, 'evidence', 'evidence:' || source, {sq.strip('content')}, score from ev where score >= 0.1::double
  union all select query_id, 100, 'candidate_summary', 'candidate_summary', string_agg(n || '. [' || source || '] ' || {sq.strip('content')}, chr(10) order by n), 0.35::double
-  from (select *, row_number() over (partition by query_id order by pos) as n from cand) where n <= 3 and {sq.strip('content')} <> '' group by 1
+  from (select *, row_number() over (partition by query_id order by pos) as n from cand where query_id in (select item_id from benchmark)) where n <= 3 and {sq.strip('content')} <> '' group by 1
  union all select item_id, 101, 'mode_hint', 'mode_hint', '{rules.MODE_HINTS['deep']}', 0.95::double from benchmark),
 pk as (select *, {TOK} as tokens from pk0)"""
 

@@ -197,12 +197,12 @@ def _(spark, d):
     return t.select("conv_id", "turn", *memory.entry_texts(F.col("text"), F.col("type"), "2024-01-31"))
 
 
-@query("n05_duplicates", f"""with r as (select doc_id, {NORM.format(c='t')} as t, {NORM.format(c='c')} as c from (select doc_id, lang || (doc_id % 3) as t, left(text, 200) as c from documents)),
+@query("n05_duplicates", f"""with r as (select doc_id, {NORM.format(c='t')} as t, {NORM.format(c='c')} as c from (select doc_id, lang || (doc_id % 3) as t, text as c from documents)),
 s as (select doc_id, t, c, list_distinct(list_filter(string_split(c, ''), lambda x: x <> '')) as s from r)
 select distinct b.doc_id from s a join s b on a.t = b.t and a.doc_id < b.doc_id and (a.c = b.c or len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) > 0.8)""")
 def _(spark, d):
     title = F.concat("lang", (F.col("doc_id") % 3).cast("string"))
-    return memory.duplicates(table(spark, d, "documents").select("doc_id", title.alias("title"), F.left("text", F.lit(200)).alias("content")), "doc_id")
+    return memory.duplicates(table(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("content")), "doc_id")
 
 
 TURNS = f"""tn as (select u.conv_id, u.turn, u.text as user_message, a.text as assistant_response from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
@@ -227,23 +227,24 @@ def _(spark, d):
     return u.select(tx.cache_key_text(F.col("name")).alias("k"), "description", "content", "updated_at")
 
 
-@query("n08_index_limits", """with l as (select lang as owner, doc_id, '- [' || left(text, 20) || '](m' || doc_id || '.md) — ' || left(text, 80) as line from documents),
+@query("n08_index_limits", """with l as (select lang as owner, doc_id, '- [' || split_part(text, chr(10), 1) || '](m' || doc_id || '.md) — ' || text as line from documents),
 r as (select *, row_number() over (partition by owner order by doc_id desc) as rank, count(*) over (partition by owner) as n from l),
-b as (select *, sum(octet_length(encode(line)) + 1) over (partition by owner order by rank)::bigint as bytes from r where rank <= 200)
-select owner, doc_id, rank, line, bytes, n - count(*) over (partition by owner) as omitted from b where bytes <= 15000""")
+b as (select *, sum(octet_length(encode(line)) + 1) over (partition by owner order by rank)::bigint as bytes from r where rank <= 200),
+k as (select owner, doc_id, rank, line, bytes from b where bytes <= 15000)
+select t.owner, doc_id, rank, line, bytes, t.n - count(rank) over (partition by t.owner) as omitted from (select lang as owner, count(*) as n from documents group by 1) t left join k using (owner)""")
 def _(spark, d):
-    t = table(spark, d, "documents").select(F.col("lang").alias("owner"), "doc_id", F.left("text", F.lit(20)).alias("title"),
-                                            F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.left("text", F.lit(80)).alias("description"))
+    t = table(spark, d, "documents").select(F.col("lang").alias("owner"), "doc_id", tx.first_line(F.col("text")).alias("title"),
+                                            F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.col("text").alias("description"))
     return memory.index_lines(t, "owner", "doc_id", max_bytes=15000)
 
 
 MW = r"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'))"
-RECALL = f"""mw as (select doc_id as chunk_id, {MW.format(c="left(text, 60) || ' ' || left(text, 100)")} as w from documents), qw0 as (select item_id as query_id, {MW.format(c='text')} as w from benchmark),
+RECALL = f"""mw as (select doc_id as chunk_id, {MW.format(c="split_part(text, chr(10), 1) || ' ' || text")} as w from documents), qw0 as (select item_id as query_id, {MW.format(c='text')} as w from benchmark),
 rs as (select query_id, chunk_id, round(len(list_intersect(m.w, q.w)) / len(list_distinct(list_concat(m.w, q.w))) * 10.0::double, 9) as score from mw m, qw0 q where len(list_intersect(m.w, q.w)) > 0)"""
 
 
 def _recall(spark, d, k):
-    m = texts(spark, d).select(F.col("doc_id").alias("memory_id"), F.left("text", F.lit(60)).alias("title"), F.left("text", F.lit(100)).alias("description"))
+    m = texts(spark, d).select(F.col("doc_id").alias("memory_id"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("description"))
     return memory.recall(m, fx.queries(spark, d), k)
 
 
@@ -284,9 +285,9 @@ def _(spark, d):
     return n.select("session_id", "note_id", k.alias("keep"))
 
 
-@query("n12_distinct_notes", f"""select min(doc_id) as doc_id from documents group by {NORM.format(c='lang')}, {NORM.format(c='left(text, 10)')}, {NORM.format(c='left(text, 60)')}""")
+@query("n12_distinct_notes", f"""select min(doc_id) as doc_id from documents group by {NORM.format(c='lang')}, {NORM.format(c='split_part(text, chr(10), 1)')}, {NORM.format(c='text')}""")
 def _(spark, d):
-    n = table(spark, d, "documents").select("doc_id", F.upper("lang").alias("kind"), F.left("text", F.lit(10)).alias("title"), F.left("text", F.lit(60)).alias("content"))
+    n = table(spark, d, "documents").select("doc_id", F.upper("lang").alias("kind"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("content"))
     return memory.distinct_notes(n, "doc_id").select("doc_id")
 
 
@@ -312,9 +313,11 @@ def _(spark, d):
     return memory.note_from_turn(t).select("conv_id", "turn", "kind", "importance", "title", "content")
 
 
-@query("n14_kind_to_type", f"with {NOTE_ROWS} select session_id, note_id, 'project' as type from nt")
+@query("n14_kind_to_type", f"select conv_id, turn, case (length(text) + turn) % 8 when 1 then 'feedback' when 3 then 'user' when 5 then 'reference' else 'project' end as type from conversations")
 def _(spark, d):
-    return _notes(spark, d).select("session_id", "note_id", memory.kind_to_type(F.col("kind")).alias("type"))
+    kinds = F.array(*map(F.lit, ("decision", "constraint", "summary", "preference", "blocker", "memory", "note", "chat")))
+    kind = F.get(kinds, ((F.length("text") + F.col("turn")) % 8).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", memory.kind_to_type(kind).alias("type"))
 
 
 @query("n15_note_replay", """with l as (select user_id as note_id, event_id as seq, case event_type when 'error' then 'delete' when 'signup' then 'add' else 'update' end as op,
@@ -360,16 +363,18 @@ def _cache_queries(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit(" \n ")), F.lit("\n")).alias("text"))
 
 
-@query("a02_exact_hits", f"""with {CACHE}, lv as (select * from ca where {NOW} - created_at <= 300000), b as (select query_hash, arg_max(entry_id, created_at) as entry_id, arg_max(answer, created_at) as answer from lv group by 1)
+@query("a02_exact_hits", f"""with {CACHE}, lv as (select * from ca where {NOW} - created_at <= (select max({NOW} - created_at) * 0.75 from ca)), b as (select query_hash, arg_max(entry_id, created_at) as entry_id, arg_max(answer, created_at) as answer from lv group by 1)
 select conv_id * 1000 + turn as query_id, entry_id, answer from conversations join b on query_hash = sha1({NORM.format(c='text')})""")
 def _(spark, d):
-    return cache.exact_hits(_cache_queries(spark, d), _cache(spark, d), F.lit(NOW), 300000)
+    c = _cache(spark, d)
+    oldest = c.agg(F.max(NOW - F.col("created_at"))).first()[0]
+    return cache.exact_hits(_cache_queries(spark, d), c, F.lit(NOW), oldest * 0.75)
 
 
 # questions carry a disturbed copy of the cached vectors
 SHIFT = "list_concat([v[1] + (vec_id % 4) * 0.25::double], v[2:])"
 VEC = f"""ev as (select vec_id, embedding::double[] as v from embeddings), qv as (select vec_id as query_id, {SHIFT} as v from ev),
-cs as (select query_id, vec_id as entry_id, round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 9) as s from qv q, ev e where vec_id * 5 <= 5000),
+cs as (select query_id, vec_id as entry_id, round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 9) as s from qv q, ev e where vec_id * 5 <= (select 2.5 * max(vec_id) from ev)),
 best as (select query_id, entry_id, s from (select *, row_number() over (partition by query_id order by s desc, entry_id) as rn from cs) where rn = 1 and s >= 0.92)"""
 
 
@@ -386,10 +391,15 @@ def _vec_tables(spark, d):
     return q, c
 
 
+def _half(c):
+    """An age that half of the entries exceed, so the share of live ones doesn't change with the table."""
+    return c.agg(F.expr("2.5 * max(entry_id)")).first()[0]
+
+
 @query("a03_semantic_hits", f"with {VEC} select query_id, entry_id, round(s, 6) as similarity from best")
 def _(spark, d):
     q, c = _vec_tables(spark, d)
-    return cache.semantic_hits(q, c, F.lit(NOW), 5000).withColumn("similarity", F.round("similarity", 6))
+    return cache.semantic_hits(q, c, F.lit(NOW), _half(c)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("a04_cosine", f"with {VEC} select vec_id, case when vec_id % 9 = 0 then 0.0::double else round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 6) end as cosine from ev e join qv q on query_id = vec_id")
@@ -404,7 +414,7 @@ def _(spark, d):
     return cache.evict(e, F.lit("2024-01-31").cast("timestamp"), 1728000, 1000, "ts", "event_id").select("event_id")
 
 
-@query("a06_cache_stats", f"""with {VEC}, ex as (select vec_id as query_id from ev where vec_id % 3 = 0 and vec_id * 5 <= 5000)
+@query("a06_cache_stats", f"""with {VEC}, ex as (select vec_id as query_id from ev where vec_id % 3 = 0 and vec_id * 5 <= (select 2.5 * max(vec_id) from ev))
 select case when e.query_id is not null then 'exact' when b.query_id is not null then 'semantic' else 'miss' end as cache_type, count(*) as n
 from qv left join ex e using (query_id) left join best b using (query_id) group by 1""")
 def _(spark, d):
@@ -412,4 +422,4 @@ def _(spark, d):
     word = F.concat(F.lit("Q "), F.col("query_id").cast("string"), F.when(F.col("query_id") % 3 == 0, "").otherwise(" changed"))
     q = q.withColumn("text", word)
     c = c.withColumns({"query_hash": cache.key(F.concat(F.lit("q "), F.col("entry_id").cast("string"))), "answer": F.lit("x")})
-    return cache.stats(cache.lookup(q, c, F.lit(NOW), 5000))
+    return cache.stats(cache.lookup(q, c, F.lit(NOW), _half(c)))

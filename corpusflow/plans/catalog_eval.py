@@ -126,14 +126,14 @@ def _(spark, d):
 CASES = f"""bt as (select item_id as case_id, {sq.terms('text')} as t from benchmark),
 cs as (select case_id, list_distinct(t[1:3]) as terms_loose, list_distinct(t[4:5]) as terms_strict from bt),
 {RECALL}, {sq.ranked('rs', 10, 'o')},
-b as (select query_id as case_id, rank, left(text, 60) as title, text as abstract, doc_id from o join documents on doc_id = chunk_id),
+b as (select query_id as case_id, rank, split_part(text, chr(10), 1) as title, text as abstract, doc_id from o join documents on doc_id = chunk_id),
 e as (select case_id, row_number() over (partition by case_id order by length(abstract) desc, doc_id) as rank, title, abstract, doc_id from b)"""
 
 
 def _cases(spark, d):
     t = tx.index_terms(F.col("text"))
     c = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.array_distinct(F.slice(t, 1, 3)).alias("terms_loose"), F.array_distinct(F.slice(t, 4, 2)).alias("terms_strict"))
-    docs = _docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(60)).alias("title"), F.col("text").alias("abstract"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("chunk_id"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("abstract"))
     b = _recall(spark, d, 10).join(docs, "chunk_id").select(F.col("query_id").alias("case_id"), "rank", "title", "abstract", F.col("chunk_id").alias("doc_id"))
     e = top_k(b.drop("rank"), ["case_id"], [F.desc(F.length("abstract")), F.asc("doc_id")], 10)
     return c, b, e
@@ -153,14 +153,14 @@ def _(spark, d):
     return evaluate.hits_at(c, b)
 
 
-EXPECTED = "ex as (select case_id, doc_id, left(title, 40) as expected_title from b where rank in (2, 5))"
+EXPECTED = "ex as (select case_id, doc_id, title as expected_title from b where rank in (2, 5))"
 
 
 @query("v11_title_mrr", f"""with {CASES}, {EXPECTED}, r as (select x.case_id, expected_title, min(case when starts_with({sq.strip('lower(title)')}, {sq.strip('lower(expected_title)')}) or starts_with({sq.strip('lower(expected_title)')}, {sq.strip('lower(title)')}) then rank end) as rank
  from ex x left join e on e.case_id = x.case_id group by 1, 2) select count(*) as n, round(coalesce(sum(1.0::double / rank), 0) / greatest(count(*), 1), 6) as mrr from r""")
 def _(spark, d):
     _c, b, e = _cases(spark, d)
-    ex = b.where("rank in (2, 5)").select("case_id", F.left("title", F.lit(40)).alias("expected_title")).distinct()
+    ex = b.where("rank in (2, 5)").select("case_id", F.col("title").alias("expected_title")).distinct()
     return evaluate.mrr(evaluate.title_ranks(ex, e))
 
 
@@ -202,10 +202,10 @@ def _(spark, d):
     return evaluate.recall_report(x, r.select("query_id", "rank", "content"))
 
 
-@query("v16_duplicate_rate", "with p as (select lang, source, count(*) as a, count(distinct left(text, 2)) as b, max(text) as s, min(text) as t from documents group by all) select count(*) as n, count(*) filter (a = b and s >= t) as updated_in_place, round(count(*) filter (a = b and s >= t) / count(*), 6) as handled_rate from p".replace("s >= t", "s = s"))
+@query("v16_duplicate_rate", "with p as (select lang, source, count(*) as a, count(distinct text) as b, max(text) as s, arg_max(text, doc_id) as t from documents group by all) select count(*) as n, count(*) filter (a = b and s = t) as updated_in_place, round(count(*) filter (a = b and s = t) / count(*), 6) as handled_rate from p")
 def _(spark, d):
-    p = _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("files_before"), F.count_distinct(F.left("text", F.lit(2))).alias("files_after"), F.max("text").alias("stored"))
-    return evaluate.duplicate_rate(p.withColumn("second", F.col("stored")))
+    p = _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("files_before"), F.count_distinct("text").alias("files_after"), F.max("text").alias("stored"), F.max_by("text", "doc_id").alias("second"))
+    return evaluate.duplicate_rate(p)
 
 
 @query("v17_run_statistics", " union all ".join(f"select event_type, '{m}' as metric, count(*) as n, round(avg({c}), 4) as mean, round(coalesce(stddev_samp({c}), 0), 4) as stddev, round(min({c})::double, 4) as min, round(max({c})::double, 4) as max from events group by 1"
@@ -403,11 +403,11 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", *traces.tool_output(_payload()))
 
 
-@query("x09_tool_result", """select event_id, event_type <> 'error' as ok, case event_type when 'error' then '' when 'click' then '["a' || user_id || '", 2]' when 'view' then 'plain ' || user_id when 'signup' then '{"ok' else props end as data from events""".replace("""'["a' || user_id || '", 2]'""", "'a' || user_id"))
+@query("x09_tool_result", """select event_id, event_type <> 'error' as ok, case event_type when 'error' then '' when 'click' then case when user_id % 2 = 0 then 'a' || user_id else '["a' || user_id || '", 2]' end when 'view' then 'plain ' || user_id when 'signup' then '{"ok' else props end as data from events""")
 def _(spark, d):
     ty, u = F.col("event_type"), F.col("user_id").cast("string")
     raw = F.when(ty == "error", '{"ok": false}').when(ty == "click", F.concat(F.lit('["a'), u, F.lit('", 2]'))).when(ty == "view", F.concat(F.lit("plain "), u)).when(ty == "signup", '{"ok').otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", *traces.tool_result(raw))
+    return table(spark, d, "events").select("event_id", *traces.tool_result(raw, (ty == "click") & (F.col("user_id") % 2 == 0)))
 
 
 @query("x10_distinct_tools", "select user_id as run_id, event_type as name, min(event_id) as first from events group by 1, 2")
@@ -455,13 +455,13 @@ SPECS = [guard.Spec("k", "bigint", required=True, lo=10, hi=80), guard.Spec("mod
 
 
 @query("g01_validate_records", """with e as (select event_id, (props::json->>'k')::int as k, event_type, user_id from events)
-select event_id, concat_ws(';', case when user_id % 9 = 0 then 'k:WRONG_TYPE' when k < 10 or k > 80 then 'k:OUT_OF_RANGE' end, case when event_type not in ('click', 'view') then 'mode:INVALID_ENUM' end, case when user_id % 4 = 0 then 'user:MISSING' end, case when user_id % 5 = 0 then 'extra:UNKNOWN_FIELD' end) as errors,
+select event_id, concat_ws(';', case when user_id % 9 = 0 then 'k:WRONG_TYPE' when k < 10 or k > 80 then 'k:OUT_OF_RANGE' end, case when event_type not in ('click', 'view') or user_id % 7 = 0 then 'mode:INVALID_ENUM' end, case when user_id % 4 = 0 then 'user:MISSING' end, case when user_id % 5 = 0 then 'extra:UNKNOWN_FIELD' end) as errors,
  case when user_id % 9 <> 0 and k between 10 and 80 then k::varchar end as k, '5' as n from e""")
 def _(spark, d):
     u = F.col("user_id")
     e = lambda c, k, v: F.when(c, F.create_map(F.lit(k), v)).otherwise(F.create_map().cast("map<string,string>"))
     args = F.map_concat(
-        F.create_map(F.lit("k"), F.when(u % 9 == 0, "many").otherwise(F.get_json_object("props", "$.k")), F.lit("mode"), F.col("event_type")),
+        F.create_map(F.lit("k"), F.when(u % 9 == 0, "many").otherwise(F.get_json_object("props", "$.k")), F.lit("mode"), F.when(u % 7 != 0, F.col("event_type"))),
         e(u % 4 != 0, "user", u.cast("string")), e(u % 5 == 0, "extra", F.lit("x")))
     v = table(spark, d, "events").select("event_id", *guard.validate(args, SPECS))
     text = F.array_join(F.transform("errors", lambda x: F.concat(x["field"], F.lit(":"), x["code"])), ";")

@@ -197,9 +197,9 @@ def _(spark, d):
 SLUG = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^\x00-\x7f]', '', 'g'), '[ /\\]', '-', 'g'), '[,''"()\[\]:;]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"""
 
 
-@query("e01_slug", "select doc_id, " + SLUG.replace("{c}", sq.strip("left(text, 60)")) + " as slug from documents")
+@query("e01_slug", "select doc_id, " + SLUG.replace("{c}", sq.strip("text")) + " as slug from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", graph.slug(F.left("text", F.lit(60))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", graph.slug(F.col("text")).alias("slug"))
 
 
 @query("e02_keyword_terms", f"select doc_id, array_to_string({KEYWORD_TERMS}, ' ') as terms from documents")
@@ -254,7 +254,7 @@ CITED = "text || ' [' || (doc_id % 7) || ', ' || (doc_id % 3) || '] (Smith & Lee
 @query("e08_citations", rf"""with t as (select doc_id, {CITED} as t from documents),
 b0 as (select doc_id, unnest(regexp_extract_all(t, '\[(\d+(?:[,，]\s*\d+)*)\]', 1)) as m from t),
 b as (select distinct doc_id, 'paper/ref-' || trim(n) as target, 'bracket' as cite_format from (select doc_id, unnest(string_split(m, ',')) as n from b0)),
-p as (select distinct doc_id, 'paper/' || regexp_replace(lower(regexp_extract(m, '\(([^,]+), *(\d{{4}}[a-z]?)\)', 1)), '[ &]+', '-', 'g') || '-' || regexp_extract(m, '(\d{{4}}[a-z]?)\)', 1) as target, 'paren' as cite_format
+p as (select distinct doc_id, 'paper/' || regexp_replace(regexp_replace(lower(trim(regexp_extract(m, '\(([^,]+), *(\d{{4}}[a-z]?)\)', 1))), '[ /\\]', '-', 'g'), '-+', '-', 'g') || '-' || regexp_extract(m, '(\d{{4}}[a-z]?)\)', 1) as target, 'paren' as cite_format
  from (select doc_id, unnest(regexp_extract_all(t, '\([A-Z][a-z]+(?:\s+(?:&|and)\s+[A-Z][a-z]+)?,\s*\d{{4}}[a-z]?\)')) as m from t)),
 i as (select distinct doc_id, 'paper/' || lower(regexp_extract(m, '^([A-Z][a-z]+)', 1)) || '-et-al-' || regexp_extract(m, '\((\d{{4}}[a-z]?)\)', 1) as target, 'inline' as cite_format
  from (select doc_id, unnest(regexp_extract_all(t, '[A-Z][a-z]+\s+et\s+al\.?\s*\(\d{{4}}[a-z]?\)')) as m from t))

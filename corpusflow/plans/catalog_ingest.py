@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.operators import chunking, ingest
 from corpusflow.plans import fixtures as fx
@@ -71,8 +72,9 @@ def _(spark, d):
 
 
 @query("i07_markdown_sections", rf"""
-with l as (select doc_id, unnest(range(1, len(x) + 1)) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(regexp_replace(text, '\n([A-M])', chr(10) || '# \1', 'g'), '\n([N-Z])', chr(10) || '## \1', 'g'), chr(10)) as x from documents)),
-m as (select *, regexp_matches(line, '^# ') as is1, regexp_matches(line, '^## ') as is2 from l),
+with l as (select doc_id, unnest(range(1, len(x) + 1)) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n([TS])', chr(10) || '```' || chr(10) || '\1', 'g'), '\n([A-M])', chr(10) || '# \1', 'g'), '\n([N-Z])', chr(10) || '## \1', 'g'), chr(10)) as x from documents)),
+f as (select *, sum(starts_with(line, '```')::int) over (partition by doc_id order by i) % 2 = 1 as fenced from l),
+m as (select *, regexp_matches(line, '^# ') and not fenced as is1, regexp_matches(line, '^## ') and not fenced as is2 from f),
 s as (select *, sum((is1 or is2)::int) over w as sec,
  last_value(case when is1 then trim(substr(line, 3)) end ignore nulls) over w as h1,
  max(case when is1 then i else 0 end) over w as at1 from m window w as (partition by doc_id order by i)),
@@ -80,8 +82,8 @@ h as (select *, last_value(case when is2 then trim(substr(line, 4)) end ignore n
 g as (select doc_id, sec, {sq.strip("string_agg(line, chr(10) order by i)")} as text, coalesce(min(h1), '') as h1, coalesce(arg_max(h2, i), '') as h2 from h group by all)
 select doc_id, row_number() over (partition by doc_id order by sec) - 1 as section, h1, h2, text from g where text <> ''""")
 def _(spark, d):
-    # lines that start with a capital become headings
-    t = F.regexp_replace(F.regexp_replace("text", r"\n([A-M])", "\n# $1"), r"\n([N-Z])", "\n## $1")
+    # lines that start with a capital become headings, some of them behind a fence
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\n([TS])", "\n```\n$1"), r"\n([A-M])", "\n# $1"), r"\n([N-Z])", "\n## $1")
     return chunking.markdown_sections(table(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id")
 
 
@@ -114,7 +116,15 @@ def _(spark, d):
     return texts(spark, d).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
 
 
-@query("i11_html_text")
+def _html_sql(c):
+    for r in (*rules.HTML_HIDDEN, rules.HTML_BREAK, rules.HTML_TAG):
+        c = f"regexp_replace({c}, '{r}', {'chr(10)' if r == rules.HTML_BREAK else chr(39) + ' ' + chr(39)}, 'g')"
+    for name, value in (*rules.HTML_NAMED.items(), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{value.replace(chr(39), chr(39) * 2)}')"
+    return NORM.replace("replace(text,", f"replace({c},")
+
+
+@query("i11_html_text", f"select page_id, {_html_sql('html')} as text from pages")
 def _(spark, d):
     return texts(spark, d, "pages").select("page_id", ingest.html_text(F.col("html")).alias("text"))
 

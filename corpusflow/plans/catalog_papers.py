@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusflow.functions import text as tx
 from corpusflow import rules
 from corpusflow.operators import papers
 from corpusflow.plans import sqlkit as sq
@@ -26,12 +27,12 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", papers.doi_from_url(url).alias("doi"))
 
 
-TITLE = "case when doc_id % 17 = 0 then '' else left(text, 3 + (doc_id % 5)::int) end"
+TITLE = "case when doc_id % 17 = 0 then '' else split_part(text, chr(10), 1) end"
 
 
 def _titled(spark, d):
     i = F.col("doc_id")
-    title = F.when(i % 17 == 0, "").otherwise(F.left("text", (3 + i % 5).cast("int")))
+    title = F.when(i % 17 == 0, "").otherwise(tx.first_line(F.col("text")))
     return _docs(spark, d).select(F.col("lang").alias("session_id"), "doc_id", title.alias("title"))
 
 
@@ -51,7 +52,7 @@ f as (select *, row_number() over (partition by session_id order by doc_id) as r
 select session_id, min(doc_id) as doc_id from f where rn <= 10 and {_key('title')} <> '' group by session_id, {_key('title')}""")
 def _(spark, d):
     i = F.col("doc_id")
-    title = F.when(i % 17 == 0, "").otherwise(F.left("text", (3 + i % 5).cast("int")))
+    title = F.when(i % 17 == 0, "").otherwise(tx.first_line(F.col("text")))
     rows = _docs(spark, d).select(F.col("source").alias("session_id"), "doc_id", title.alias("title"))
     return papers.citation_pool(rows, "session_id", "doc_id", 30).select("session_id", "doc_id")
 
@@ -102,15 +103,15 @@ def _(spark, d):
 
 
 SOURCES = """src as (select source as session_id, lang as branch_id, doc_id as pos, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then 'GitHub' else 'Web' end as venue,
- left(text, 20) as title, case when doc_id % 5 = 0 then '' else substr(text, 10, 150) end as abstract, case when doc_id % 3 = 0 then '' else 'http://x/' || doc_id end as url from documents)"""
+ split_part(text, chr(10), 1) as title, case when doc_id % 5 = 0 then '' else text end as abstract, case when doc_id % 3 = 0 then '' else 'http://x/' || doc_id end as url from documents)"""
 
 
 def _sources(spark, d):
     i = F.col("doc_id")
     return _docs(spark, d).select(
         F.col("source").alias("session_id"), F.col("lang").alias("branch_id"), i.alias("pos"),
-        F.when(i % 4 == 0, "").when(i % 4 == 1, "GitHub").otherwise("Web").alias("venue"), F.left("text", F.lit(20)).alias("title"),
-        F.when(i % 5 == 0, "").otherwise(F.substring("text", 10, 150)).alias("abstract"),
+        F.when(i % 4 == 0, "").when(i % 4 == 1, "GitHub").otherwise("Web").alias("venue"), tx.first_line(F.col("text")).alias("title"),
+        F.when(i % 5 == 0, "").otherwise(F.col("text")).alias("abstract"),
         F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("http://x/"), i.cast("string"))).alias("url"))
 
 

@@ -161,24 +161,28 @@ def _out_with(j):
                     F.col("caption").isNotNull().alias("has_caption"), F.coalesce("caption", F.lit("")).alias("caption"))
 
 
-IMAGES = """img as (select query_id, case when rank % 2 = 0 then chunk_id else 100000000 + chunk_id end as chunk_id,
- '/file/image/' || chunk_id as image_url, case when rank % 3 = 0 then '' else 'cap' || chunk_id end as caption, score as image_score from dn)"""
+# two image hits for each of the nearest vectors; half of the ids are those of chunks
+IMAGES = """img as (select query_id, case when rank % 2 = 0 then chunk_id else 100000000 + chunk_id // 4 end as chunk_id, rank * 2 + c as rank,
+ '/file/image/' || case when rank % 3 = 1 then 0 else chunk_id end || '_' || c as image_url, case when rank % 3 = 0 then '' else 'cap' || chunk_id end as caption,
+ case when c = 1 and rank % 3 = 2 then '<<IMAGE:0000abcd>>' else '' end as placeholder, score - c * 0.125::double as image_score from dn, (select unnest([0, 1]) as c))"""
 
 
 @query("t11_image_hit_merge", f"""with {SPARSE}, {sq.ranked('sraw', K, 'sp')}, {_dense_sql(QUERY_VECTORS, 'dn', 5)}, {IMAGES}
-select query_id, chunk_id, case when s.score is null then 'image' else 'text' end as chunk_type, round(coalesce(s.score, image_score), 6) as score,
- coalesce(image_url, '') as urls, round(image_score, 6) as image_score
-from sp s full join img i using (query_id, chunk_id) where s.score is not null or caption <> ''""")
+select s.query_id, s.chunk_id, 'text' as chunk_type, 't' as text, round(s.score, 6) as score, coalesce(array_to_string(u, ','), '') as urls, round(image_score, 6) as image_score
+from sp s left join (select query_id, chunk_id, list(image_url order by rank) as u, arg_max(image_score, rank) as image_score from img group by all) i using (query_id, chunk_id)
+union all select query_id, chunk_id, 'image', case when placeholder <> '' then placeholder || chr(10) || '图片说明：' || caption else caption end, round(image_score, 6), image_url, round(image_score, 6)
+from img where (caption <> '' or placeholder <> '') and (query_id, chunk_id) not in (select (query_id, chunk_id) from sp)""")
 def _(spark, d):
     hits = _sparse(spark, d, K).withColumn("text", F.lit("t"))
     dn = dense.exact_top_k(fx.query_vectors(spark, d), _vectors(spark, d), 5, "query_id", "chunk_id")
-    img = dn.select(
-        "query_id", F.when(F.col("rank") % 2 == 0, F.col("chunk_id")).otherwise(F.col("chunk_id") + 100000000).alias("chunk_id"),
-        F.concat(F.lit("/file/image/"), F.col("chunk_id").cast("string")).alias("image_url"),
-        F.when(F.col("rank") % 3 == 0, "").otherwise(F.concat(F.lit("cap"), F.col("chunk_id").cast("string"))).alias("caption"),
-        F.lit("").alias("image_placeholder"), F.col("score").alias("image_score"))
+    i, r = F.col("chunk_id"), F.col("rank")
+    img = dn.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "query_id", F.when(r % 2 == 0, i).otherwise(F.floor(i / 4) + 100000000).alias("chunk_id"), (r * 2 + F.col("c")).alias("rank"),
+        F.concat(F.lit("/file/image/"), F.when(r % 3 == 1, 0).otherwise(i).cast("string"), F.lit("_"), F.col("c").cast("string")).alias("image_url"),
+        F.when(r % 3 == 0, "").otherwise(F.concat(F.lit("cap"), i.cast("string"))).alias("caption"),
+        F.when((F.col("c") == 1) & (r % 3 == 2), "<<IMAGE:0000abcd>>").otherwise("").alias("image_placeholder"), (F.col("score") - F.col("c") * 0.125).alias("image_score"))
     m = fusion.merge_image_hits(hits, img)
-    return m.select("query_id", "chunk_id", "chunk_type", F.round("score", 6).alias("score"),
+    return m.select("query_id", "chunk_id", "chunk_type", "text", F.round("score", 6).alias("score"),
                     F.array_join("image_urls", ",").alias("urls"), F.round("image_score", 6).alias("image_score"))
 
 

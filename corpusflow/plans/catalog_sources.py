@@ -287,12 +287,18 @@ def _(spark, d):
 # ---- streams -------------------------------------------------------------------
 
 
+def _arriving(spark, df, label):
+    """The rows as five files that arrive one after the other, in no order."""
+    path = work_dir(spark, label)
+    df.repartition(5).write.parquet(path)
+    return jobs.read_stream(spark, path, "*.parquet", df.schema, 1)
+
+
 @query("w01_sync_stream", f"with {sq.CHUNKS} select source, count(*) as n_chunks, sum(length(text))::bigint as n_chars from chunks group by 1")
 def _(spark, d):
-    schema = _docs(spark, d).schema
-    s = jobs.read_stream(spark, d, "documents.parquet", schema).select("doc_id", "source", "text")
+    s = _arriving(spark, _docs(spark, d).select("doc_id", "source", "text"), "arriving")
     target = work_dir(spark, "synced")
-    jobs.sync_documents(s, lambda b: chunking.fixed_windows(b, "doc_id", 500, 60), target, work_dir(spark, "synced-checkpoint"), "source")
+    jobs.sync_documents(s, lambda b: chunking.fixed_windows(b, "doc_id", 500, 60), target, work_dir(spark, "synced-checkpoint"), "doc_id", 16)
     return spark.read.parquet(target).groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -313,8 +319,7 @@ def _(spark, d):
 
 @query("w02_assemble_stream", f"with {STREAM} select * from ans")
 def _(spark, d):
-    t = table(spark, d, "conversations")
-    s = _stream_events(jobs.read_stream(spark, d, "conversations.parquet", t.schema))
+    s = _stream_events(_arriving(spark, table(spark, d, "conversations"), "arriving"))
     return jobs.run_to_table(jobs.assemble_answers(s), "answers", ["run_id"]).drop("complete")
 
 
@@ -333,14 +338,13 @@ def _(spark, d):
 @query("w03_rollup_stream", ROLL)
 def _(spark, d):
     ty = F.col("event_type")
-    s = jobs.read_stream(spark, d, "events.parquet", table(spark, d, "events").schema)
+    s = _arriving(spark, table(spark, d, "events"), "arriving")
     s = s.select(F.col("user_id").alias("run_id"), F.when(ty == "error", "failed").otherwise("completed").alias("status"), F.col("value").alias("latency_ms"), "ts")
-    return _roll(jobs.run_to_table(jobs.span_rollup(s, delay="2 hours"), "rollup", ["run_id", "window_start"]))
+    return _roll(jobs.rollup_stream(s, work_dir(spark, "rollup"), work_dir(spark, "rollup-checkpoint")))
 
 
 @query("w04_first_seen_stream", "select user_id, event_type, day, count(*) as n from (select distinct user_id, event_type, date_trunc('day', ts)::date::varchar as day from events) group by all")
 def _(spark, d):
-    e = jobs.read_stream(spark, d, "events.parquet", table(spark, d, "events").schema)
-    e = e.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    out = jobs.run_to_table(jobs.first_seen(e, ["user_id", "event_type", "day"], "2 days"), "first-seen", mode="append")
+    e = _arriving(spark, table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "arriving")
+    out = jobs.first_seen(e, ["user_id", "event_type", "day"], "2 days", work_dir(spark, "first-seen"), work_dir(spark, "first-seen-checkpoint"))
     return out.groupBy("user_id", "event_type", "day").agg(F.count("*").alias("n"))

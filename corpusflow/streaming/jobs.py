@@ -13,9 +13,10 @@ from corpusflow.operators import ingest
 from corpusflow.session import work_dir
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(folder)
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -23,14 +24,15 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     q.awaitTermination()
 
 
-def sync_documents(stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, source: str = "_source") -> None:
+def sync_documents(stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, document: str, buckets: int = 256) -> None:
     """Keep a chunk table in step with arriving documents.
 
-    A batch replaces all rows of the sources in it, so a batch that is run again leaves the same table.
+    A batch replaces all rows of the documents in it (``document``: their path or id), so other documents stay, whatever
+    batch they came in, and a batch that is run again leaves the same table.
     """
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            ingest.write_replacing(to_chunks(batch), target, source)
+            ingest.write_replacing(to_chunks(batch), target, document, buckets)
 
     _run(stream, each, checkpoint)
 
@@ -50,45 +52,75 @@ def append_updates(stream: DataFrame, target: str, checkpoint: str, mode: str =
     _run(stream, each, checkpoint, mode)
 
 
-def span_rollup(spans: DataFrame, window: str = "1 day", delay: str | None = None) -> DataFrame:
-    """Steps, failures and latency per run and event-time window; the same code for batch and stream."""
+def span_rollup(spans: DataFrame, window: str = "1 day") -> DataFrame:
+    """Steps, failures and latency per run and event-time window."""
     s = spans.withColumn("ts", F.col("ts").cast("timestamp"))
-    if delay is not None:
-        s = s.withWatermark("ts", delay)
     return s.groupBy(F.window("ts", window).alias("w"), "run_id").agg(
         F.count("*").alias("steps"), F.sum((F.col("status") == "failed").cast("long")).alias("failed"), F.sum("latency_ms").alias("latency_ms"),
     ).select("run_id", F.col("w.start").alias("window_start"), "steps", "failed", "latency_ms")
 
 
+def rollup_stream(spans: DataFrame, target: str, checkpoint: str, window: str = "1 day") -> DataFrame:
+    """The roll-up of a stream: each batch leaves its partial sums, and reading adds them up.
+
+    Sums don't depend on the order of arrival, so late rows count like any other and no state has to be kept.
+    """
+    def each(batch: DataFrame, n: int) -> None:
+        span_rollup(batch, window).write.mode("overwrite").parquet(f"{target}/_batch={n}")
+
+    _run(spans, each, checkpoint)
+    parts = spans.sparkSession.read.parquet(target)
+    return parts.groupBy("run_id", "window_start").agg(*(F.sum(c).alias(c) for c in ("steps", "failed", "latency_ms")))
+
+
 STREAM_OUT = "run_id long, answer string, event_count long, tool_event_count long, complete boolean"
-STREAM_STATE = "answer string, event_count long, tool_event_count long, complete boolean"
+STREAM_STATE = "seqs array<long>, kinds array<string>, parts array<string>"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    answer, n, tools, done = state.get if state.exists else ("", 0, 0, False)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    parts = [answer]
-    for kind, data in zip(rows["type"], rows["data"]):
-        if done:
-            break
-        n += 1
-        if kind == "content" and data:
-            parts.append(data)
-        tools += kind == "tool_call"
-        done = kind == "complete"
-    answer = "".join(parts)
-    state.update((answer, int(n), int(tools), bool(done)))
-    yield pd.DataFrame({"run_id": [key[0]], "answer": [answer.strip()], "event_count": [n], "tool_event_count": [tools], "complete": [done]})
+    seqs, kinds, parts = map(list, state.get) if state.exists else ([], [], [])
+    for rows in batches:
+        seqs += rows["seq"].tolist()
+        kinds += rows["type"].tolist()
+        parts += [d if isinstance(d, str) else "" for d in rows["data"]]
+    state.update((seqs, kinds, parts))
+    order = sorted(range(len(seqs)), key=seqs.__getitem__)
+    end = next((i for i, k in enumerate(order) if kinds[k] == "complete"), None)
+    used = order if end is None else order[:end + 1]
+    answer = "".join(parts[k] for k in used if kinds[k] == "content")
+    yield pd.DataFrame({"run_id": [key[0]], "answer": [answer.strip()], "event_count": [len(used)],
+                        "tool_event_count": [sum(kinds[k] == "tool_call" for k in used)], "complete": [end is not None]})
 
 
 def assemble_answers(events: DataFrame) -> DataFrame:
-    """Answers that grow with the events of their run (run_id, seq, type, data) and stop at ``complete``."""
+    """Answers that grow with the events of their run (run_id, seq, type, data) and stop at ``complete``.
+
+    The state holds a run's events, so they may arrive in any order and batch. It isn't timed: a job that ends with what
+    is available would wait for the clock, and a late event of a forgotten run would give a wrong answer.
+    """
     return events.groupBy("run_id").applyInPandasWithState(_fold, STREAM_OUT, STREAM_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def first_seen(events: DataFrame, keys: list[str], ttl: str, time: str = "ts") -> DataFrame:
-    """Rows whose key was not seen within ``ttl`` of event time; older keys expire from the state."""
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+def first_seen(events: DataFrame, keys: list[str], ttl: str, target: str, checkpoint: str, time: str = "ts") -> DataFrame:
+    """The first row of every key that wasn't seen within ``ttl`` of event time.
+
+    A batch is compared with the stored rows of that span, so keys may arrive in any order of batches; the batch's own
+    folder is left out, so a repeated batch gives the same rows.
+    """
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn(time, F.col(time).cast("timestamp")).groupBy(*keys).agg(F.min(time).alias(time))
+        if n:
+            # the first batch's folder is there even if it was empty
+            old = spark.read.parquet(target).where(F.col("_batch") < n).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(time).alias("_seen"))
+            near = (F.col(time) - F.expr(f"interval {ttl}") <= F.col("_seen")) & (F.col("_seen") <= F.col(time) + F.expr(f"interval {ttl}"))
+            for k in keys:
+                near = near & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            new = new.join(old, near, "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/_batch={n}")
+
+    _run(events, each, checkpoint)
+    return events.sparkSession.read.parquet(target).drop("_batch")
 
 
 def run_to_table(stream: DataFrame, label: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
