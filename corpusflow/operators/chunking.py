@@ -71,6 +71,23 @@ def split_with_offsets(text: str, size: int, overlap: int, separators=rules.CHUN
     return spans
 
 
+SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("start_index", T.LongType()), T.StructField("stop", T.LongType())]))
+
+
+def recursive_split(docs: DataFrame, id_col: str, size: int, overlap: int, text_col: str = "text") -> DataFrame:
+    """(id, chunk_idx, start_index, text): spans of at most ``size`` characters, cut at the strongest separator that fits.
+
+    Only the spans come from Python, in Arrow batches; the texts are cut in the JVM.
+    """
+    @F.pandas_udf(SPAN_TYPE)
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start_index": a, "stop": b} for a, b in split_with_offsets(t, size, overlap)] if t else [])
+
+    ex = docs.select(id_col, text_col, F.posexplode(spans(F.col(text_col))).alias("chunk_idx", "s"))
+    return ex.select(id_col, F.col("chunk_idx").cast("long").alias("chunk_idx"), "s.start_index",
+                     F.substr(text_col, F.col("s.start_index") + 1, F.col("s.stop") - F.col("s.start_index")).alias("text"))
+
+
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     piece = text[a:b]
     lead = len(piece) - len(piece.lstrip())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from corpusflow.operators.sparse import Best, ids_of
 BLOCK_ROWS = 4096
 BROADCAST_VALUES = 16_000_000  # 128 MB of doubles
 DIGITS = 9
+STEPS = 400  # codes per unit of a component of a unit vector; larger ones are clipped
 
 
 def check_dimension(vectors: DataFrame, column: str, expected: int) -> DataFrame:
@@ -85,10 +87,9 @@ def exact_top_k(
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact top-k by inner product or cosine.
 
-    Scores are matrix products inside tasks and each task keeps ``k`` rows per query, so the
-    pairs never become rows. The query count is checked: a bounded batch is sent to
-    all tasks and the chunks are scanned in place, without a shuffle; a larger one is cut into
-    blocks of bounded size that meet every block of chunks once.
+    Scores are matrix products inside tasks and each task keeps ``k`` rows per query, so the pairs never become rows.
+    Queries are cut into batches of at most ``BROADCAST_VALUES`` numbers, one batch as a rule. A batch goes to every
+    task, and the chunks are scanned in place, without a shuffle, once for each batch.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).where("v is not null")
     c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("v")).where("v is not null")
@@ -96,8 +97,11 @@ def exact_top_k(
     schema = f"query_id {qt}, chunk_id {ct}, score double"
     unit = metric == "cosine"
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
-    if size["values"] <= BROADCAST_VALUES:
-        pdf = q.toPandas()  # at most BROADCAST_VALUES numbers
+    batches = max(1, -(-size["values"] // BROADCAST_VALUES))
+    batch_of = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+
+    def best_of(number: int) -> DataFrame:
+        pdf = q.where(batch_of == number).toPandas()
         qm = _matrix(pdf["v"]) if len(pdf) else np.zeros((0, 1))
         shared = q.sparkSession.sparkContext.broadcast((ids_of(pdf["query_id"]), _unit(qm) if unit else qm))
 
@@ -110,66 +114,32 @@ def exact_top_k(
                     _scan_block(best, qm, ids_of(b["chunk_id"]), _unit(cm) if unit else cm)
             yield _frame(best, qid)
 
-        local = c.mapInPandas(scan, schema)
-    else:
-        n_q = -(-size["n"] // BLOCK_ROWS)
-        n_c = max(1, -(-c.count() // (4 * BLOCK_ROWS)))
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<bigint>")))
-        cb = c.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
+        return c.mapInPandas(scan, schema)
 
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            qm, cm = (_matrix(x["v"]) if len(x) else np.zeros((0, 1)) for x in (a, b))
-            best = Best(len(a), k)
-            if len(a) and len(b):
-                _scan_block(best, _unit(qm) if unit else qm, ids_of(b["chunk_id"]), _unit(cm) if unit else cm)
-            return _frame(best, ids_of(a["query_id"]))
+    return top_k(reduce(DataFrame.unionAll, map(best_of, range(batches))), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
-        local = qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb")).applyInPandas(meet, schema)
-    return top_k(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
+def quantized(chunks: DataFrame, chunk_id: str, vector: str = "embedding") -> DataFrame:
+    """(chunk_id, codes): unit vectors in one byte per number, an index a quarter of the size of floats."""
 
-def approximate_top_k(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    query_id: str,
-    chunk_id: str,
-    vector: str = "embedding",
-    tables: int = 8,
-    bits: int = 6,
-    seed: int = 7,
-    probes: int = 1,
-) -> DataFrame:
-    """Approximate cosine top-k: signed random projections, exact scores for colliding pairs.
+    @F.pandas_udf(T.ArrayType(T.ByteType()))
+    def codes(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.clip(np.rint(_unit(_matrix(v)) * STEPS), -127, 127).astype(np.int8)))
 
-    Recall must be measured against :func:`exact_top_k`; it is never used in its place.
-    """
-    dim = chunks.select(F.size(vector)).first()[0]
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(v: pd.Series) -> pd.Series:
-        b = (_matrix(v) @ planes > 0).reshape(len(v), tables, bits)
-        code = (b * (1 << np.arange(bits))).sum(axis=2)
-        return pd.Series(list(code + (np.arange(tables) << bits)))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def probe_keys(v: pd.Series) -> pd.Series:
-        p = (_matrix(v) @ planes).reshape(len(v), tables, bits)
-        code = ((p > 0) * (1 << np.arange(bits))).sum(axis=2)
-        base = code + (np.arange(tables) << bits)
-        near = np.argsort(np.abs(p), axis=2)[:, :, :probes]
-        flipped = base[:, :, None] ^ (1 << near)
-        return pd.Series(list(np.concatenate([base, flipped.reshape(len(v), -1)], axis=1)))
+    return chunks.where(F.col(vector).isNotNull()).select(chunk_id, codes(F.col(vector)).alias("codes"))
 
+
+def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", wider: int = 4) -> DataFrame:
+    """Approximate cosine top-k: a scan of one-byte codes picks ``wider`` x k candidates per query, exact scores order them.
+
+    Recall must be measured against :func:`exact_top_k` (:func:`recall`); it is never used in its place.
+    """
+    cand = exact_top_k(queries, quantized(chunks, chunk_id, vector).withColumnRenamed("codes", vector), wider * k, query_id, chunk_id, vector, "cosine")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"))
     c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("cv"))
-    qk = q.select("query_id", F.explode(probe_keys("qv")).alias("h"))
-    ck = c.select("chunk_id", F.explode(keys("cv")).alias("h"))
-    pairs = qk.join(ck, "h").select("query_id", "chunk_id").distinct()
-    scored = pairs.join(q, "query_id").join(c, "chunk_id").select(
+    scored = cand.select("query_id", "chunk_id").join(q, "query_id").join(c, "chunk_id").select(
         "query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("cv")), DIGITS).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 

@@ -123,6 +123,18 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     )
 
 
+def value_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Frequency and share of all rows of every value per column, nulls included."""
+    vc = value_counts(df, columns)
+    total = vc.groupBy("column_name").agg(F.sum("freq").alias("_n"))
+    return vc.join(total, "column_name").select("column_name", "value", "freq", F.round(F.col("freq") / F.col("_n") * 100, 4).alias("pct"))
+
+
+def sample_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by a key; every task keeps ``n`` rows."""
+    return df.orderBy(order).limit(n)
+
+
 def value_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.count_distinct(column).alias("n_distinct"), F.min(column).alias("first"), F.max(column).alias("last")

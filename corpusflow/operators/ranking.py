@@ -146,6 +146,13 @@ def by_tag(tag: str, tags: dict[str, list[str]]) -> list[str]:
     return [n for n, ts in tags.items() if tag.lower() in (t.lower() for t in ts)]
 
 
+def labels_by_tag(texts: DataFrame, id_col: str, tag_col: str, tags: dict[str, list[str]]) -> DataFrame:
+    """(id, label) for every label that carries the tag of a row, whatever its case."""
+    known = sorted({t.lower() for ts in tags.values() for t in ts})
+    found = F.create_map(*(F.array(*map(F.lit, by_tag(t, tags))) if i else F.lit(t) for t in known for i in (0, 1)))
+    return texts.select(id_col, F.explode(F.try_element_at(found, F.lower(tag_col))).alias("label"))
+
+
 def is_ambiguous(c: Column) -> Column:
     t = F.lower(tx.strip(F.coalesce(c, F.lit(""))))
     return (F.length(t) <= 20) | tx.contains_any(t, rules.BROAD_MARKERS)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.skew import top_k
 
 DIGITS = 9
-MAX_ENTRIES = 8_000_000  # query terms that may be sent to every task
-BLOCK_ENTRIES = 1_000_000
-BLOCK_DOCS = 16_384
+MAX_ENTRIES = 8_000_000  # query terms of a batch that is sent to every task
 PAIRS_AT_ONCE = 4_000_000
 
 
@@ -159,17 +158,19 @@ def sparse_top_k(vectors: DataFrame, entries: DataFrame, k: int, jaccard: bool =
     ``vectors``: chunk_id, dl, terms, weights (arrays). ``entries``: query_id, term, w, qlen. With ``jaccard`` the
     sums are overlaps and become ten times the Jaccard index of the two term sets.
 
-    The number of entries is checked. A bounded batch goes to every task and vectors are read once, in place.
-    More queries are cut into blocks by a hash of their id; each meets blocks of documents in groups of bounded size.
+    Queries are cut into batches of at most ``MAX_ENTRIES`` terms by a hash of their id, one batch as a rule. A batch goes to
+    every task, and the vectors are read in place, once for each batch.
     """
     vectors = vectors.select("chunk_id", F.col("dl").cast("double").alias("dl"), "terms", F.col("weights").cast("array<double>").alias("weights"))
     entries = entries.select("query_id", "term", F.col("w").cast("double").alias("w"), F.col("qlen").cast("double").alias("qlen"))
     qt, ct = entries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {qt}, chunk_id {ct}, score double"
     types = (_ARROW[qt], _ARROW[ct])
-    n = entries.count()
-    if n <= MAX_ENTRIES:
-        shared = vectors.sparkSession.sparkContext.broadcast(_queries(entries.toArrow()))
+    batches = max(1, -(-entries.count() // MAX_ENTRIES))
+    batch_of = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+
+    def best_of(number: int) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast(_queries(entries.where(batch_of == number).toArrow()))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries = shared.value
@@ -180,21 +181,7 @@ def sparse_top_k(vectors: DataFrame, entries: DataFrame, k: int, jaccard: bool =
                            b.column(3).flatten().to_numpy(), jaccard)
             yield _table(best, queries, types)
 
-        local = vectors.mapInArrow(scan, schema)
-    else:
-        n_q, n_d = -(-n // BLOCK_ENTRIES), max(1, -(-vectors.count() // BLOCK_DOCS))
-        e = entries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)).cast("array<bigint>")))
-        v = vectors.withColumn("db", F.pmod(F.xxhash64("chunk_id"), F.lit(n_d))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"query_id": pa.array([], types[0]), "chunk_id": pa.array([], types[1]), "score": pa.array([], pa.float64())})
-            queries = _queries(left)
-            best = Best(len(queries[5]), k)
-            for b in right.combine_chunks().to_batches():
-                _score(queries, best, ids_of(b.column("chunk_id").to_numpy(zero_copy_only=False)), b.column("dl").to_numpy(), b.column("terms"),
-                       b.column("weights").flatten().to_numpy(), jaccard)
-            return pa.Table.from_batches([_table(best, queries, types)])
+        return vectors.mapInArrow(scan, schema)
 
-        local = e.groupBy("qb", "db").cogroup(v.groupBy("qb", "db")).applyInArrow(meet, schema)
+    local = reduce(DataFrame.unionAll, map(best_of, range(batches)))
     return top_k(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

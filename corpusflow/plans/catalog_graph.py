@@ -188,6 +188,14 @@ def _(spark, d):
     return ranking.by_trigger(table(spark, d, "documents"), "doc_id", TRIGGERS)
 
 
+TAGS = {"romance": ["FR", "es"], "germanic": ["de", "EN"], "iberian": ["ES"]}
+
+
+@query("r13_labels_by_tag", " union all ".join(f"select doc_id, '{n}' as label from documents where lower(lang) in ({', '.join(repr(t.lower()) for t in ts)})" for n, ts in TAGS.items()))
+def _(spark, d):
+    return ranking.labels_by_tag(table(spark, d, "documents"), "doc_id", "lang", TAGS)
+
+
 @query("r14_ambiguous", f"""select conv_id, turn, length(t) <= 20 or {' or '.join(f"contains(t, '{m}')" for m in rules.BROAD_MARKERS)} as ambiguous
 from (select *, lower({sq.strip('text')}) as t from conversations)""")
 def _(spark, d):

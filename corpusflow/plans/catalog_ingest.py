@@ -1,5 +1,6 @@
 """Manifests, chunking, extraction and file rules."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow import rules
@@ -48,6 +49,13 @@ def _(spark, d):
     return ingest.run_summary(t.select(F.col("doc_id").alias("path"), s.alias("status"), F.col("n_chars").alias("ms")))
 
 
+@query("i03_failed_files", "select doc_id as path, 'E' || (n_chars % 3) as error from documents where n_chars % 13 = 0")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    s = F.when(F.col("n_chars") % 13 == 0, "fail").otherwise("success")
+    return ingest.failed_files(t.select(F.col("doc_id").alias("path"), s.alias("status"), F.concat(F.lit("E"), (F.col("n_chars") % 3).cast("string")).alias("error")))
+
+
 def _with_name(spark, d):
     t = texts(spark, d).select("doc_id", "text")
     return t.withColumns({"filename": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")), "page_number": F.lit(0)})
@@ -59,10 +67,43 @@ def _(spark, d):
         "doc_id", "chunk_id", "parent_chunk_id", "root_chunk_id", "chunk_level", "chunk_idx", "start_index", F.length("text").alias("n_chars"))
 
 
-@query("i05_recursive_split")
+# what holds for the chunks of any document; the cuts themselves are ours
+CHUNKED = f"(select doc_id, {sq.strip('text')} as t from documents) where t <> ''"
+
+
+@query("i04_chunk_rules", f"select doc_id, true as sized, true as in_order, true as inside_parents, true as covered from {CHUNKED}")
+def _(spark, d):
+    docs = _with_name(spark, d)
+    c = chunking.three_levels(docs, "filename").select("doc_id", "chunk_level", "chunk_id", "parent_chunk_id", "chunk_idx", "start_index", F.length("text").alias("n"), (F.col("start_index") + F.length("text")).alias("stop"))
+    up = c.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("start_index").alias("a"), F.col("stop").alias("b"), F.col("chunk_idx").alias("up_idx"))
+    size = F.element_at(F.array(*(F.lit(s) for s, _ in rules.CHUNK_LEVELS)), F.col("chunk_level"))
+    j = c.join(up, "parent_chunk_id", "left").withColumns({
+        "fits": F.col("n").between(1, size), "inside": (F.col("chunk_level") == 1) | F.coalesce((F.col("a") <= F.col("start_index")) & (F.col("stop") <= F.col("b")) & (F.col("up_idx") < F.col("chunk_idx")), F.lit(False))})
+    w = W.partitionBy("doc_id", "chunk_level").orderBy("chunk_idx")
+    # parents overlap, so starts ascend within a parent
+    j = j.withColumns({"before": F.lag("start_index").over(W.partitionBy("doc_id", "chunk_level", "parent_chunk_id").orderBy("chunk_idx")),
+                       "reached": F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))})
+    # between two chunks of a level only white space may be left out
+    text = docs.select("doc_id", tx.strip(F.col("text")).alias("t"))
+    gaps = j.where("start_index > coalesce(reached, 0)").join(text, "doc_id")
+    odd = gaps.where(tx.strip(F.substr("t", F.coalesce("reached", F.lit(0)) + 1, F.col("start_index") - F.coalesce("reached", F.lit(0)))) != "").select("doc_id").distinct()
+    ends = j.groupBy("doc_id", "chunk_level").agg(F.max("stop").alias("e")).groupBy("doc_id").agg(F.min("e").alias("e"), F.count("*").alias("levels"))
+    g = j.groupBy("doc_id").agg(F.bool_and("fits").alias("sized"), F.bool_and(F.coalesce(F.col("before") < F.col("start_index"), F.lit(True))).alias("in_order"), F.bool_and("inside").alias("inside_parents"))
+    done = ends.join(text, "doc_id").select("doc_id", ((F.col("e") == F.length("t")) & (F.col("levels") == len(rules.CHUNK_LEVELS))).alias("whole"))
+    return g.join(done, "doc_id").join(odd.withColumn("_odd", F.lit(True)), "doc_id", "left").select("doc_id", "sized", "in_order", "inside_parents", (F.col("whole") & F.col("_odd").isNull()).alias("covered"))
+
+
+@query("i05_recursive_split", f"select doc_id, true as sized, true as covered, true as overlapping from {CHUNKED}")
 def _(spark, d):
-    c = chunking.three_levels(_with_name(spark, d), "filename").where("chunk_level = 1")
-    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"))
+    size, overlap = 400, 60
+    t = texts(spark, d).select("doc_id", tx.strip(F.col("text")).alias("text")).where("text <> ''")
+    c = chunking.recursive_split(t, "doc_id", size, overlap)
+    w = W.partitionBy("doc_id").orderBy("chunk_idx")
+    c = c.withColumns({"stop": F.col("start_index") + F.length("text"), "last": F.lag(F.col("start_index") + F.length("text")).over(w)})
+    g = c.groupBy("doc_id").agg(F.bool_and(F.length("text").between(1, size)).alias("sized"), F.max("stop").alias("e"),
+                                F.bool_and(F.coalesce(F.col("start_index") <= F.col("last"), F.col("start_index") == 0)).alias("_gapless"),
+                                F.bool_and(F.coalesce(F.col("last") - F.col("start_index") <= overlap, F.lit(True))).alias("overlapping"))
+    return g.join(t, "doc_id").select("doc_id", "sized", (F.col("_gapless") & (F.col("e") == F.length("text"))).alias("covered"), "overlapping")
 
 
 @query("i06_fixed_windows", f"with {sq.CHUNKS} select doc_id, chunk_idx, start_index, text from chunks")

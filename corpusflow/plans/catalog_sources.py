@@ -69,6 +69,26 @@ def _(spark, d):
     return spark.read.text(f"{path}/part=1-rows")
 
 
+def _exported(spark, d, fmt):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.concat_ws('", ', "o_orderstatus", "o_orderpriority")).alias("s"), "o_orderdate")
+    path = work_dir(spark, "export")
+    tables.export(o, path, fmt)
+    return path
+
+
+EXPORTED = """select o_orderkey, case when o_orderkey % 7 <> 0 then o_orderstatus || '", ' || o_orderpriority end as s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as o_orderdate from orders"""
+
+
+@query("s05_csv_export", EXPORTED)
+def _(spark, d):
+    return spark.read.option("header", True).option("escape", '"').schema("o_orderkey long, s string, o_orderdate string").csv(_exported(spark, d, "csv"))
+
+
+@query("s05_json_export", EXPORTED)
+def _(spark, d):
+    return spark.read.schema("o_orderkey long, s string, o_orderdate string").json(_exported(spark, d, "json"))
+
+
 def _json(df, spark, label):
     path = work_dir(spark, label)
     df.write.option("ignoreNullFields", True).json(path)

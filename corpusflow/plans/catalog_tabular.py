@@ -26,6 +26,11 @@ def _(spark, d):
     return profile.inspect(table(spark, d, "orders"))
 
 
+@query("d01_sample_rows", "select o_orderkey, o_custkey, o_orderpriority from orders order by o_orderkey limit 5")
+def _(spark, d):
+    return profile.sample_rows(table(spark, d, "orders"), "o_orderkey", 5).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
 @query("d02_numeric_profile", _union_sql(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), """
 select '{c}' as column_name, count({c}) as n, count(*) - count({c}) as nulls, round(avg({c}), 6) as mean,
  round(stddev_samp({c}), 6) as std, min({c})::double as min, round(quantile_cont({c}, 0.25), 6) as q25,
@@ -62,6 +67,11 @@ def _(spark, d):
         from "orders 2024.csv" group by rollup(o_orderpriority, o_orderstatus)""", names)
 
 
+@query("d06_value_distribution", "select 'o_orderpriority' as column_name, o_orderpriority as value, count(*) as freq, round(count(*) * 100.0 / (select count(*) from orders), 4) as pct from orders group by o_orderpriority")
+def _(spark, d):
+    return profile.value_distribution(table(spark, d, "orders"), ["o_orderpriority"])
+
+
 @query("d06_value_range", """
 select count(distinct o_orderpriority) as n_priorities, strftime(min(o_orderdate), '%Y-%m-%d') as first_day,
  strftime(max(o_orderdate), '%Y-%m-%d') as last_day from orders""")

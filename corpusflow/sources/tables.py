@@ -102,7 +102,7 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
         for f in df.schema.fields
     ])
     if fmt == "csv":
-        plain.write.option("header", True).csv(path)
+        plain.write.option("header", True).option("escape", '"').csv(path)  # quotes are doubled
     elif fmt == "json":
         typed = df.select([
             (_text_cell(f).alias(f.name)
