@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import types as T
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.functions.skew import first_per_key, top_k
+from corpusflow.functions.skew import first_per_key, salted_join, top_k
+
+QUERY_CHARS = 2_000_000  # of the queries of a batch that is sent to every task
 
 
 @F.pandas_udf(T.StringType())
@@ -177,41 +180,53 @@ def entity_boost(entities: DataFrame, links: DataFrame) -> DataFrame:
     return b.select("slug", boost.alias("boost"))
 
 
-def _grams(c: Column) -> Column:
-    """Distinct pieces of one, two and three characters."""
-    n = F.length(c)
-    piece = lambda m: F.when(n >= m, F.transform(F.sequence(F.lit(1), n - (m - 1)), lambda i: F.substr(c, i, F.lit(m))))
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[F.coalesce(piece(m), empty) for m in (1, 2, 3)]))
-
-
 def search_entities(entities: DataFrame, queries: DataFrame, k: int = 5, type_: str | None = None) -> DataFrame:
     """Entities whose name or slug contains the query text, by mentions.
 
-    A substring starts with its own first three characters, so those are the join key and only
-    entities that hold them are compared.
+    Queries go to the tasks in batches of at most ``QUERY_CHARS`` characters, as an automaton that finds all of them in one
+    pass over an entity's names. Entities stay where they are; a task sends on at most ``k`` of them per query.
     """
     e = entities if type_ is None else entities.where(F.col("type") == type_)
-    hay = F.concat_ws("\n", F.lower("display_name"), F.col("slug"))
-    e = e.select("slug", "display_name", "mention_count", hay.alias("_hay"))
-    grams = e.select("slug", "mention_count", "_hay", F.explode(_grams(F.col("_hay"))).alias("_g"))
-    q = queries.select("query_id", F.lower(tx.strip(F.col("text"))).alias("_q")).where("_q <> ''")
-    q = q.withColumn("_g", F.substring("_q", 1, 3))
-    hits = grams.join(q, "_g").where(F.contains("_hay", F.col("_q"))).select("query_id", "slug", "mention_count")
-    return top_k(hits, ["query_id"], [F.desc("mention_count"), F.asc("slug")], k)
+    e = e.select("slug", F.col("mention_count").cast("long").alias("mention_count"), F.concat_ws("\n", F.lower("display_name"), F.col("slug")).alias("hay"))
+    q = queries.select("query_id", F.lower(tx.strip(F.col("text"))).alias("q")).where("q <> ''")
+    batches = max(1, -(-(q.agg(F.sum(F.length("q"))).first()[0] or 0) // QUERY_CHARS))
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, slug string, mention_count long"
+
+    def found(number: int) -> DataFrame:
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == number).collect()
+        shared = e.sparkSession.sparkContext.broadcast([(r["query_id"], r["q"]) for r in rows])
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            finder, asked = ahocorasick.Automaton(), {}
+            for i, t in shared.value:
+                asked.setdefault(t, []).append(i)
+            for t in asked:
+                finder.add_word(t, t)
+            finder.make_automaton()
+            for f in frames:
+                hits = [(i, s, n) for s, n, hay in zip(f["slug"], f["mention_count"], f["hay"]) if asked for t in {t for _, t in finder.iter(hay)} for i in asked[t]]
+                yield pd.DataFrame(hits, columns=["query_id", "slug", "mention_count"])
+
+        return e.mapInPandas(scan, schema)
+
+    return top_k(reduce(DataFrame.unionAll, map(found, range(batches))), ["query_id"], [F.desc("mention_count"), F.asc("slug")], k)
 
 
 def related_papers(links: DataFrame, k: int = 5) -> DataFrame:
     """(slug, paper, rank): papers linked to an entity, in or out, or through one co-occurrence hop.
 
     The ``k`` first papers of a union are among the ``k`` first of its parts, so every hub sends on
-    no more than ``k`` papers before the hop is joined.
+    no more than ``k`` papers before the hop is joined, and hops to hot hubs aren't shuffled by their hub.
     """
     into = links.where("from_type = 'paper'").select(F.col("to_entity").alias("slug"), F.col("from_entity").alias("paper"))
     out = links.where("to_type = 'paper'").select(F.col("from_entity").alias("slug"), F.col("to_entity").alias("paper"))
     first = top_k(into.distinct(), ["slug"], [F.asc("paper")], k).drop("rank")
     hops = links.where("relation = 'co_occurs'").select(F.col("from_entity").alias("slug"), F.col("to_entity").alias("_via"))
-    hop = hops.join(first.select(F.col("slug").alias("_via"), "paper"), "_via").select("slug", "paper")
+    hubs = first.groupBy(F.col("slug").alias("_via")).agg(F.collect_list("paper").alias("_papers"))  # k at most
+    hubs = hubs.join(hops.groupBy("_via").agg(F.count("*").alias("_hops")), "_via")
+    hop = salted_join(hops, hubs, "_via", "_hops", F.xxhash64("slug")).select("slug", F.explode("_papers").alias("paper"))
     return top_k(first.unionByName(out).unionByName(hop).distinct(), ["slug"], [F.asc("paper")], k)
 
 

@@ -9,6 +9,7 @@ from corpusflow.operators import chunking, ingest
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.registry import query, table, texts
+from corpusflow.session import materialize, work_dir
 
 LISTING = """listing as (select source || '/doc' || doc_id || '.md' as path, n_chars as size, (1704067200 + doc_id) * 1000000000 as mtime_ns from documents),
 manifest as (select path, case when size % 7 = 0 then size + 1 else size end as size, mtime_ns, timestamp '2024-01-01' as indexed_at
@@ -112,8 +113,13 @@ def _(spark, d):
     return chunking.fixed_windows(t, "doc_id", 500, 60)
 
 
-@query("i07_markdown_sections", rf"""
-with l as (select doc_id, unnest(range(1, len(x) + 1)) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n([TS])', chr(10) || '```' || chr(10) || '\1', 'g'), '\n([A-M])', chr(10) || '# \1', 'g'), '\n([N-Z])', chr(10) || '## \1', 'g'), chr(10)) as x from documents)),
+def _sections(spark, d):
+    # lines that start with a capital become headings, some of them behind a fence
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\n([TS])", "\n```\n$1"), r"\n([A-M])", "\n# $1"), r"\n([N-Z])", "\n## $1")
+    return chunking.markdown_sections(table(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id")
+
+
+SECTIONS = rf"""with l as (select doc_id, unnest(range(1, len(x) + 1)) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n([TS])', chr(10) || '```' || chr(10) || '\1', 'g'), '\n([A-M])', chr(10) || '# \1', 'g'), '\n([N-Z])', chr(10) || '## \1', 'g'), chr(10)) as x from documents)),
 f as (select *, sum(starts_with(line, '```')::int) over (partition by doc_id order by i) % 2 = 1 as fenced from l),
 m as (select *, regexp_matches(line, '^# ') and not fenced as is1, regexp_matches(line, '^## ') and not fenced as is2 from f),
 s as (select *, sum((is1 or is2)::int) over w as sec,
@@ -121,11 +127,34 @@ s as (select *, sum((is1 or is2)::int) over w as sec,
  max(case when is1 then i else 0 end) over w as at1 from m window w as (partition by doc_id order by i)),
 h as (select *, last_value(case when is2 then trim(substr(line, 4)) end ignore nulls) over (partition by doc_id, at1 order by i) as h2 from s),
 g as (select doc_id, sec, {sq.strip("string_agg(line, chr(10) order by i)")} as text, coalesce(min(h1), '') as h1, coalesce(arg_max(h2, i), '') as h2 from h group by all)
-select doc_id, row_number() over (partition by doc_id order by sec) - 1 as section, h1, h2, text from g where text <> ''""")
+"""
+
+
+@query("i07_markdown_sections", SECTIONS + """select doc_id, row_number() over (partition by doc_id order by sec) - 1 as section, h1, h2, text from g where text <> ''""")
 def _(spark, d):
-    # lines that start with a capital become headings, some of them behind a fence
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\n([TS])", "\n```\n$1"), r"\n([A-M])", "\n# $1"), r"\n([N-Z])", "\n## $1")
-    return chunking.markdown_sections(table(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id")
+    return _sections(spark, d)
+
+
+@query("i20_write_path", SECTIONS + """, per as (select doc_id, count(*) as sections, count(*) filter (h1 <> '') as under_h1 from g where text <> '' group by 1)
+select doc_id, sections, under_h1, true as parents_there, true as leaves_apart, doc_id % 3 = 0 as rewritten from per""")
+def _(spark, d):
+    """Sections to three-level chunks, parents and leaves stored apart, then a third of the documents written once more."""
+    def parts(rows):
+        named = rows.withColumns({"filename": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")), "page_number": F.col("section")})
+        return chunking.three_levels(named, "filename")
+
+    sections = materialize(_sections(spark, d), "sections")
+    stores = {}
+    for name, rule in (("leaves", "chunk_level = 3"), ("parents", "chunk_level < 3")):
+        stores[name] = work_dir(spark, name)
+        ingest.write_replacing(parts(sections).where(rule).withColumn("v", F.lit(1)), stores[name], "filename", 16)
+        ingest.write_replacing(parts(sections.where("doc_id % 3 = 0")).where(rule).withColumn("v", F.lit(2)), stores[name], "filename", 16)
+    leaves, parents = (spark.read.parquet(stores[n]) for n in ("leaves", "parents"))
+    up = parents.select(F.col("chunk_id").alias("parent_chunk_id"), F.lit(True).alias("there"))
+    per = leaves.join(up, "parent_chunk_id", "left").groupBy("doc_id").agg(
+        F.count_distinct("section").alias("sections"), F.count_distinct(F.when(F.col("h1") != "", F.col("section"))).alias("under_h1"),
+        F.bool_and(F.coalesce("there", F.lit(False))).alias("parents_there"), (F.max("chunk_level") == F.min("chunk_level")).alias("leaves_apart"), (F.min("v") == 2).alias("rewritten"))
+    return per
 
 
 @query("i08_merge_small_chunks", """with recursive q as (select doc_id, unnest(x) as text, generate_subscripts(x, 1) as pos from (select doc_id, string_split(text, chr(10)) as x from documents)),
