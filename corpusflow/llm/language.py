@@ -25,9 +25,10 @@ from corpusflow.llm.tables import fresh, pieces
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-SAMPLE = 3000       # labelled documents that the weights and the temperature are fitted on
+SAMPLE = 2000       # labelled documents that the weights and the temperature are fitted on
 HELD = 5            # every fifth of them is for the temperature
 UNKNOWN = "und"
+PIECE, WORDS_AT_A_TIME = 1_500_000, 10_000  # bytes of text, and words, that one step works on
 SCALE = 64.0        # brings mean frequencies to the size of ordinary feature values
 
 
@@ -45,12 +46,21 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64), n
 
 
+def word_scores(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the rows of ``table`` over each word's n-grams, and their number; some words at a time, so memory is bounded."""
+    parts = [(np.zeros((0, table.shape[1])), np.zeros(0, np.int64))]
+    for i in range(0, len(words), WORDS_AT_A_TIME):
+        buckets, n = grams(words[i:i + WORDS_AT_A_TIME])
+        parts.append((sums(table[buckets], n), n))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def document_counts(docs: DataFrame, text_column: str) -> tuple[int, np.ndarray]:
     """Number of texts, and of texts with each bucket, over the whole table. One row per bucket reaches the driver."""
 
     def run(batches):
         n, seen = 0, np.zeros(BUCKETS, np.int64)
-        for batch in pieces(batches, text_column, 4_000_000):
+        for batch in pieces(batches, text_column, PIECE):
             words, number, counts = words_of(batch.column(text_column))
             buckets, per_word = grams(words)
             each, k = distinct_per_text(number, counts, max(1, len(words)))
@@ -81,7 +91,7 @@ def sample_features(docs: DataFrame, id_column: str, text_column: str, label_col
         return []
 
     def run(batches):
-        for batch in pieces(batches, text_column):
+        for batch in pieces(batches, text_column, PIECE):
             words, number, counts = words_of(batch.column(text_column))
             buckets, per_word = grams(words)
             values, n = expand(buckets, per_word, number, counts)
@@ -95,7 +105,7 @@ def sample_features(docs: DataFrame, id_column: str, text_column: str, label_col
 
     chosen = labelled.where(F.col(order) <= top).limit(2 * bound)  # copies of one id have one hash
     rows = chosen.select(label, order, text_column).mapInArrow(run, "label string, place long, buckets binary, tf binary").collect()
-    return sorted(((r["label"], r["place"], np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["tf"], "<f4")) for r in rows),
+    return sorted(((r["label"], r["place"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["tf"], "<f4")) for r in rows),
                   key=lambda r: (r[1], r[0], len(r[2])))
 
 
@@ -131,7 +141,7 @@ def fit(rows: list, idf: np.ndarray, epochs: int = 4) -> Model:
     languages = sorted({r[0] for r in rows})
     number = {c: i for i, c in enumerate(languages)}
     leader = Leader(BUCKETS + 1, len(languages))
-    data = [(np.append(b, BUCKETS), np.append(tf * idf[b] * SCALE, 1.0), number[label]) for label, _, b, tf in rows]
+    data = [(np.append(b, np.uint32(BUCKETS)), np.append((tf * idf[b] * SCALE).astype(np.float32), np.float32(1)), number[label]) for label, _, b, tf in rows]
     learn = [d for i, d in enumerate(data) if i % HELD] or data
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(learn)):
@@ -162,15 +172,14 @@ def predict(docs: DataFrame, text_column: str, model: Model | None, keep: list[s
     def run(batches):
         m = shared.value
         table = (m.weights * (m.idf[:, None] * SCALE)).astype(np.float32) if m else None
-        for batch in pieces(batches, text_column):
+        for batch in pieces(batches, text_column, PIECE):
             texts = pc.fill_null(batch.column(text_column), "")
             letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
             if m is None:
                 named, best = [UNKNOWN] * len(batch), np.zeros(len(batch))
             else:
                 words, number, counts = words_of(texts)
-                buckets, per_word = grams(words)
-                of_word = sums(table[buckets], per_word)
+                of_word, per_word = word_scores(words, table)
                 size = sums(per_word[number].astype(np.float64), counts)
                 logits = sums(of_word[number], counts) / np.maximum(1, size)[:, None] + m.bias
                 p = softmax(logits / m.temperature)

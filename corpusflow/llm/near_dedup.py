@@ -40,6 +40,7 @@ UNSEEN = 1e-5          # probability that a pair at the threshold shares no buck
 BATCH = 20             # signature values that are compared at a time
 MISS = 1e-6            # posterior probability of a link below which a pair is dropped
 BLOCK = 1 << 20        # shingles of a block of members; a task compares two blocks
+PIECE = 2_000_000      # bytes of text that one step works on
 FILTER_BITS = 1 << 26  # of the bitmap that keeps other documents out of the verification; a fixed 8 MB
 
 _rng = np.random.default_rng(20240229)
@@ -97,7 +98,7 @@ def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, n, d1, d2, sig): size, digest and signature of each document's set; empty sets have no digest."""
 
     def run(batches):
-        for batch in pieces(batches, text_column, 4_000_000):
+        for batch in pieces(batches, text_column, PIECE):
             sets = shingle_sets(batch.column(text_column))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([
@@ -198,7 +199,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str)
         for batch in batches:
             place = batch.column("place").to_numpy()
             some = batch.filter(pa.array((bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            for part in pieces(iter([some]), "text", 4_000_000):
+            for part in pieces(iter([some]), "text", PIECE):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], names=["id", "set"])
 
     return stored(keyed.mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-sets")

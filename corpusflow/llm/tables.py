@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.session import work_dir
 
-BATCH_ROWS = 4_000          # rows of an Arrow batch between the JVM and Python
+BATCH_ROWS = 1_500          # rows of an Arrow batch between the JVM and Python
 BATCH_BYTES = "33554432"    # and its bytes, so that very long texts make smaller batches
-PIECE_CHARS = 8_000_000     # bytes of text that one vectorised step works on
+PIECE_CHARS = 4_000_000     # bytes of text that one vectorised step works on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, at least one row."""
+    """Slices of the batches with about ``limit`` bytes of text each, at least one row.
+
+    After the last one, memory that Arrow keeps for later goes back: workers serve many tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -66,3 +69,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_CH
             to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()

@@ -27,6 +27,7 @@ SAMPLE = 20_000      # graded documents that the model is fitted on
 FEATURES = 4096      # that may get a weight
 MIN_DOCS = 4         # documents of the sample that have a feature
 PREFIXES = (4, 5, 6, 7)  # letters of a word's beginning, with its edge
+PIECE = 1_500_000    # bytes of text that one step works on
 REJECT = 0.5         # probability of a grade above 0 from which a document is rejected
 
 
@@ -98,7 +99,7 @@ def choose_features(sample: DataFrame, levels: int) -> np.ndarray:
     """Features of the sample whose share differs most between grade 0 and the grades above, at most ``FEATURES``."""
 
     def run(batches):
-        for batch in pieces(batches, "text", 4_000_000):
+        for batch in pieces(batches, "text", PIECE):
             h, n = doc_features(batch.column("text"))
             bad = np.repeat(batch.column("grade").to_numpy() > 0, n)
             pool, place = np.unique(h, return_inverse=True)
@@ -165,7 +166,7 @@ def train(docs: DataFrame, grades: DataFrame, id_column: str, text_column: str,
     features = choose_features(sample, levels)
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             at, n = doc_features(batch.column("text"), features)
             ends = np.cumsum(n)
             packed = [at[e - k:e].astype("<u2").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
@@ -185,7 +186,7 @@ def grade(docs: DataFrame, text_column: str, model: Model, keep: list[str], seve
 
     def run(batches):
         m = shared.value
-        for batch in pieces(batches, text_column):
+        for batch in pieces(batches, text_column, PIECE):
             if len(m.thresholds):
                 at, n = doc_features(batch.column(text_column), m.features)
                 above = m.above(sums(m.weights[at], n))

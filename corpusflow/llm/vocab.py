@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space between other white space, where the byte-level pattern doesn't start a new token.
 IRREGULAR = f"[{SPACE}] (?:[{SPACE}]|\\z)"
-MAX_CHUNKS, MAX_WORDS = 500_000, 900_000  # distinct chunks and words that a worker remembers
+MAX_CHUNKS, MAX_WORDS = 250_000, 400_000  # distinct chunks and words that a worker remembers
 HEAD = "\x00"         # marks the first chunk of a text, which no space precedes
 WALL = "\u010a"       # the byte-level letter for a line feed: a word of one id, which no other word holds
 _BLANK = re.compile(r"\s")  # white space in what a space ends
@@ -47,9 +47,9 @@ def public_path(name: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, words: bool) -> Encoder:
+def encoder(path: str, words: bool, chunks_kept: int = MAX_CHUNKS, words_kept: int = MAX_WORDS) -> Encoder:
     """One encoder for all tasks of a worker process."""
-    return Encoder(path, words)
+    return Encoder(path, words, chunks_kept, words_kept)
 
 
 def ragged(flat: np.ndarray, lens: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +128,9 @@ class Encoder:
     keeps the space before it.
     """
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, chunks_kept: int = MAX_CHUNKS, words_kept: int = MAX_WORDS):
         self.words, self.tokenizer = words, load(path)
+        self.chunks_kept, self.words_kept = chunks_kept, words_kept
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = words and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.bare = _bare(path)
@@ -226,7 +227,7 @@ class Encoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        for memory, most in ((self.memory, MAX_CHUNKS), (self.word_memory, MAX_WORDS)):
+        for memory, most in ((self.memory, self.chunks_kept), (self.word_memory, self.words_kept)):
             if len(memory.known) + len(chunks) > most:
                 memory.forget()
         index = self.memory.numbers(chunks)[coded.indices.to_numpy()]

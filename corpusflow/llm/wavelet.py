@@ -37,9 +37,9 @@ BLOCK_BITS = 1 << 16  # of a compressed block
 SUFFIX = ".wvm"
 
 
-def _pack_block(bits: np.ndarray) -> bytes:
+def _pack_block(bits: np.ndarray, pack) -> bytes:
     raw = np.packbits(bits).tobytes()
-    small = zstandard.compress(raw, 1)
+    small = pack(raw)
     return b"\x01" + small if len(small) < len(raw) else b"\x00" + raw
 
 
@@ -50,12 +50,16 @@ def _unpack_block(data: bytes, n: int) -> np.ndarray:
 
 def build(ids: np.ndarray, doc_ids: list, doc_lens: list[int], **facts) -> bytes:
     """The file of a shard. ``facts`` go into the header as they are."""
-    symbols, codes, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    size = int(ids.max()) + 1 if len(ids) else 1
+    counts = np.bincount(ids, minlength=size)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     order = np.argsort(-counts, kind="stable")
-    place = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
-    place[order] = np.arange(len(order))
-    seq = place[codes]
+    place = np.zeros(size, np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    place[symbols[order]] = np.arange(len(order))
+    seq = place[ids]
     planes = max(1, int(len(order) - 1).bit_length())
+    pack = zstandard.ZstdCompressor(level=1).compress
     blocks, zeros, ones = [], [], []
     for shift in reversed(range(planes)):
         bits = (seq >> shift).astype(np.uint8) & 1
@@ -65,7 +69,7 @@ def build(ids: np.ndarray, doc_ids: list, doc_lens: list[int], **facts) -> bytes
             part = bits[i:i + BLOCK_BITS]
             row.append(before)
             before += int(part.sum())
-            blocks.append(_pack_block(part))
+            blocks.append(_pack_block(part, pack))
         ones.append(row)
         zeros.append(len(bits) - before)
         one = bits.view(bool)
@@ -198,12 +202,14 @@ def write_shards(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
     bounds = _bounds(docs, id_column, parts)
 
     def encode(batches):
-        enc = encoder(tokenizer, True)
+        enc, pack = encoder(tokenizer, True, 500_000, 900_000), zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         small = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for batch in pieces(batches, text_column):
+        for batch in pieces(batches, text_column, 8_000_000):
             flat, lens = enc.ids(batch.column(text_column))
             ends = np.cumsum(lens)
-            packed = [zstandard.compress(np.append(flat[e - n:e], end_id).astype(small).tobytes(), 1) for e, n in zip(ends.tolist(), lens.tolist())]
+            flat = flat.astype(small)
+            end = np.array([end_id], small).tobytes()
+            packed = [pack(flat[e - n:e].tobytes() + end) for e, n in zip(ends.tolist(), lens.tolist())]
             keys = batch.column(id_column).to_pylist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([0 if k is None else bisect.bisect_left(bounds, k) for k in keys], pa.int32()),
@@ -215,7 +221,7 @@ def write_shards(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor().decompress
         keys, lens, ids, held, before, number, part = [], [], [], 0, 0, 0, None
 
         def flush():
@@ -235,7 +241,7 @@ def write_shards(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
                     if held:
                         yield flush()
                     part, before, number = p, 0, 0
-                one = np.frombuffer(zstandard.decompress(packed), f"<u{width}")
+                one = np.frombuffer(unpack(packed), f"<u{width}")
                 keys.append(key)
                 lens.append(len(one))
                 ids.append(one)

@@ -94,16 +94,17 @@ def test_toxicity_defined_cases(odd, empty, rated):
 
 def test_distinct_features_of_texts():
     h, n = toxicity.doc_features(pa.array(["Wort, wort (Wort)", None, "", "wo", "Wortes!"]))
-    assert n.tolist()[1:3] == [0, 0] and n[0] == 2 and n[3] == 1  # the word, its first three letters
+    assert n.tolist()[1:3] == [0, 0] and n[0] == 3 and n[3] == 1  # the word, its first three and four letters
     pool = np.sort(h[:n[0]])
     at, m = toxicity.doc_features(pa.array(["Wortes!", "x"]), pool)
-    assert m.tolist() == [1, 0]
+    assert m.tolist() == [2, 0]
 
 
 # pseudonyms
 
 def feistel(x, r, kind, key=pii.KEY):
-    x, half = list(x), len(x) // 2
+    x = list(x)
+    half = len(x) // 2
     for k in range(pii.ROUNDS):
         first = k % 2 == 0
         other = ",".join(map(str, x[half:] if first else x[:half]))
