@@ -12,6 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import compress, islice
 from string import punctuation
 
 import numpy as np
@@ -26,6 +27,7 @@ IRREGULAR = f"[{SPACE}] (?:[{SPACE}]|\\z)"
 MAX_CHUNKS, MAX_WORDS = 250_000, 400_000  # distinct chunks and words that a worker remembers
 HEAD = "\x00"         # marks the first chunk of a text, which no space precedes
 WALL = "\u010a"       # the byte-level letter for a line feed: a word of one id, which no other word holds
+_BEYOND = re.compile("[^\x00-\u012f]")
 _BLANK = re.compile(r"\s")  # white space in what a space ends
 
 
@@ -112,11 +114,12 @@ class Memory:
 
     def numbers(self, keys: list[str]) -> np.ndarray:
         known = self.known
-        new = [k for k in keys if k not in known]
-        if new:
-            new = list(dict.fromkeys(new))
-            flat, lens = self.learn(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+        n = len(known)
+        for k in keys:
+            if k not in known:
+                known[k] = len(known)
+        if len(known) > n:
+            flat, lens = self.learn(list(islice(known, n, None)))
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
         return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
@@ -141,14 +144,14 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normalised, split words and their number: all words go to the library in one text, with walls between them."""
-        odd = {i for i, w in enumerate(words) if WALL in w}
-        ids = np.asarray(self.bare.encode_batch_fast([f" {WALL} ".join([w for i, w in enumerate(words) if i not in odd] or [""])])[0].ids, np.uint32)
+        odd = np.fromiter((WALL in w for w in words), bool, len(words))
+        ids = np.asarray(self.bare.encode_batch_fast([f" {WALL} ".join([w for w, o in zip(words, odd) if not o] if odd.any() else words)])[0].ids, np.uint32)
         stop = ids == self.wall
         lens = np.diff(np.flatnonzero(np.concatenate([[True], stop, [True]]))) - 1
-        flat = ids[~stop]
-        if not odd:
-            return flat, lens
-        return _weave(len(words), odd, flat, lens if len(odd) < len(words) else lens[:0], [e.ids for e in self.bare.encode_batch_fast([words[i] for i in sorted(odd)])])
+        if not odd.any():
+            return ids[~stop], lens
+        own = [e.ids for e in self.bare.encode_batch_fast([w for w, o in zip(words, odd) if o])]
+        return _weave(odd, ids[~stop], lens if not odd.all() else lens[:0], *_runs(own))
 
     # from chunks to words
 
@@ -162,7 +165,10 @@ class Encoder:
         """Normalised chunks; those without inner white space go to the normaliser as one text."""
         if not self.tokenizer.normalizer:
             return chunks
-        parts = self.tokenizer.normalizer.normalize_str(" ".join(chunks)).split(" ")
+        joined = " ".join(chunks)
+        # up to here lower case is the normal form
+        plain = self.lower and not _BEYOND.search(joined)
+        parts = (joined.lower() if plain else self.tokenizer.normalizer.normalize_str(joined)).split(" ")
         if len(parts) != len(chunks):
             raise ValueError("the normaliser made or dropped a space")
         return parts
@@ -172,13 +178,25 @@ class Encoder:
         lead = "" if self.words else LEAD
         blank = {i for i, c in enumerate(chunks) if not c or _BLANK.search(c)} if self.words else set()
         forms = self._normal(["x" if i in blank else c for i, c in enumerate(chunks)] if blank else chunks)
+        held = pa.array(forms, pa.string())
+        easy = pc.and_(pc.utf8_is_alpha(held), pc.string_is_ascii(held)).to_numpy(zero_copy_only=False)
+        easy[list(blank)] = False
+        words = list(compress(forms, easy))
+        flat, lens = self._of_words([lead + w for w in words] if lead else words, np.ones(len(words), np.int64))
+        if len(words) == len(chunks):
+            return flat, lens
+        hard = np.flatnonzero(~easy).tolist()
+        return _weave(~easy, flat, lens, *self._hard([forms[i] for i in hard], [chunks[i] for i in hard], [i in blank for i in hard]))
+
+    def _hard(self, forms: list[str], chunks: list[str], blank: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that aren't ASCII letters alone."""
         words, n, odd = [], [], {}
-        for i, c in enumerate(forms):
+        for i, (c, out) in enumerate(zip(forms, blank)):
             k = len(words)
-            head = lead
+            head = "" if self.words else LEAD
             if not self.words and c[:1] == HEAD:
                 c, head = c[1:], ""
-            if i in blank or (not c.isascii() and (LEAD in c or WALL in c)) or not _simple(c, head, words):
+            if out or (not c.isascii() and (LEAD in c or WALL in c)) or not _simple(c, head, words):
                 del words[k:]
                 odd[i] = chunks[i] if self.words else c if not head else f" {c}"
             n.append(len(words) - k)
@@ -187,9 +205,9 @@ class Encoder:
             return flat, lens
         rest = self._split(list(odd.values()))
         own, sizes = self._of_words([w for ws in rest for w in ws], np.fromiter(map(len, rest), np.int64, len(rest)))
-        keep = np.ones(len(chunks), bool)
-        keep[list(odd)] = False
-        return _weave(len(chunks), odd, flat, lens[keep], np.split(own, np.cumsum(sizes)[:-1]))
+        mask = np.zeros(len(chunks), bool)
+        mask[list(odd)] = True
+        return _weave(mask, flat, lens[~mask], own, sizes)
 
     def _of_words(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index = self.word_memory.numbers(words)
@@ -238,8 +256,7 @@ class Encoder:
         if not whole.any():
             return flat, n_ids
         own = self.encode_whole(texts.take(pa.array(np.flatnonzero(whole))).to_pylist())
-        kept = n_ids[~whole]  # those encoded whole have an empty chunk's ids so far: none
-        return _weave(len(texts), set(np.flatnonzero(whole).tolist()), flat, kept, own)
+        return _weave(whole, flat, n_ids[~whole], *_runs(own))  # those encoded whole have no ids so far
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -255,15 +272,16 @@ def _bare(path: str):
     return Tokenizer.from_str(json.dumps(spec))
 
 
-def _weave(n: int, odd, flat: np.ndarray, lens: np.ndarray, rest: list) -> tuple[np.ndarray, np.ndarray]:
-    """Runs put together again: the places in ``odd``, in order, take ``rest``, the others the runs of ``flat``."""
-    own = np.zeros(n, bool)
-    own[list(odd)] = True
-    sizes = np.zeros(n, np.int64)
-    sizes[~own], sizes[own] = lens, np.fromiter(map(len, rest), np.int64, len(rest))
+def _weave(own: np.ndarray, flat: np.ndarray, lens: np.ndarray, flat2: np.ndarray, lens2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs put together again: the places in ``own`` take the runs of ``flat2`` in order, the others those of ``flat``."""
+    sizes = np.zeros(len(own), np.int64)
+    sizes[~own], sizes[own] = lens, lens2
     out = np.empty(int(sizes.sum()), np.uint32)
     mine = np.repeat(own, sizes)
-    out[~mine] = flat
-    if len(rest):
-        out[mine] = np.concatenate([np.asarray(r, np.uint32) for r in rest])
+    out[~mine], out[mine] = flat, flat2
     return out, sizes
+
+
+def _runs(each: list) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter(map(len, each), np.int64, len(each))
+    return (np.concatenate([np.asarray(x, np.uint32) for x in each]) if each else np.zeros(0, np.uint32)), lens
