@@ -103,7 +103,7 @@ def sample_features(docs: DataFrame, id_column: str, text_column: str, label_col
             yield pa.RecordBatch.from_arrays([batch.column(label), batch.column(order), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
                                              names=["label", "place", "buckets", "tf"])
 
-    chosen = labelled.where(F.col(order) <= top).limit(2 * bound)  # copies of one id have one hash
+    chosen = labelled.where(F.col(order) <= top).groupBy(order).agg(F.min(label).alias(label), F.min(text_column).alias(text_column))  # one row of a repeated id
     rows = chosen.select(label, order, text_column).mapInArrow(run, "label string, place long, buckets binary, tf binary").collect()
     return sorted(((r["label"], r["place"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["tf"], "<f4")) for r in rows),
                   key=lambda r: (r[1], r[0], len(r[2])))

@@ -92,7 +92,8 @@ def graded_sample(docs: DataFrame, grades: DataFrame, id_column: str, text_colum
     top = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").alias(grade))
     top = top.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(bound).select(F.col("doc_id").alias(key), grade)
     texts = docs.select(F.col(id_column), F.col(text_column)).join(F.broadcast(top), F.col(id_column) == F.col(key))
-    return stored(texts.select(F.col(key).alias("doc_id"), F.col(grade).cast("int").alias("grade"), F.col(text_column).alias("text")).limit(2 * bound), "toxicity-sample")
+    one = texts.groupBy(F.col(key).alias("doc_id"), F.col(grade).cast("int").alias("grade")).agg(F.min(text_column).alias("text"))  # of a repeated id
+    return stored(one, "toxicity-sample")
 
 
 def choose_features(sample: DataFrame, levels: int) -> np.ndarray:
@@ -172,7 +173,7 @@ def train(docs: DataFrame, grades: DataFrame, id_column: str, text_column: str,
             packed = [at[e - k:e].astype("<u2").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("grade"), pa.array(packed, pa.binary())], names=["doc", "grade", "at"])
 
-    got = sample.select("doc_id", "grade", "text").mapInArrow(run, "doc string, grade int, at binary").collect()  # at most 2 x bound rows of few numbers
+    got = sample.select("doc_id", "grade", "text").mapInArrow(run, "doc string, grade int, at binary").collect()  # at most as many rows as the bound, of few numbers
     got = sorted(got, key=lambda r: (r["doc"], r["grade"], r["at"]))
     each = [np.frombuffer(r["at"], "<u2").astype(np.int64) for r in got]
     return fit(np.concatenate(each), np.array([len(x) for x in each]), np.array([r["grade"] for r in got]), features)
