@@ -34,6 +34,7 @@ from corpusflow.llm.vocab import encoder
 MAGIC = b"WVMX0001"
 SHARD_IDS = 1 << 22
 BLOCK_BITS = 1 << 16  # of a compressed block
+KEPT = 1_000_000, 1_300_000  # distinct chunks and words that a worker remembers, about 400 MB
 SUFFIX = ".wvm"
 
 
@@ -202,7 +203,7 @@ def write_shards(docs: DataFrame, id_column: str, text_column: str, tokenizer: s
     bounds = _bounds(docs, id_column, parts)
 
     def encode(batches):
-        enc, pack = encoder(tokenizer, True, 500_000, 900_000), zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        enc, pack = encoder(tokenizer, True, *KEPT), zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         small = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for batch in pieces(batches, text_column, 8_000_000):
             flat, lens = enc.ids(batch.column(text_column))
