@@ -6,6 +6,11 @@ turns, each element is shifted, modulo its radix, by a keyed hash of the other h
 of a format, so equal values get equal pseudonyms in all documents, however they are spaced, and different ones stay
 different. Layout, length, letter case, country code, domain and first card digit stay; the Luhn digit is computed anew.
 
+Cards are looked for in whole runs of digit groups, since other numbers (a count, an expiry, a check number) may stand on either side: every
+succession of groups with 13 to 19 digits is tried that is set like a card (at least 4 digits, then 3, the last group any number), and the first
+groups of the run however they are set. An issuer's number of its usual length goes first, then the leftmost, then the longest. What is
+left of a run is searched for the other kinds.
+
 Defined results: null and empty texts stay as they are; texts without findings stay unchanged; values that fail
 validation are left alone; repeated values and rows are replaced alike; an empty table gives no rows; other columns
 are kept, whatever their names.
@@ -32,8 +37,14 @@ KINDS = {
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+DOTTED = r"(?=[0-9]{3}(?:[ -][0-9]{3})?\.)" + KINDS["phone"]
+# A run of digit groups, up to what has other characters of its own. Possessive: no backtracking in long tables of numbers.
+KINDS["card"] = rf"(?<![0-9])[0-9](?:(?![ -](?:{KINDS['email']}|{KINDS['ip']}|{DOTTED}))[ -]?[0-9]){{12,}}+"
+IN_RUN = "|".join(f"(?:{KINDS[k]})" for k in ("date", "ssn", "phone"))  # kinds that a run can contain
+CARD_LENGTH = "^(?:[0-9] ?){13,19}$"
+CARD_LAYOUT = "^[0-9]{4,}(?: [0-9]{3,})*(?: [0-9]+)?$"
+ISSUED = "^(?:4[0-9]{15}|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|35[0-9]{14}|6(?:011|[245][0-9]{2})[0-9]{12})$"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = "[0-9@=:]"  # every kind has one of these
 HEX = "0123456789abcdef"
@@ -154,18 +165,70 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return bound(kind_of(value), replace)
 
 
+def _cards(value: Column) -> Column:
+    """First and last character (from 1) of the valid cards in a run of digit groups, from left to right."""
+
+    def within(groups: Column) -> Column:
+        n = F.size(groups)
+        text = lambda i, j: F.array_join(F.slice(groups, i + 1, j - i), " ")
+
+        def tried(i: Column, j: Column) -> Column:
+            def ranked(t: Column) -> Column:
+                first = (i == 0) & ((j == n) | ~text(i, j + 1).rlike(CARD_LENGTH))
+                fits = t.rlike(CARD_LENGTH) & (t.rlike(CARD_LAYOUT) | first)
+                rank = F.when(fits, F.when(luhn_valid(digits(t)), F.when(digits(t).rlike(ISSUED), 0).otherwise(1)))
+                return F.struct(rank.alias("rank"), i.alias("start"), (-j).alias("end"))
+
+            return bound(text(i, j), ranked)
+
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i + 1, F.least(n, i + 19)), lambda j: tried(i, j))))
+
+        def free(spans: Column) -> Column:
+            taken = F.aggregate(spans, F.slice(spans, 1, 0), lambda a, c: F.when(
+                F.exists(a, lambda t: (t["start"] < -c["end"]) & (c["start"] < -t["end"])), a).otherwise(F.concat(a, F.array(c))))
+            return F.array_sort(F.transform(taken, lambda c: F.struct(
+                (F.length(text(F.lit(0), c["start"])) + F.when(c["start"] > 0, 2).otherwise(1)).alias("start"), F.length(text(F.lit(0), -c["end"])).alias("end"))))
+
+        return bound(F.array_sort(F.filter(spans, lambda c: c["rank"].isNotNull())), free)
+
+    return bound(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), within)
+
+
+def findings(value: Column) -> Column:
+    """Pieces of what a pattern found, with whether each is a finding: runs of digit groups are taken apart, other values stay whole."""
+    piece = lambda v, hit: F.struct(v.alias("v"), F.lit(hit).alias("hit") if isinstance(hit, bool) else hit.alias("hit"))
+
+    def others(rest: Column) -> Column:
+        return bound(F.regexp_extract_all(rest, F.lit(IN_RUN), F.lit(0)), lambda found: F.flatten(F.transform(F.split(rest, IN_RUN, -1), lambda p, i: F.array(
+            piece(p, False), piece(F.coalesce(F.get(found, i), F.lit("")), i < F.size(found))))))
+
+    def apart(cards: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(cards, k)["end"], F.lit(0))
+        cut = lambda a, b: F.substr(value, a, b - a + 1)
+        ahead = F.flatten(F.transform(cards, lambda c, k: F.concat(
+            bound(cut(end(k - 1) + 1, c["start"] - 1), others), F.array(piece(cut(c["start"], c["end"]), True)))))
+        return F.concat(ahead, bound(cut(end(F.size(cards) - 1) + 1, F.length(value)), others))
+
+    whole = F.array(piece(value, True))
+    invalid = lambda got: F.when(F.exists(got, lambda g: g["hit"]), got).otherwise(
+        F.array(piece(value, F.length(digits(value)) <= 19)))
+    return F.when(kind_of(value) == "card", bound(bound(_cards(value), apart), invalid)).otherwise(whole)
+
+
 def pseudonymise(docs: DataFrame, text_column: str, key: str = KEY, counts: bool = False) -> DataFrame:
     """``docs`` with personal data in ``text_column`` replaced; ``counts`` adds the number of findings of each kind."""
     text = F.col(text_column)
     found_column, new_column = fresh(docs, "found", "new")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn(found_column, F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn(new_column, F.transform(found_column, lambda v: pseudonym(v, key)))
+    out = out.withColumn(found_column, F.transform(found_column, findings))
+    replaced = lambda g: F.when(g["hit"], pseudonym(g["v"], key)).otherwise(g["v"])
+    out = out.withColumn(new_column, F.transform(found_column, lambda v: F.array_join(F.transform(v, replaced), "")))
     parts = F.split(text, PATTERN, -1)
     joined = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(F.col(new_column), i), F.lit(""))))), "")
     out = out.withColumn(text_column, F.when(F.size(found_column) > 0, joined).otherwise(text))
     if counts:
-        kinds = F.transform(found_column, kind_of)
+        kinds = F.transform(F.filter(F.flatten(found_column), lambda g: g["hit"]), lambda g: kind_of(g["v"]))
         names = fresh(docs, "kinds")[0]
         out = out.withColumn(names, kinds)
         out = out.withColumns({f"n_{k}": F.size(names) - F.size(F.array_remove(names, k)) for k in KINDS}).drop(names)

@@ -164,3 +164,24 @@ def test_texts_and_defined_cases(spark, odd, empty):
     out = pii.pseudonymise(odd, "text")
     assert out.columns == odd.columns and out.count() == odd.count() and pii.pseudonymise(empty, "text").count() == 0
     assert pii.pseudonymise(odd, "text", counts=True).selectExpr("sum(n_email)", "sum(n_phone)").first() == (1, 1)
+
+
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    texts = [card, "4111 1111 1111 1111 12/27", "4111111111111111 123", "room 12 4111111111111111 x", "7 4111-1111-1111-1111 3", "1234 4111 1111 1111 1111 12/27", f"{card} {other}",
+             "4111111111111111 988-555-2485", "4111111111111111 70.123.182.155", "4111111111111111 12bob@x.org", "4111111111111111 988.555.2485", "3 2024-02-29 4111111111111111", f"{card} 2024-02-29",
+             "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "12 " * 20_000 + "4111111111111111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymise(df, "text", counts=True).orderBy("doc_id").collect()
+    plain = lambda t: re.sub("[ -]", "", t)
+    new = plain(rows[0].text)
+    assert new != plain(card) and luhn(new)
+    for t, r in zip(texts, rows):
+        if plain(card) in plain(t):
+            assert plain(card) not in plain(r.text) and new in plain(r.text) and r.n_card == 1 + (other in t), t  # equal cards stay linked
+            assert re.sub("[0-9]", "9", r.text) == re.sub("[0-9]", "9", t) or ".155" in t or "bob" in t
+    assert rows[1].text.endswith(" 12/27") and rows[2].text.endswith(" 123") and rows[3].text.startswith("room 12 ") and rows[5].text.startswith("1234 ")
+    assert plain(other) not in plain(rows[6].text)
+    for i, (kind, v) in {7: ("n_phone", "988-555-2485"), 8: ("n_ip", "70.123.182.155"), 9: ("n_email", "12bob"), 10: ("n_phone", "988.555.2485"), 11: ("n_date", "2024-02-29"), 12: ("n_date", "2024-02-29")}.items():
+        assert rows[i][kind] == 1 and v not in rows[i].text
+    assert rows[13].text == texts[13]
