@@ -2,8 +2,8 @@
 
 N-grams (within words, with their edges) are hashed into a fixed number of buckets. Document frequencies cover every
 document that may be learned from. The weights are fitted by follow-the-regularised-leader with L1 and L2 penalties on a
-bounded sample of labelled documents, and a temperature is fitted on a part of the sample that the weights haven't
-seen. Every whole text is scored: the score of a distinct word is computed once, a text's is the mean over its n-grams.
+bounded sample of labelled documents, in which every label has its share and rare ones a number of their own, and a
+temperature is fitted on a part of the sample that the weights haven't seen. Every whole text is scored: the score of a distinct word is computed once, a text's is the mean over its n-grams.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; without labelled documents all
 are ``und``; null labels aren't learned from; equal scores go to the first language in order; repeated rows are judged
@@ -12,6 +12,8 @@ alike; an empty table gives no rows; other columns are not read, whatever their
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +27,12 @@ from corpusflow.llm.tables import fresh, pieces
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-SAMPLE = 2000       # labelled documents that the weights and the temperature are fitted on
-HELD = 5            # every fifth of them is for the temperature
+SAMPLE = 3000       # labelled documents, of all labels, that the weights and the temperature are fitted on
+EACH = 100          # documents of every label that are among them or added to them
+HELD = 5            # every fifth of a label is for the temperature
 UNKNOWN = "und"
 PIECE, WORDS_AT_A_TIME = 1_500_000, 10_000  # bytes of text, and words, that one step works on
+LAST = (1 << 63) - 1  # the greatest hash
 SCALE = 64.0        # brings mean frequencies to the size of ordinary feature values
 
 
@@ -81,14 +85,19 @@ def document_counts(docs: DataFrame, text_column: str) -> tuple[int, np.ndarray]
     return int(out[-1]), out[:-1]
 
 
-def sample_features(docs: DataFrame, id_column: str, text_column: str, label_column: str, bound: int) -> list:
-    """Term frequencies of at most ``bound`` labelled documents, those with the smallest hash of their ids."""
+def sample_features(docs: DataFrame, id_column: str, text_column: str, label_column: str, bound: int, each: int = EACH) -> list:
+    """Term frequencies of labelled documents: the ``bound`` with the smallest hash of their ids, and the ``each`` smallest of every label.
+
+    A label's documents below a hash that about twice ``each`` of them stay under are read, so no label goes through one task.
+    """
     key, label, order = fresh(docs, "key", "label", "order")
     labelled = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.xxhash64(F.col(id_column).cast("string")).alias(order), F.col(id_column).alias(key), F.col(label_column).cast("string").alias(label), text_column)
     top = labelled.select(order).orderBy(order).limit(bound).agg(F.max(order)).first()[0]
     if top is None:
         return []
+    n_of = labelled.groupBy(label).agg(F.approx_count_distinct(order).alias("n")).collect()
+    below = F.create_map(*(F.lit(v) for r in n_of for v in (r[0], LAST if r[1] <= 2 * each else -LAST - 1 + (2 << 64) * each // r[1])))
 
     def run(batches):
         for batch in pieces(batches, text_column, PIECE):
@@ -103,10 +112,21 @@ def sample_features(docs: DataFrame, id_column: str, text_column: str, label_col
             yield pa.RecordBatch.from_arrays([batch.column(label), batch.column(order), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
                                              names=["label", "place", "buckets", "tf"])
 
-    chosen = labelled.where(F.col(order) <= top).groupBy(order).agg(F.min(label).alias(label), F.min(text_column).alias(text_column))  # one row of a repeated id
+    chosen = labelled.where((F.col(order) <= top) | (F.col(order) <= below[F.col(label)])).groupBy(order).agg(F.min(label).alias(label), F.min(text_column).alias(text_column))  # one row of a repeated id
     rows = chosen.select(label, order, text_column).mapInArrow(run, "label string, place long, buckets binary, tf binary").collect()
-    return sorted(((r["label"], r["place"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["tf"], "<f4")) for r in rows),
-                  key=lambda r: (r[1], r[0], len(r[2])))
+    rows.sort(key=lambda r: (r["place"], r["label"], len(r["buckets"])))
+    places = within(r["label"] for r in rows)
+    return [(r["label"], r["place"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["tf"], "<f4")) for r, k in zip(rows, places) if r["place"] <= top or k < each]
+
+
+def within(labels: Iterable[str]) -> list[int]:
+    """How many of the same label are ahead of each."""
+    seen: Counter = Counter()
+    out = []
+    for c in labels:
+        out.append(seen[c])
+        seen[c] += 1
+    return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -142,21 +162,22 @@ def fit(rows: list, idf: np.ndarray, epochs: int = 4) -> Model:
     number = {c: i for i, c in enumerate(languages)}
     leader = Leader(BUCKETS + 1, len(languages))
     data = [(np.append(b, np.uint32(BUCKETS)), np.append((tf * idf[b] * SCALE).astype(np.float32), np.float32(1)), number[label]) for label, _, b, tf in rows]
-    learn = [d for i, d in enumerate(data) if i % HELD] or data
+    last = [k % HELD == HELD - 1 for k in within(r[0] for r in rows)]  # a label of few documents is learned from all of them
+    learn = [d for d, h in zip(data, last) if not h]
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(learn)):
             leader.step(*learn[i])
     w = leader.weights()
-    held = data[::HELD]
+    held = [d for d, h in zip(data, last) if h] or data
     logits, y = np.array([x @ w[b] for b, x, _ in held]), np.array([d[2] for d in held])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     loss = [-np.mean(np.log(np.maximum(1e-12, softmax(logits / t)[np.arange(len(y)), y]))) for t in grid]
     return Model(languages, idf, w[:-1].astype(np.float32), w[-1], float(grid[int(np.argmin(loss))]))
 
 
-def train(docs: DataFrame, id_column: str, text_column: str, label_column: str, bound: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, id_column: str, text_column: str, label_column: str, bound: int = SAMPLE, each: int = EACH) -> Model | None:
     """A model from the labelled rows of ``docs``; none if there are none."""
-    rows = sample_features(docs, id_column, text_column, label_column, bound)
+    rows = sample_features(docs, id_column, text_column, label_column, bound, each)
     if not rows:
         return None
     n, seen = document_counts(docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()), text_column)

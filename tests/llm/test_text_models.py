@@ -48,6 +48,22 @@ def test_language_defined_cases(odd, empty):
     assert kept.columns == odd.columns and kept.where("text is null or text = ''").count() == 0
 
 
+def test_rare_labels_are_learned(spark):
+    words = {"aa": "lorem ipsum dolor amet", "bb": "zwölf boxkämpfer jagen viktor", "cc": "příliš žluťoučký kůň úpěl"}
+    labels = ["aa"] * 500 + ["bb"] * 300 + ["cc"] * 3
+    df = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).permutation(words[c].split())), c) for i, c in enumerate(labels)], "doc_id long, text string, lang string")
+    few = language.sample_features(df, "doc_id", "text", "lang", 5, 1)
+    assert {r[0] for r in few} == set(words) and len(few) <= 7
+    rows = language.sample_features(df, "doc_id", "text", "lang", 60, 20)
+    n = Counter(r[0] for r in rows)
+    assert n["cc"] == 3 and min(n["aa"], n["bb"]) >= 20 and len(rows) <= 63  # the smallest hashes of all, and the rare ones
+    model = language.train(df, "doc_id", "text", "lang", 60, 20)
+    got = language.predict(df, "text", model, ["doc_id", "lang"], "lang_pred", "score").where("lang = 'cc'").collect()
+    assert [r.lang_pred for r in got] == ["cc"] * 3
+    everything = language.sample_features(df, "doc_id", "text", "lang", language.SAMPLE)
+    assert len(everything) == len(labels)
+
+
 def test_leader_makes_sparse_weights():
     rng = np.random.default_rng(0)
     rows = [("ab"[i % 2], i, np.unique(np.append(rng.integers(10, 2000, 20), i % 2)), None) for i in range(400)]
