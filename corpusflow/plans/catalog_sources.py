@@ -368,3 +368,12 @@ def _(spark, d):
     e = _arriving(spark, table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "arriving")
     out = jobs.first_seen(e, ["user_id", "event_type", "day"], "2 days", work_dir(spark, "first-seen"), work_dir(spark, "first-seen-checkpoint"))
     return out.groupBy("user_id", "event_type", "day").agg(F.count("*").alias("n"))
+
+
+@query("w04_first_seen_spaced", """with recursive kept as (select user_id, event_type, min(ts) as ts from events group by all
+union all select e.user_id, e.event_type, min(e.ts) from kept k join events e on e.user_id is not distinct from k.user_id and e.event_type is not distinct from k.event_type and e.ts > k.ts + interval 2 days group by e.user_id, e.event_type)
+select user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from kept""")
+def _(spark, d):
+    e = _arriving(spark, table(spark, d, "events").select("user_id", "event_type", "ts"), "arriving")
+    out = jobs.first_seen(e, ["user_id", "event_type"], "2 days", work_dir(spark, "first-seen"), work_dir(spark, "first-seen-checkpoint"))
+    return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))

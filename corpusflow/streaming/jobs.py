@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -101,26 +102,41 @@ def assemble_answers(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(_fold, STREAM_OUT, STREAM_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def spaced(events: DataFrame, keys: list[str], ttl: str, time: str = "ts") -> DataFrame:
+    """Of every key the rows (``keys``, ``time``) that follow the last one kept by more than ``ttl``, in the order of time.
+
+    A key's rows pass through one task in that order, and the task remembers only the last one kept. Rows without a time are
+    one row of their key if it has no other.
+    """
+    rows = events.select(*keys, F.col(time).cast("timestamp").alias(time)).distinct()
+    id_, at, until = "_id", "_at", "_until"  # the key as text, and microseconds
+    rows = rows.select("*", F.to_json(F.struct(*keys)).alias(id_), F.unix_micros(time).alias(at), F.unix_micros(F.expr(f"`{time}` + interval {ttl}")).alias(until))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, time))
+
+    def run(batches):
+        last, end = None, None
+        for batch in batches:
+            keep = []
+            for i, (key, t, u) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (id_, at, until)))):
+                if key != last or (t is not None and end is not None and t > end):
+                    keep.append(i)
+                    last, end = key, u
+            yield batch.take(pa.array(keep, pa.int64())).select([*keys, time])
+
+    return rows.repartition(id_).sortWithinPartitions(id_, F.col(at).asc_nulls_last()).mapInArrow(run, schema)
+
+
 def first_seen(events: DataFrame, keys: list[str], ttl: str, target: str, checkpoint: str, time: str = "ts") -> DataFrame:
-    """The first row of every key that wasn't seen within ``ttl`` of event time.
+    """The first row of every key, and each later one that follows the last of these by more than ``ttl`` of event time.
 
-    A batch is compared with the stored rows of that span, so keys may arrive in any order of batches; the batch's own
-    folder is left out, so a repeated batch gives the same rows.
+    An event that comes late may be the first, and then others aren't: a batch stores its keys and times (a repeated batch
+    its own folder again), and :func:`spaced` chooses when they are read. So batches may be of any size and in any order.
     """
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn(time, F.col(time).cast("timestamp")).groupBy(*keys).agg(F.min(time).alias(time))
-        if n:
-            # the first batch's folder is there even if it was empty
-            old = spark.read.parquet(target).where(F.col("_batch") < n).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(time).alias("_seen"))
-            near = (F.col(time) - F.expr(f"interval {ttl}") <= F.col("_seen")) & (F.col("_seen") <= F.col(time) + F.expr(f"interval {ttl}"))
-            for k in keys:
-                near = near & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            new = new.join(old, near, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/_batch={n}")
+        batch.select(*keys, F.col(time).cast("timestamp").alias(time)).distinct().write.mode("overwrite").parquet(f"{target}/_batch={n}")
 
     _run(events, each, checkpoint)
-    return events.sparkSession.read.parquet(target).drop("_batch")
+    return spaced(events.sparkSession.read.parquet(target), keys, ttl, time)
 
 
 def run_to_table(stream: DataFrame, label: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:

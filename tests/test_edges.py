@@ -97,3 +97,28 @@ def test_packets_of_asked_sessions_only(spark):
     c = spark.createDataFrame([(1, "note", 1, "n", 0.5), (2, "note", 1, "n", 0.5)], "query_id int, source string, pos long, content string, score double")
     out = context.structure(q, h, context.select_evidence(c, q), c)
     assert {r.query_id for r in out.collect()} == {1}
+
+
+def test_first_seen_in_any_order_of_batches(spark):
+    days = [("a", 1), ("a", 20), ("a", 2), ("a", 4), ("a", 5), ("b", 3), (None, 7), (None, 8), ("c", None), ("c", 9), ("d", None)]
+    rows = [(k, None if n is None else f"2024-01-{n:02d} 00:00:00") for k, n in days]
+    want = {("a", 1), ("a", 4), ("a", 20), ("b", 3), (None, 7), ("c", 9), ("d", None)}
+    for order, size in ((rows, len(rows)), (rows, 1), (rows[::-1], 2)):
+        path = work_dir(spark, "events")
+        for i in range(0, len(order), size):
+            spark.createDataFrame(order[i:i + size], "k string, ts string").selectExpr("k", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(path)
+        s = jobs.read_stream(spark, path, "*.parquet", "k string, ts timestamp", 1)
+        out = jobs.first_seen(s, ["k"], "2 days", work_dir(spark, "seen"), work_dir(spark, "seen-checkpoint"))
+        got = [(r.k, r.ts and r.ts.day) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want, size
+
+
+def test_first_seen_spaced_matches_duckdb(spark, sf):
+    import duckdb
+
+    import __spark_entry__ as entry_points
+
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")
+    want = con.execute(entry_points.oracle_sql()["w04_first_seen_spaced"]).fetchall()
+    assert sorted(tuple(r) for r in entry_points.queries()["w04_first_seen_spaced"](spark, sf).collect()) == sorted(want)
