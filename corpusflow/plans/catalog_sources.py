@@ -340,7 +340,13 @@ def _(spark, d):
 @query("w02_assemble_stream", f"with {STREAM} select * from ans")
 def _(spark, d):
     s = _stream_events(_arriving(spark, table(spark, d, "conversations"), "arriving"))
-    return jobs.run_to_table(jobs.assemble_answers(s), "answers", ["run_id"]).drop("complete")
+    return traces.assemble_stream(jobs.store_events(s, work_dir(spark, "answers"), work_dir(spark, "answers-checkpoint")))
+
+
+@query("w02_answer_parts", f"with {STREAM} select run_id, row_number() over (partition by run_id order by seq) as ordinal, coalesce(data, '') as part from kp where type = 'content'")
+def _(spark, d):
+    s = _stream_events(_arriving(spark, table(spark, d, "conversations"), "arriving"))
+    return jobs.answer_parts(jobs.store_events(s, work_dir(spark, "answers"), work_dir(spark, "answers-checkpoint")))
 
 
 ROLL = f"""with {SPANS.replace('as output from events', 'as output, ts from events')} select run_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as steps, count(*) filter (status = 'failed') as failed, round(sum(latency_ms), 4) as latency_ms from sp group by all"""

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusflow.functions.skew import running, salted_join
 from corpusflow.operators import ingest
 from corpusflow.session import work_dir
 
@@ -74,32 +73,36 @@ def rollup_stream(spans: DataFrame, target: str, checkpoint: str, window: str =
     return parts.groupBy("run_id", "window_start").agg(*(F.sum(c).alias(c) for c in ("steps", "failed", "latency_ms")))
 
 
-STREAM_OUT = "run_id long, answer string, event_count long, tool_event_count long, complete boolean"
-STREAM_STATE = "seqs array<long>, kinds array<string>, parts array<string>"
+def store_events(events: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Arriving events of runs (run_id, seq, type, data) as rows of a table; a repeated batch overwrites its own folder.
 
+    No state is kept, so events may arrive in any order and batch. Answers and counts are derived when the table is
+    read: :func:`answer_counts`, :func:`answer_parts`, or ``traces.assemble_stream`` for answers in one string.
+    """
+    def each(batch: DataFrame, n: int) -> None:
+        batch.select("run_id", "seq", "type", "data").write.mode("overwrite").parquet(f"{target}/_batch={n}")
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, kinds, parts = map(list, state.get) if state.exists else ([], [], [])
-    for rows in batches:
-        seqs += rows["seq"].tolist()
-        kinds += rows["type"].tolist()
-        parts += [d if isinstance(d, str) else "" for d in rows["data"]]
-    state.update((seqs, kinds, parts))
-    order = sorted(range(len(seqs)), key=seqs.__getitem__)
-    end = next((i for i, k in enumerate(order) if kinds[k] == "complete"), None)
-    used = order if end is None else order[:end + 1]
-    answer = "".join(parts[k] for k in used if kinds[k] == "content")
-    yield pd.DataFrame({"run_id": [key[0]], "answer": [answer.strip()], "event_count": [len(used)],
-                        "tool_event_count": [sum(kinds[k] == "tool_call" for k in used)], "complete": [end is not None]})
+    _run(events, each, checkpoint)
+    return events.sparkSession.read.parquet(target).drop("_batch")
 
 
-def assemble_answers(events: DataFrame) -> DataFrame:
-    """Answers that grow with the events of their run (run_id, seq, type, data) and stop at ``complete``.
+def _until_complete(events: DataFrame) -> DataFrame:
+    """Events up to the first ``complete`` one of their run. Rows of large runs aren't brought together."""
+    e = events.withColumn("_run", F.to_json(F.struct("run_id")))  # not null
+    ends = e.groupBy("_run").agg(F.min(F.when(F.col("type") == "complete", F.col("seq"))).alias("_end"), F.count("*").alias("_n"))
+    return salted_join(e, ends, "_run", "_n", F.xxhash64("seq")).where("_end is null or seq <= _end").drop("_run", "_n")
 
-    The state holds a run's events, so they may arrive in any order and batch. It isn't timed: a job that ends with what
-    is available would wait for the clock, and a late event of a forgotten run would give a wrong answer.
-    """
-    return events.groupBy("run_id").applyInPandasWithState(_fold, STREAM_OUT, STREAM_STATE, "update", GroupStateTimeout.NoTimeout)
+
+def answer_counts(events: DataFrame) -> DataFrame:
+    """Events and tool events per run up to its first ``complete`` event, and whether there is one."""
+    return _until_complete(events).groupBy("run_id").agg(
+        F.count("*").alias("event_count"), F.count_if(F.col("type") == "tool_call").alias("tool_event_count"), F.max(F.col("_end").isNotNull()).alias("complete"))
+
+
+def answer_parts(events: DataFrame) -> DataFrame:
+    """The pieces of every run's answer up to its first ``complete`` event, with their ordinal from 1; an answer may be of any length."""
+    parts = _until_complete(events).where("type = 'content'").select("run_id", "seq", F.coalesce("data", F.lit("")).alias("part"), F.lit(1).alias("_one"))
+    return running(parts, ["run_id"], F.floor(F.col("seq") / 4096), ["seq"], {"ordinal": F.col("_one")}).select("run_id", "ordinal", "part")
 
 
 def spaced(events: DataFrame, keys: list[str], ttl: str, time: str = "ts") -> DataFrame:

@@ -1,5 +1,7 @@
 """Null keys, several files and batches, several image hits, limits that nothing fits, hot keys."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions.skew import running, salted_join
@@ -122,3 +124,19 @@ def test_first_seen_spaced_matches_duckdb(spark, sf):
     con.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")
     want = con.execute(entry_points.oracle_sql()["w04_first_seen_spaced"]).fetchall()
     assert sorted(tuple(r) for r in entry_points.queries()["w04_first_seen_spaced"](spark, sf).collect()) == sorted(want)
+
+
+def test_answers_keep_no_state(spark):
+    rows = [(1, i, "content", f"p{i} ") for i in range(6)] + [(1, 6, "complete", None), (1, 7, "content", "late"), (1, 8, "tool_call", "x"), (2, 1, "tool_call", "x"), (2, 2, "content", None), (None, 1, "content", "n")]
+    want_parts = {(1, i + 1, f"p{i} ") for i in range(6)} | {(2, 1, ""), (None, 1, "n")}
+    for order, size in ((rows, len(rows)), (rows[::-1], 3)):
+        path = work_dir(spark, "runs")
+        for i in range(0, len(order), size):
+            spark.createDataFrame(order[i:i + size], "run_id long, seq long, type string, data string").coalesce(1).write.mode("append").parquet(path)
+        checkpoint = work_dir(spark, "runs-checkpoint")
+        s = jobs.read_stream(spark, path, "*.parquet", "run_id long, seq long, type string, data string", 1)
+        got = jobs.store_events(s, work_dir(spark, "runs-stored"), checkpoint)
+        parts = [tuple(r) for r in jobs.answer_parts(got).collect()]
+        assert len(parts) == len(want_parts) and set(parts) == want_parts
+        assert {tuple(r) for r in jobs.answer_counts(got).collect()} == {(1, 7, 0, True), (2, 2, 1, False), (None, 1, 0, False)}
+        assert not os.path.exists(f"{checkpoint}/state")
