@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, fingerprints, language, matroska, near_dedup, packing, periods, pii, toxicity, twins, urls, wavelet
+from corpusflow.llm import bpe, fingerprints, language, matroska, merkle, near_dedup, packing, periods, pii, toxicity, twins, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -79,3 +79,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_block_convolution_runs", twins.PERIODS)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(table(spark, sf_dir, "documents"), "doc_id", "text", altered=periods.repeated_tail)
+
+
+@query("op11_superblock_manifest", twins.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered=merkle.one_more_character())

@@ -31,3 +31,37 @@ kept as (select k, string_agg(word, ' ' order by i) as text from v where (k, i)
 select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.l as length, b.p as period, 1000 * b.l // b.p as exponent_milli,
  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256, n as n_words
 from d left join best using (k) left join kept using (k)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _climb(name: str, first: str) -> str:
+    """All nodes of the trees in ``first`` (tree, pos, n, h), level by level."""
+    return f"""{name} as (select 0 as lvl, tree, pos, n, h from {first}
+ union all select lvl + 1, tree, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from {name} where n > 1 group by lvl, tree, pos // 2, n)"""
+
+
+def _fold(name: str, first: str, nodes: str) -> str:
+    """The way up of every row of ``first`` (k, tree, pos, n, h, proof)."""
+    return f"""{name} as (select 0 as lvl, * from {first}
+ union all select f.lvl + 1, f.k, f.tree, f.pos // 2, (f.n + 1) // 2, sha256(case when f.pos % 2 = 1 then s.h || f.h else f.h || coalesce(s.h, '') end), f.proof || coalesce(s.h, '')
+ from {name} f left join {nodes} s on s.lvl = f.lvl and s.tree is not distinct from f.tree and s.pos = xor(f.pos, 1) where f.n > 1)"""
+
+
+MANIFEST = f"""with recursive {CRC_TABLE},
+d as (select row_number() over () as k, doc_id, lang, {_leaf('n_chars')} as leaf,
+ case when {crc('doc_id::varchar')} % 7 = 0 then {_leaf('(n_chars::hugeint + 1)')} else {_leaf('n_chars')} end as seen from documents, crc_table),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from d),
+l0 as (select lang as tree, pos, n, leaf as h from p), {_climb('nodes', 'l0')},
+tops as (select tree as lang, h as subroot, row_number() over (order by tree nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+t0 as (select 0 as tree, pos, n, subroot as h from tops), {_climb('above', 't0')},
+f0 as (select k, lang as tree, pos, n, seen as h, '' as proof from p), {_fold('low', 'f0', 'nodes')},
+g0 as (select k, 0 as tree, tops.pos, tops.n, h, proof from low join tops on tops.lang is not distinct from low.tree where low.n = 1), {_fold('high', 'g0', 'above')}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from p join (select k, h, proof from high where n = 1) using (k) join tops on tops.lang is not distinct from p.lang, (select h as root from above where n = 1)"""
