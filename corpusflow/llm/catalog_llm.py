@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, fingerprints, language, matroska, merkle, near_dedup, packing, periods, pii, toxicity, twins, urls, wavelet
+from corpusflow.llm import bpe, fingerprints, language, matroska, merkle, near_dedup, packing, passages, periods, pii, toxicity, twins, urls, wavelet
 from corpusflow.llm.tables import table
 from corpusflow.llm.vocab import public_path
 
@@ -84,3 +84,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_superblock_manifest", twins.MANIFEST)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered=merkle.one_more_character())
+
+
+@query("op12_suffix_automata_passages", twins.PASSAGES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -27,7 +27,7 @@ u as (select k, start, length, period from (select k, a as start, same + q as le
 best as (select k, count(*) as n_runs, arg_min(struct_pack(s := start, l := length, p := period), (-length, start, period)) as b,
  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by k),
 cut as (select distinct k, unnest(range(start + period, start + length)) as i from u),
-kept as (select k, string_agg(word, ' ' order by i) as text from v where (k, i) not in (select (k, i) from cut) group by k)
+kept as (select k, string_agg(word, ' ' order by i) as text from v anti join cut using (k, i) group by k)
 select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.l as length, b.p as period, 1000 * b.l // b.p as exponent_milli,
  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256, n as n_words
 from d left join best using (k) left join kept using (k)"""
@@ -65,3 +65,11 @@ f0 as (select k, lang as tree, pos, n, seen as h, '' as proof from p), {_fold('l
 g0 as (select k, 0 as tree, tops.pos, tops.n, h, proof from low join tops on tops.lang is not distinct from low.tree where low.n = 1), {_fold('high', 'g0', 'above')}
 select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
 from p join (select k, h, proof from high where n = 1) using (k) join tops on tops.lang is not distinct from p.lang, (select h as root from above where n = 1)"""
+
+# Windows as texts; a word goes if a window over it stands in a document with a smaller id.
+PASSAGES = f"""with d as (select row_number() over () as k, doc_id, {WORDS} as w from documents),
+v as (select k, doc_id, i, w[i + 1] as word, case when i + 13 <= len(w) then array_to_string(w[i + 1:i + 13], ' ') end as win from (select *, unnest(range(len(w))) as i from d)),
+f as (select win, min(doc_id) as low from v where win is not null group by win),
+g as (select distinct k, unnest(range(i, i + 13)) as i from v join f using (win) where low < doc_id),
+kept as (select k, count(*) as n, string_agg(word, ' ' order by i) as text from v anti join g using (k, i) group by k)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join kept using (k)"""
