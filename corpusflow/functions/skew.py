@@ -20,7 +20,9 @@ def salted_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, spread:
     total = dim.agg(F.sum(weight).alias("t")).scalar()
     is_hot = F.coalesce(F.col(weight) * HOT_SHARE > total, F.lit(False))
     hot = dim.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_a"))
-    cold = dim.where(~is_hot).select(F.col(key).alias("_cold"), F.lit(-1).alias("_place"), F.struct(*values).alias("_b"))
+    # a literal would be folded into a condition on the facts alone, and the salt would be lost as a join key
+    place = F.when(F.coalesce(F.col(weight), F.lit(0)) >= 0, -1).otherwise(-2)
+    cold = dim.where(~is_hot).select(F.col(key).alias("_cold"), place.alias("_place"), F.struct(*values).alias("_b"))
     first = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     first = first.withColumn("_salt", F.when(F.col("_hot").isNull(), -1).otherwise(F.pmod(spread, F.lit(1 << 20)).cast("int")))
     both = first.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_place")), "left").withColumn("_row", F.coalesce("_a", "_b"))
