@@ -6,9 +6,8 @@ a smaller id. Windows are judged on the input.
 1. Equal texts are one class; its smallest id stands for it, and later ones go whole. One scan gives each text its anchors: of the seven
    seven-word grams of a window the one with the smallest hash. Equal windows have the same anchor, so only stretches of windows whose anchors occur
    more than once can hold repeated windows; the others are left behind.
-2. The windows with one anchor are a segment. Segments are counted by a hash, so a passage with many copies is soon one again: what several
-   documents have is assigned to the block of ``REF`` windows where the first of them has it. The windows of first copies, which may stand in
-   still earlier documents beside other words, are assigned likewise, one by one. Blocks are dealt into reference shards of bounded size.
+2. The windows of these stretches are counted by a hash: each that several documents have is assigned to the block of ``REF`` windows where
+   its first document has it. Blocks are dealt into reference shards of bounded size.
 3. A shard's passages, the first copies, become a suffix automaton whose states know the smallest id that reaches them. The
    automaton is sent to each block of the documents' stretches that are assigned to the shard, so a shard that many documents repeat is
    streamed in many tasks. Sending all automata to all documents would grow with the square of the corpus.
@@ -109,18 +108,18 @@ def rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 # tables of what is left
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of the one column ``key``."""
-    place = _place("key") + 1
-    parts = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the one column ``place``."""
+    place = F.col("place") + 1
+    parts = places.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def _place(hashed):
+    return F.pmod(hashed, F.lit(FILTER_BITS))
 
 
 def _there(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -129,7 +128,7 @@ def _there(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def texts_of(docs: DataFrame, id_column: str, text_column: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (d, id, ...) with the text of each; for repeated rows a row from each task that has one."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.col("d").alias("key"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(_place(F.xxhash64("d")).alias("place"))))
 
     def some(batches):
         seen = set()
@@ -141,7 +140,7 @@ def texts_of(docs: DataFrame, id_column: str, text_column: str, wanted: DataFram
                 seen.add(row)
             yield batch.select(["id", "d", "text"]).filter(pa.array(keep))
 
-    found = rows(docs, id_column, text_column).where("id is not null").withColumn("place", _place("d")).mapInArrow(some, "id long, d binary, text string")
+    found = rows(docs, id_column, text_column).where("id is not null").withColumn("place", _place(F.xxhash64("d"))).mapInArrow(some, "id long, d binary, text string")
     return found.join(wanted, ["d", "id"])
 
 
@@ -149,17 +148,17 @@ def shared_anchors(reps: DataFrame) -> DataFrame:
     """(uid, ats): the anchors of each representative that occur more than once."""
     every = reps.select(F.explode("keys").alias("key"))
     shared = stored(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "passage-anchors")
-    bits = reps.sparkSession.sparkContext.broadcast(_bitmap(shared.select(F.xxhash64("key").alias("key"))))
+    bits = reps.sparkSession.sparkContext.broadcast(_bitmap(shared.select(_place(F.col("key")).alias("place"))))
 
     def some(batches):
         for batch in batches:
             n = np.diff(batch.column("keys").offsets.to_numpy())
-            keep = _there(bits.value, batch.column("places").flatten().to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("keys").flatten().filter(pa.array(keep)), pa.array(np.repeat(batch.column("uid").to_numpy(), n)[keep]),
+            keys = batch.column("keys").flatten().to_numpy()
+            keep = _there(bits.value, keys & (FILTER_BITS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(np.repeat(batch.column("uid").to_numpy(), n)[keep]),
                                               batch.column("ats").flatten().filter(pa.array(keep))], names=["key", "uid", "at"])
 
-    places = F.transform("keys", lambda k: F.pmod(F.xxhash64(F.xxhash64(k)), F.lit(FILTER_BITS)))
-    likely = reps.select("uid", "keys", "ats", places.alias("places")).mapInArrow(some, "key long, uid long, at int")
+    likely = reps.select("uid", "keys", "ats").mapInArrow(some, "key long, uid long, at int")
     sure = salted_join(likely, shared, "key", "c", F.xxhash64("uid", "at"))
     return sure.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # no more than the document has
 
@@ -200,70 +199,52 @@ def stretches(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "id", "ats", "text").mapInArrow(run, "uid long, id long, start long, words string")
 
 
-def units(parts: DataFrame, seed: int, segments: bool) -> DataFrame:
-    """(h, uid, id, at, m, own): hash, place and number of windows of each segment (or window), and its block of reference windows."""
+def windows(parts: DataFrame, seed: int) -> DataFrame:
+    """(h, uid, id, at, own): hash and place of each window of the stretches, and its block of reference windows."""
 
     def run(batches):
         for batch in pieces(batches, "words", PIECE):
             h, _, _, counts = word_hashes(batch.column("words"))
-            i, anchors, _ = window_anchors(h, counts)
-            if not len(i):
+            if not len(h):
                 continue
-            w = grams(h, WINDOW, seed)[i]
+            left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h))
+            w = grams(h, WINDOW, seed)
+            i = np.flatnonzero(left[:len(w)] >= WINDOW)
             row = np.searchsorted(np.cumsum(counts), i, side="right")
-            m = np.ones(len(i), np.int64)
-            if segments:
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(anchors) != 0) | (np.diff(row) != 0)]))
-                m = np.diff(np.concatenate([new, [len(i)]]))
-                w = mix(np.add.reduceat(mix(w + np.uint64(seed)) * PLACES[np.arange(len(i)) - np.repeat(new, m)], new) + m.astype(np.uint64))
-                i, row = i[new], row[new]
             at = i - (np.cumsum(counts) - counts)[row] + batch.column("start").to_numpy()[row]
             uid = batch.column("uid").to_numpy()[row]
             own = mix(uid.astype(np.uint64) * PLACES[0] + (at // REF).astype(np.uint64) * PLACES[1])
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(uid), pa.array(batch.column("id").to_numpy()[row]), pa.array(at.astype(np.int32)),
-                                              pa.array(m.astype(np.int32)), pa.array(own.view(np.int64))], names=["h", "uid", "id", "at", "m", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(w[i].view(np.int64)), pa.array(uid), pa.array(batch.column("id").to_numpy()[row]), pa.array(at.astype(np.int32)),
+                                              pa.array(own.view(np.int64))], names=["h", "uid", "id", "at", "own"])
 
-    return parts.select("uid", "id", "start", "words").mapInArrow(run, "h long, uid long, id long, at int, m int, own long")
-
-
-FIRST, COPY, LEFT = 0, 1, 2  # what a piece is: the reference's own passage, one to be streamed, or first copies to be judged window by window
+    return parts.mapInArrow(run, "h long, uid long, id long, at int, own long")
 
 
 def cut_pieces(parts: DataFrame, assigned: DataFrame, groups: int) -> DataFrame:
-    """(shard, kind, uid, id, start, words): stretches cut where the shard changes. A first copy may be of two kinds."""
+    """(shard, first, uid, id, start, words): stretches cut where the shard changes; ``first`` marks the reference's own passages."""
 
     def run(left, right):
-        left, right = left.sort_by([("uid", "ascending"), ("start", "ascending")]), right.sort_by([("uid", "ascending"), ("at", "ascending")])
+        left, right = left.sort_by([("uid", "ascending"), ("start", "ascending")]), right.sort_by([("first", "ascending"), ("uid", "ascending"), ("at", "ascending")])
         uid, start, ids = (left.column(c).to_numpy() for c in ("uid", "start", "id"))
         texts = left.column("words").to_pylist()
-        m = right.column("m").to_numpy().astype(np.int64)
-        step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        every = {c: np.repeat(right.column(c).to_numpy(), m) for c in ("uid", "at", "shard", "first", "copy")}
-        every["at"] = every["at"].astype(np.int64) + step
-        out, split = [], {}
-        kinds = ((FIRST, every["first"]), (COPY, every["copy"]), (LEFT, ~every["copy"]))
-        for kind, mask in kinds:
-            ruid, at, shard = (every[c][mask] for c in ("uid", "at", "shard"))
-            if kind == LEFT:
-                shard = np.zeros_like(shard)
-            for a, b in _runs(at, mix(ruid.astype(np.uint64)) + mix(shard.astype(np.uint64) + PLACES[2])):
-                x, y = np.searchsorted(uid, ruid[a], side="left"), np.searchsorted(uid, ruid[a], side="right")
-                while a < b:  # a run of windows may go over the end of a stretch
-                    k = x + int(np.searchsorted(start[x:y], at[a], side="right")) - 1
-                    if k not in split:
-                        split.clear()
-                        split[k] = texts[k].split(" ")
-                    low = int(at[a] - start[k])
-                    n = min(b - a, len(split[k]) - WINDOW + 1 - low)
-                    out.append((int(shard[a]), kind, int(uid[k]), int(ids[k]), int(at[a]), " ".join(split[k][low:low + n + WINDOW - 1])))
-                    a += n
-        columns = list(zip(*out)) or [()] * 6
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "kind", "uid", "id", "start", "words"), columns,
-                                                              (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()))})
+        ruid, at, shard, first = (right.column(c).to_numpy() for c in ("uid", "at", "shard", "first"))
+        label = mix(ruid.astype(np.uint64)) + mix(shard.astype(np.uint64) * np.uint64(2) + first + PLACES[2])
+        spans = _runs(at.astype(np.int64), label)
+        low = np.array([a for a, _ in spans], np.int64)
+        # the stretch of each run: the last one of its document that starts no later
+        wide = np.int64(at.max(initial=0)) + start.max(initial=0) + 1
+        known, back = np.unique(uid, return_inverse=True)
+        k = np.searchsorted(back * wide + start, np.searchsorted(known, ruid[low]) * wide + at[low], side="right") - 1
+        begin, out, last, words = (at[low] - start[k]).tolist(), [], -1, []
+        for (a, b), j, x in zip(spans, k.tolist(), begin):
+            if j != last:
+                words, last = texts[j].split(" "), j
+            out.append(" ".join(words[x:x + b - a + WINDOW - 1]))
+        return pa.table({"shard": pa.array(shard[low], pa.int64()), "first": pa.array(first[low], pa.bool_()), "uid": pa.array(uid[k], pa.int64()),
+                         "id": pa.array(ids[k], pa.int64()), "start": pa.array(at[low], pa.int64()), "words": pa.array(out, pa.string())})
 
     group = F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("group")
-    return parts.select("uid", "id", "start", "words").groupBy(group).cogroup(assigned.groupBy(group)).applyInArrow(
-        run, "shard long, kind int, uid long, id long, start long, words string")
+    return parts.groupBy(group).cogroup(assigned.groupBy(group)).applyInArrow(run, "shard long, first boolean, uid long, id long, start long, words string")
 
 
 # suffix automata
@@ -378,8 +359,8 @@ def automata(passages: DataFrame) -> DataFrame:
 
 def confirmed(pieces_: DataFrame) -> DataFrame:
     """(uid, start, stop, missing): word spans of windows that an earlier document has, and how many assigned windows weren't confirmed."""
-    models = stored(automata(pieces_.where(F.col("kind") == FIRST)), "passage-automata")
-    asked = pieces_.where(F.col("kind") == COPY).drop("kind")
+    models = stored(automata(pieces_.where("first")), "passage-automata")
+    asked = pieces_.where(~F.col("first")).drop("first")
     size = F.sum(F.size(F.split("words", " ")) - (WINDOW - 1))
     parts = asked.groupBy("shard").agg(F.ceil(size / STREAM).cast("int").alias("parts"), F.count("*").alias("c"))
     dealt = salted_join(asked, parts, "shard", "c", F.xxhash64("uid", "start")).withColumn("part", F.pmod(F.xxhash64("uid", "start"), F.col("parts")).cast("int"))
@@ -405,32 +386,23 @@ def confirmed(pieces_: DataFrame) -> DataFrame:
         run, "uid long, start long, stop long, missing long")
 
 
-def level(parts: DataFrame, segments: bool, seeds=range(1, 9)) -> tuple[DataFrame, DataFrame]:
-    """(uid, start, stop) of what earlier documents have, as far as equal segments (or windows) show it, and the pieces of first copies."""
+def repeated_spans(parts: DataFrame, seeds=range(1, 9)) -> DataFrame:
+    """(uid, spans): word spans [start, stop) of the stretches that earlier documents have."""
     for seed in seeds:
-        w = units(parts, seed, segments)
-        firsts = w.groupBy("h").agg(F.min_by("own", "id").alias("block"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("m").alias("m"), F.count("*").alias("c"))
-        firsts = stored(firsts.where("low < high").select("h", "block", "low", F.col("m").alias("size"), "c"), "passage-units")
-        sizes = firsts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("size") * F.col("c")), F.lit(0)).alias("c")).first()
-        shards, groups = max(1, -(-sizes["n"] // SHARD)), max(1, -(-sizes["c"] // GROUP))
-        both = salted_join(w, firsts, "h", "c", F.xxhash64("uid", "at"), "left" if segments else "inner")
-        copy = F.coalesce(F.col("id") > F.col("low"), F.lit(False))
-        first = F.coalesce((F.col("id") == F.col("low")) & (F.col("own") == F.col("block")), F.lit(False))
-        assigned = both.select("uid", "at", "m", F.coalesce(F.pmod("block", F.lit(shards)), F.lit(0)).alias("shard"), first.alias("first"), copy.alias("copy"))
-        cut = stored(cut_pieces(parts, assigned if segments else assigned.where("first or copy"), groups), "passage-pieces")
-        spans = stored(confirmed(cut), "passage-spans")
+        w = windows(parts, seed)
+        firsts = w.groupBy("h").agg(F.min_by("own", "id").alias("block"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("c")).where("low < high")
+        firsts = stored(firsts.select("h", "block", "low", "c"), "passage-windows")
+        size = firsts.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
+        shards, groups = max(1, -(-size["n"] // SHARD)), max(1, -(-size["c"] // GROUP))
+        both = salted_join(w, firsts, "h", "c", F.xxhash64("uid", "at"))
+        first = F.col("id") == F.col("low")
+        assigned = both.where(~first | (F.col("own") == F.col("block"))).select("uid", "at", F.pmod("block", F.lit(shards)).alias("shard"), first.alias("first"))
+        spans = stored(confirmed(stored(cut_pieces(parts, assigned, groups), "passage-pieces")), "passage-spans")
         if spans.where("missing > 0").isEmpty():  # else some hashes were equal by chance
-            return spans.where("start is not null").select("uid", "start", "stop"), cut.where(F.col("kind") == LEFT).select("uid", "id", "start", "words")
+            return spans.where("start is not null").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     raise RuntimeError("windows stay unconfirmed under every hash")
 
 
-def repeated_spans(parts: DataFrame) -> DataFrame:
-    """(uid, spans): word spans [start, stop) of the stretches that earlier documents have."""
-    copies, left = level(parts, True)
-    others, _ = level(left, False)
-    return copies.unionByName(others).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-
-
 def without_spans(texts: DataFrame, with_text: bool) -> DataFrame:
     """(d, removed, kept_sha256[, kept]) of texts with their spans."""
 
