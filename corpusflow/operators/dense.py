@@ -1,4 +1,4 @@
-"""Vector search: exact top-k by block products, approximate top-k by hashing, cosine."""
+"""Vector search: exact top-k by block products, cosine, recall. For approximate search see ``neighbours``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusflow.functions.skew import top_k
 from corpusflow.operators.sparse import Best, ids_of
@@ -17,7 +16,6 @@ from corpusflow.operators.sparse import Best, ids_of
 BLOCK_ROWS = 4096
 BROADCAST_VALUES = 16_000_000  # 128 MB of doubles
 DIGITS = 9
-STEPS = 400  # codes per unit of a component of a unit vector; larger ones are clipped
 
 
 def check_dimension(vectors: DataFrame, column: str, expected: int) -> DataFrame:
@@ -119,31 +117,6 @@ def exact_top_k(
     return top_k(reduce(DataFrame.unionAll, map(best_of, range(batches))), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def quantized(chunks: DataFrame, chunk_id: str, vector: str = "embedding") -> DataFrame:
-    """(chunk_id, codes): unit vectors in one byte per number, an index a quarter of the size of floats."""
-
-    @F.pandas_udf(T.ArrayType(T.ByteType()))
-    def codes(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.clip(np.rint(_unit(_matrix(v)) * STEPS), -127, 127).astype(np.int8)))
-
-    return chunks.where(F.col(vector).isNotNull()).select(chunk_id, codes(F.col(vector)).alias("codes"))
-
-
-def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", wider: int = 4) -> DataFrame:
-    """Approximate cosine top-k: a scan of one-byte codes picks ``wider`` x k candidates per query, exact scores order them.
-
-    Recall must be measured against :func:`exact_top_k` (:func:`recall`); it is never used in its place.
-    """
-    cand = exact_top_k(queries, quantized(chunks, chunk_id, vector).withColumnRenamed("codes", vector), wider * k, query_id, chunk_id, vector, "cosine")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"))
-    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("cv"))
-    scored = cand.select("query_id", "chunk_id").join(q, "query_id").join(c, "chunk_id").select(
-        "query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("cv")), DIGITS).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of the true top-k that was found, over all queries."""
     hit = truth.join(found.select("query_id", "chunk_id", F.lit(1).alias("_hit")), ["query_id", "chunk_id"], "left")

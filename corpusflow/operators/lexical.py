@@ -69,15 +69,17 @@ class LexicalIndex:
     """The tables of an index over one text column.
 
     Term vectors are written once to the shared work folder; texts are tokenized once, without a shuffle, and
-    statistics and searches read the compact table.
+    statistics and searches read the compact table. ``keep(make, label)`` may name a lasting place for it
+    (:func:`corpusflow.sources.indexes.lasting`), so that later searches start from it.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str = "text"):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str = "text", keep=None):
         self.id_col = id_col
-        self.vec = materialize(vectors(docs, id_col, text_col), "vectors")
+        keep = keep or (lambda make, label: materialize(make(), label))
+        self.vec = keep(lambda: vectors(docs, id_col, text_col), "vectors")
         self.post = postings(self.vec, id_col)
-        self.df = document_frequency(self.post)
-        self.stats = corpus_stats(self.vec)
+        self.df = keep(lambda: document_frequency(self.post), "frequencies")
+        self.stats = keep(lambda: corpus_stats(self.vec), "statistics")
 
     def weights(self) -> DataFrame:
         """(id, term, weight) of all documents."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.operators import context, lexical
+from corpusflow.operators import context
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.catalog_retrieval import SPARSE
@@ -27,7 +27,7 @@ def _history(spark, d):
 
 def _candidates(spark, d):
     docs = texts(spark, d)
-    hits = lexical.LexicalIndex(docs, "doc_id").search(fx.queries(spark, d), "query_id", 8)
+    hits = fx.document_index(spark, d).search(fx.queries(spark, d), "query_id", 8)
     kn = hits.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id").withColumnRenamed("rank", "pos")
     notes = table(spark, d, "conversations").where("role = 'system'").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.lit("sys").alias("title"), F.col("text").alias("content"), F.lit(0.5).alias("importance"))

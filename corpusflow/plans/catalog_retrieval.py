@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.operators import dense, fusion, lexical
+from corpusflow.operators import dense, fusion, lexical, neighbours
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.registry import query, table, texts
+from corpusflow.session import materialize
 
 K = 10
 
@@ -37,7 +38,7 @@ OUT = "query_id, chunk_id, round(score, 6) as score, rank"
 
 
 def _sparse(spark, d, k):
-    return lexical.LexicalIndex(texts(spark, d), "doc_id").search(fx.queries(spark, d), "query_id", k)
+    return fx.document_index(spark, d).search(fx.queries(spark, d), "query_id", k)
 
 
 def _out(df):
@@ -73,18 +74,30 @@ def _(spark, d):
     return _out(dense.exact_top_k(_batch(v), v, K, "query_id", "chunk_id"))
 
 
+def _near(spark, d):
+    return materialize(neighbours.search(fx.vector_index(spark, d), _batch(_vectors(spark, d)), "query_id", K), "near")
+
+
 @query("t06_approximate_top_k")
 def _(spark, d):
-    v = _vectors(spark, d)
-    return _out(dense.approximate_top_k(_batch(v), v, K, "query_id", "chunk_id"))
+    return _out(neighbours.best(_near(spark, d), K))
 
 
-@query("t06_recall", f"with {_dense_sql(ALL_VECTORS, 'dn', K)} select count(*) as n_true, true as enough from dn")
+@query("t06_recall", f"with {_dense_sql(ALL_VECTORS, 'dn', K)} select count(*) as n_true, count(distinct query_id) as queries, true as enough from dn")
 def _(spark, d):
     # measured against the exact search
-    v = _vectors(spark, d)
-    r = dense.recall(dense.approximate_top_k(_batch(v), v, K, "query_id", "chunk_id"), dense.exact_top_k(_batch(v), v, K, "query_id", "chunk_id", metric="cosine"))
-    return r.select("n_true", (F.col("recall") >= 0.95).alias("enough"))
+    v, found = _vectors(spark, d), _near(spark, d)
+    r = dense.recall(neighbours.best(found, K), dense.exact_top_k(_batch(v), v, K, "query_id", "chunk_id", metric="cosine"))
+    return r.join(neighbours.effort(found)).select("n_true", "queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
+@query("t06_effort")
+def _(spark, d):
+    # recall, and vectors compared as a share of those that the exact search compares
+    v, found = _vectors(spark, d), _near(spark, d)
+    r = dense.recall(neighbours.best(found, K), dense.exact_top_k(_batch(v), v, K, "query_id", "chunk_id", metric="cosine"))
+    share = F.round(F.col("visits") / (F.col("queries") * v.agg(F.count("*").alias("n")).scalar()), 4)
+    return r.join(neighbours.effort(found)).select("queries", "recall", "visits", share.alias("compared_share"))
 
 
 def _hybrid(spark, d, k):
@@ -152,7 +165,7 @@ sraw as (select qid as query_id, id as chunk_id, round(sum(qw.w * dw.w), 9) as s
 
 def _chunk_hits(spark, d, k=15):
     c = fx.chunks(spark, d)
-    return c, lexical.LexicalIndex(c, "chunk_id").search(fx.queries(spark, d), "query_id", k)
+    return c, fx.chunk_index(spark, d).search(fx.queries(spark, d), "query_id", k)
 
 
 @query("t10_leaf_candidates", f"with {CHUNK_HITS} select query_id, chunk_id, round(score, 6) as score, rank from s15")
@@ -307,7 +320,7 @@ def _(spark, d):
 qt as (select distinct item_id as query_id, unnest({sq.terms('text')}) as term from benchmark),
 b as (select query_id, id as chunk_id, round(sum(w), 9) as score from dw join qt using (term) group by all), {sq.ranked('b', K, 'o')} select {OUT} from o""")
 def _(spark, d):
-    return _out(lexical.text_match(texts(spark, d), fx.queries(spark, d), "doc_id", "query_id", K))
+    return _out(fx.document_index(spark, d).match(fx.queries(spark, d), "query_id", K))
 
 
 @query("t22_dimension_check", "select count(*) as n, min(len(embedding))::int as min_dim, max(len(embedding))::int as max_dim, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings")

@@ -36,8 +36,8 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share.
 
     The setting is read from the session. Where it is unset on a local master, as in tests, a temporary folder becomes the
     checkpoint folder; on a cluster that is an error, since no other folder is known to be shared.
@@ -48,7 +48,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/corpusflow/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_dir(spark)}/corpusflow/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import cache, dense, fusion, lexical, memory, sparse
+from corpusflow.operators import cache, dense, fusion, lexical, memory, neighbours, sparse
 
 
 def ranked(spark, rows):
@@ -67,13 +67,50 @@ def test_dense_top_k_in_batches(spark, monkeypatch, limit):
     assert got == brute(c[:30], c, 4)
 
 
-def test_approximate_recall_is_measured(spark):
-    g = np.random.default_rng(2)
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(g.standard_normal((200, 8)))], "chunk_id int, embedding array<double>")
-    q = df.withColumnRenamed("chunk_id", "query_id")
-    truth = dense.exact_top_k(q, df, 3, "query_id", "chunk_id", metric="cosine")
-    r = dense.recall(dense.approximate_top_k(q, df, 3, "query_id", "chunk_id"), truth).first()
-    assert r.n_true == 600 and r.recall > 0.7
+@pytest.mark.parametrize("dim,clusters,shard", [(4, 0, 8192), (8, 0, 300), (32, 12, 300), (64, 0, 8192)])
+def test_approximate_recall_is_measured(spark, monkeypatch, dim, clusters, shard):
+    """Queries that are not in the table, vectors in tight clusters, many copies of one vector, and several shards."""
+    monkeypatch.setattr(neighbours, "SHARD", shard)
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(1200, dim))
+    if clusters:
+        x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, 1200)] + x / 20
+    x[200:500] = x[200]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [(5000, None), (5001, [1.0])], "chunk_id long, embedding array<float>")
+    asked = x[rng.integers(500, 1200, 30)] + rng.normal(size=(30, dim)) / 5
+    q = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(asked)], "query_id long, embedding array<float>")
+    found = neighbours.search(neighbours.build(df, "chunk_id"), q, "query_id", 5)
+    got, truth = neighbours.best(found, 5), dense.exact_top_k(q, df.where("size(embedding) > 1"), 5, "query_id", "chunk_id", metric="cosine")
+    # of equal copies any may be found
+    edge = {r.query_id: r.score for r in truth.where("rank = 5").collect()}
+    assert sum(r.score >= edge[r.query_id] - 1e-9 for r in got.collect()) >= 0.9 * 150
+    true_scores = {(r.query_id, r.chunk_id): r.score for r in dense.exact_top_k(q, df.where("size(embedding) > 1"), 1200, "query_id", "chunk_id", metric="cosine").collect()}
+    assert all(abs(true_scores[r.query_id, r.chunk_id] - r.score) < 1e-8 for r in got.collect())
+    assert neighbours.effort(found).first().visits < 30 * 1200
+
+
+def test_graph_reaches_every_vector():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(40, 6)), 25, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ends, near = neighbours.linked(x)
+    seen = set(neighbours.entry_points(ends, near).tolist())
+    open_ = list(seen)
+    while open_:
+        at = open_.pop()
+        new = set(near[ends[at - 1] if at else 0:ends[at]].tolist()) - seen
+        seen |= new
+        open_ += new
+    assert len(seen) == len(x)
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert neighbours.search(neighbours.build(none, "chunk_id"), q, "query_id", 5).count() == 0
+    one = spark.createDataFrame([(7, [0.0, 0.0])], "chunk_id long, embedding array<float>")
+    assert [tuple(r) for r in neighbours.best(neighbours.search(neighbours.build(one, "chunk_id"), q, "query_id", 5), 5).collect()] == [(1, 7, 0.0, 1)]
 
 
 @pytest.mark.parametrize("limit", [8_000_000, 10])
