@@ -2,7 +2,8 @@
 
 Vectors are dealt into shards of bounded size by a hash of their id. A shard's graph links every vector with its ``LINKS`` nearest in the
 shard and with those that it is nearest to, the closest ``2 LINKS`` of both. A search walks from entry vectors to ever closer ones
-and keeps the ``width`` best seen. Each connected part of a graph has an entry, so every vector can be reached.
+and keeps the ``width`` best seen. Each connected part of a graph has an entry, so every vector can be reached. Equal vectors are one
+place in the graph, so a group of copies doesn't shut a search in.
 A shard's graph is one row of a stored table; queries meet shards by a join on the shard, in batches of bounded size, and shards answer with
 ``k`` rows per query, which the final top-k merges. Nothing passes through the driver.
 
@@ -88,15 +89,18 @@ def build(vectors: DataFrame, id_column: str, vector: str = "embedding") -> Data
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        x = _unit(group.column("v"), group.num_rows)
+        x, place = np.unique(_unit(group.column("v"), group.num_rows), axis=0, return_inverse=True)
+        place = place.reshape(-1)
+        by_place = group.column("id").take(pa.array(np.argsort(place, kind="stable"))).to_pylist()
         ends, near = linked(x)
-        row = {"shard": group.column("shard")[0].as_py(), "dim": x.shape[1], "ids": group.column("id").to_pylist(), "vectors": x.tobytes(), "ends": ends, "near": near,
-               "entries": entry_points(ends, near)}
-        types = {"shard": pa.int64(), "dim": pa.int32(), "ids": pa.list_(_ARROW[kind]), "vectors": pa.binary(), **dict.fromkeys(("ends", "near", "entries"), pa.list_(pa.int32()))}
+        row = {"shard": group.column("shard")[0].as_py(), "dim": x.shape[1], "ids": by_place, "copies": np.cumsum(np.bincount(place)), "vectors": x.tobytes(), "ends": ends,
+               "near": near, "entries": entry_points(ends, near)}
+        types = {"shard": pa.int64(), "dim": pa.int32(), "ids": pa.list_(_ARROW[kind]), "copies": pa.list_(pa.int32()), "vectors": pa.binary(),
+                 **dict.fromkeys(("ends", "near", "entries"), pa.list_(pa.int32()))}
         return pa.table({c: pa.array([row[c]], t) for c, t in types.items()})
 
     dealt = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(one, f"shard long, dim int, ids array<{kind}>, vectors binary, ends array<int>, near array<int>, entries array<int>")
+    return dealt.groupBy("shard").applyInArrow(one, f"shard long, dim int, ids array<{kind}>, copies array<int>, vectors binary, ends array<int>, near array<int>, entries array<int>")
 
 
 def walk(q: np.ndarray, x: np.ndarray, ends: np.ndarray, near: np.ndarray, entries: np.ndarray, width: int) -> tuple[list[tuple[float, int]], int]:
@@ -148,14 +152,14 @@ def search(index: DataFrame, queries: DataFrame, query_id: str, k: int, vector:
         if left.num_rows and right.num_rows:
             dim, shard, ids = right.column("dim")[0].as_py(), right.column("shard")[0].as_py(), right.column("ids")[0].as_py()
             x = np.frombuffer(right.column("vectors")[0].as_py(), np.float64).reshape(-1, dim)
-            ends, near, entries = (right.column(c)[0].values.to_numpy() for c in ("ends", "near", "entries"))
+            copies, ends, near, entries = (right.column(c)[0].values.to_numpy() for c in ("copies", "ends", "near", "entries"))
             for name, v in zip(left.column("query_id").to_pylist(), left.column("v").to_pylist()):
                 if len(v) != dim:
                     continue
                 u = np.array(v, np.float64)
                 norm = np.linalg.norm(u)
                 found, visits = walk(u / norm if norm else u, x, ends, near, entries, width)
-                rows = sorted(((-round(s, DIGITS) + 0.0, ids[e]) for s, e in found))[:k]
+                rows = sorted((-round(s, DIGITS) + 0.0, i) for s, e in found for i in ids[copies[e - 1] if e else 0:copies[e]][:k])[:k]
                 for column, values in zip(out, ([name] * len(rows), [shard] * len(rows), [r[1] for r in rows], [-r[0] for r in rows], [visits] * len(rows))):
                     column.extend(values)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "shard", "chunk_id", "score", "visits"), out, (kinds[0], pa.int64(), kinds[1], pa.float64(), pa.int64()))})
