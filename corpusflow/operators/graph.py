@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +13,7 @@ from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import first_per_key, salted_join, top_k
 
-QUERY_CHARS = 2_000_000  # of the queries of a batch that is sent to every task
+GRAM = 3  # characters of an index entry for substring search
 
 
 @F.pandas_udf(T.StringType())
@@ -180,38 +178,39 @@ def entity_boost(entities: DataFrame, links: DataFrame) -> DataFrame:
     return b.select("slug", boost.alias("boost"))
 
 
-def search_entities(entities: DataFrame, queries: DataFrame, k: int = 5, type_: str | None = None) -> DataFrame:
-    """Entities whose name or slug contains the query text, by mentions.
+def _grams(c: Column, *sizes: int) -> Column:
+    """The distinct runs of so many characters of a text."""
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - k + 1)
+        return F.when(F.length(c) >= k, F.transform(starts, lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    Queries go to the tasks in batches of at most ``QUERY_CHARS`` characters, as an automaton that finds all of them in one
-    pass over an entity's names. Entities stay where they are; a task sends on at most ``k`` of them per query.
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def gram_index(entities: DataFrame) -> DataFrame:
+    """(gram, slug): the runs of one to ``GRAM`` characters in the name or slug of each entity."""
+    hay = F.concat_ws("\n", F.lower("display_name"), F.col("slug"))
+    return entities.select("slug", F.explode(_grams(hay, *range(1, GRAM + 1))).alias("gram"))
+
+
+def search_entities(entities: DataFrame, queries: DataFrame, k: int = 5, type_: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, slug, mention_count, rank): entities whose name or slug contains the query text, by mentions.
+
+    A query is looked up in ``index`` (:func:`gram_index`, which may be stored) by the rarest of its grams, a query shorter than a gram by itself; what is found
+    there is verified on the names. Nothing passes through the driver; a frequent gram's rows are split by adaptive execution.
     """
     e = entities if type_ is None else entities.where(F.col("type") == type_)
-    e = e.select("slug", F.col("mention_count").cast("long").alias("mention_count"), F.concat_ws("\n", F.lower("display_name"), F.col("slug")).alias("hay"))
-    q = queries.select("query_id", F.lower(tx.strip(F.col("text"))).alias("q")).where("q <> ''")
-    batches = max(1, -(-(q.agg(F.sum(F.length("q"))).first()[0] or 0) // QUERY_CHARS))
-    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, slug string, mention_count long"
-
-    def found(number: int) -> DataFrame:
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == number).collect()
-        shared = e.sparkSession.sparkContext.broadcast([(r["query_id"], r["q"]) for r in rows])
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            finder, asked = ahocorasick.Automaton(), {}
-            for i, t in shared.value:
-                asked.setdefault(t, []).append(i)
-            for t in asked:
-                finder.add_word(t, t)
-            finder.make_automaton()
-            for f in frames:
-                hits = [(i, s, n) for s, n, hay in zip(f["slug"], f["mention_count"], f["hay"]) if asked for t in {t for _, t in finder.iter(hay)} for i in asked[t]]
-                yield pd.DataFrame(hits, columns=["query_id", "slug", "mention_count"])
-
-        return e.mapInPandas(scan, schema)
-
-    return top_k(reduce(DataFrame.unionAll, map(found, range(batches))), ["query_id"], [F.desc("mention_count"), F.asc("slug")], k)
+    grams = gram_index(e) if index is None else index
+    q = queries.select("query_id", F.lower(tx.strip(F.col("text"))).alias("q")).where("q <> ''").distinct()
+    size = F.least(F.length("q"), F.lit(GRAM))
+    asked = q.select("query_id", "q", F.explode(F.element_at(F.array(*(_grams(F.col("q"), n) for n in range(1, GRAM + 1))), size)).alias("gram"))
+    number = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no entity has leaves nothing to look up
+    rarest = asked.join(number, "gram", "left").groupBy("query_id", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0")
+    found = rarest.select("query_id", "q", "m.gram").join(grams, "gram").select("query_id", "q", "slug")
+    names = e.select("slug", F.col("mention_count").cast("long").alias("mention_count"), F.concat_ws("\n", F.lower("display_name"), F.col("slug")).alias("hay"))
+    hits = found.join(names, "slug").where(F.contains("hay", F.col("q"))).select("query_id", "slug", "mention_count")
+    return top_k(hits, ["query_id"], [F.desc("mention_count"), F.asc("slug")], k)
 
 
 def related_papers(links: DataFrame, k: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from corpusflow.session import materialize
 # assistant messages alternate between a tool call (turn % 4 = 1) and a tool result (turn % 4 = 3)
 MSG = """msg as (select conv_id as session_id, turn as seq, case when role = 'assistant' and turn % 4 = 3 then 'tool' else role end as role, text as content,
  case when role = 'assistant' and turn % 4 = 3 then 'search' else '' end as tool_name, case when role = 'assistant' and turn % 4 = 3 then 'c' || conv_id || '_' || (turn - 2) else '' end as tool_call_id,
- case when role = 'assistant' and turn % 4 = 1 then 'c' || conv_id || '_' || turn else '' end as call_id, case when role = 'assistant' and turn % 4 = 1 then left(text, 200) else '' end as args from conversations)"""
+ case when role = 'assistant' and turn % 4 = 1 then 'c' || conv_id || '_' || turn else '' end as call_id, case when role = 'assistant' and turn % 4 = 1 then text else '' end as args from conversations)"""
 RT = "case when length({c}) = 0 then 0 else greatest(1, length({c}) // 2) end"
 MTOK = f"({RT.format(c='content')} + case when call_id <> '' then {RT.format(c='args')} + 3 else 0 end)"
 
@@ -23,7 +23,7 @@ def _messages(spark, d):
     tool = (F.col("role") == "assistant") & (F.col("turn") % 4 == 3)
     call = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
     cid = lambda n: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), n.cast("string"))
-    one = F.array(F.struct(cid(F.col("turn")).alias("id"), F.lit("search").alias("name"), F.left("text", F.lit(200)).alias("args")))
+    one = F.array(F.struct(cid(F.col("turn")).alias("id"), F.lit("search").alias("name"), F.col("text").alias("args")))
     return t.select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"),
         F.when(tool, "search").otherwise("").alias("tool_name"), F.when(tool, cid(F.col("turn") - 2)).otherwise("").alias("tool_call_id"),
@@ -144,11 +144,11 @@ def _turn_rows(spark, d):
 
 
 # short fillers are derived from some turns, so that the gate has something to reject
-FILL = "case when turn % 6 = 2 then 'ok, thanks: ' || left(text, 12) else text end"
+FILL = "case when turn % 6 = 2 and turn % 4 = 0 then 'ok' when turn % 6 = 2 then 'ok, thanks: ' || text else text end"
 
 
 def _filled():
-    return F.when(F.col("turn") % 6 == 2, F.concat(F.lit("ok, thanks: "), F.left("text", F.lit(12)))).otherwise(F.col("text"))
+    return F.when((F.col("turn") % 6 == 2) & (F.col("turn") % 4 == 0), "ok").when(F.col("turn") % 6 == 2, F.concat(F.lit("ok, thanks: "), F.col("text"))).otherwise(F.col("text"))
 
 
 @query("n01_low_value", f"select conv_id, turn, {LOWV.format(c='t')} as low_value from (select *, {FILL} as t from conversations)")
@@ -254,14 +254,14 @@ def _(spark, d):
 
 
 KINDS = "case turn % 4 when 0 then 'decision' when 1 then 'note' when 2 then 'summary' else 'chat' end"
-NOTE_ROWS = f"nt as (select conv_id as session_id, turn as note_id, {KINDS} as kind, (length(text) % 10) / 10.0::double as importance, turn as updated_at, left(text, 30) as title, text as content from conversations)"
+NOTE_ROWS = f"nt as (select conv_id as session_id, turn as note_id, {KINDS} as kind, (length(text) % 10) / 10.0::double as importance, turn as updated_at, split_part(text, chr(10), 1) as title, text as content from conversations)"
 
 
 def _notes(spark, d):
     t = F.col("turn") % 4
     return table(spark, d, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("note_id"), tx.first_match([(t == 0, "decision"), (t == 1, "note"), (t == 2, "summary")], "chat").alias("kind"),
-        ((F.length("text") % 10) / 10.0).alias("importance"), F.col("turn").alias("updated_at"), F.left("text", F.lit(30)).alias("title"), F.col("text").alias("content"))
+        ((F.length("text") % 10) / 10.0).alias("importance"), F.col("turn").alias("updated_at"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("content"))
 
 
 @query("n10_filter_notes", f"""with {NOTE_ROWS} select * from (select session_id, note_id, kind, importance, row_number() over (partition by session_id order by importance desc, updated_at desc, note_id) as rank

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.functions.skew import top_k
+from corpusflow.functions.skew import running, salted_join, top_k
 from corpusflow.operators import evaluate, guard, traces
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
@@ -85,8 +85,11 @@ def _(spark, d):
     return _results(spark, d).select("doc_id", "score")
 
 
-@query("v07_summary", f"""with {RES} select count(*) as total_cases, count(*) filter (score >= 0.75) as passed_cases, round(avg(route_correct::int), 4) as route_accuracy, round(avg(tool_correct::int), 4) as tool_accuracy,
- round(avg(tool_args_correct::int), 4) as tool_args_accuracy, round(avg(keyword_hit::int), 4) as keyword_hit_rate, round(avg(evidence_hit::int), 4) as evidence_hit_rate, round(avg(latency_ms), 2) as avg_latency_ms, floor((2 * sum(round(score * 10000)::bigint) + count(*)) / (2 * count(*))) / 10000 as avg_score from rs""")
+SUMMARY = """select count(*) as total_cases, count(*) filter (score >= 0.75) as passed_cases, round(avg(route_correct::int), 4) as route_accuracy, round(avg(tool_correct::int), 4) as tool_accuracy,
+ round(avg(tool_args_correct::int), 4) as tool_args_accuracy, round(avg(keyword_hit::int), 4) as keyword_hit_rate, round(avg(evidence_hit::int), 4) as evidence_hit_rate, round(avg(latency_ms), 2) as avg_latency_ms, floor((2 * sum(round(score * 10000)::bigint) + count(*)) / (2 * count(*))) / 10000 as avg_score from rs"""
+
+
+@query("v07_summary", f"with {RES} {SUMMARY}")
 def _(spark, d):
     return evaluate.summarize(_results(spark, d))
 
@@ -192,12 +195,12 @@ def _(spark, d):
     return evaluate.gate_confusion(g)
 
 
-@query("v15_recall_report", f"""with {RECALL}, {sq.ranked('rs', 5, 'o')}, x as (select item_id as query_id, substr(text, 1, 6) as kw, item_id % 4 <> 0 as should from benchmark),
+@query("v15_recall_report", f"""with {RECALL}, {sq.ranked('rs', 5, 'o')}, x as (select item_id as query_id, string_split(trim(text), ' ')[1] as kw, item_id % 4 <> 0 as should from benchmark),
 j as (select x.query_id, should, min(case when contains(lower(d.text), lower(kw)) then rank end) as r from x left join o using (query_id) left join documents d on d.doc_id = o.chunk_id group by 1, 2)
 select count(*) as n, round(count(*) filter (should and r <= 3) / count(*) filter (should), 6) as recall_top3, round(count(*) filter (should and r <= 5) / count(*) filter (should), 6) as recall_top5,
  round(count(*) filter (not should and r <= 5) / count(*) filter (not should), 6) as false_positive_rate, round(count(*) filter (should and coalesce(r > 5, true)) / count(*) filter (should), 6) as false_negative_rate from j""")
 def _(spark, d):
-    x = fx.queries(spark, d).select("query_id", F.substring("text", 1, 6).alias("keyword"), (F.col("query_id") % 4 != 0).alias("should_recall"))
+    x = fx.queries(spark, d).select("query_id", F.element_at(F.split(F.trim("text"), " "), 1).alias("keyword"), (F.col("query_id") % 4 != 0).alias("should_recall"))
     r = _recall(spark, d, 5).join(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
     return evaluate.recall_report(x, r.select("query_id", "rank", "content"))
 
@@ -244,14 +247,20 @@ def _(spark, d):
     return evaluate.tool_case_results(cases, pay, tr)
 
 
-@query("v21_recovery_audit", """with s as (select user_id as scenario, event_id as step, event_id < 5000 as done, case when event_type = 'error' then 'value_' || event_id when event_type = 'signup' then '' when event_id < 5000 then 'CP_value_' || event_id else 'value_' || event_id end as a from events)
+@query("v21_recovery_audit", """with u as (select user_id, count(*) // 2 as half from events group by 1), p as (select user_id, event_type, row_number() over (partition by user_id order by event_id) - 1 as step from events),
+s as (select user_id as scenario, step, step < half as done, case when event_type = 'error' then 'value_' || step when event_type = 'signup' then '' when step < half then 'CP_value_' || step else 'value_' || step end as a from p join u using (user_id))
 select scenario, count(*) as n_steps, count(*) filter (done and a = 'CP_value_' || step) as skipped, count(*) filter (done and a = 'value_' || step) as re_executed, count(*) filter ((done and a <> 'CP_value_' || step) or (not done and a = '')) as violations,
  count(*) filter ((done and a <> 'CP_value_' || step) or (not done and a = '')) = 0 as recovered from s group by 1""")
 def _(spark, d):
-    i, ty = F.col("event_id"), F.col("event_type")
+    # a scenario's steps are its events by id; the first half of them was done before the break
+    e = table(spark, d, "events").select(F.col("user_id").alias("scenario"), "event_id", "event_type")
+    i, ty, half = F.col("step"), F.col("event_type"), F.col("completed_upto")
+    slice_ = F.floor(F.col("event_id") / 1000)
+    e = running(e, ["scenario"], slice_, ["event_id"], {"step": F.lit(1)}).withColumn("step", i - 1)
+    e = salted_join(e, e.groupBy("scenario").agg(F.floor(F.count("*") / 2).alias("completed_upto"), F.count("*").alias("n")), "scenario", "n", F.col("event_id"))
     v = F.concat(F.lit("value_"), i.cast("string"))
-    a = F.when(ty == "error", v).when(ty == "signup", "").when(i < 5000, F.concat(F.lit("CP_"), v)).otherwise(v)
-    return evaluate.recovery_audit(table(spark, d, "events").select(F.col("user_id").alias("scenario"), i.alias("step"), F.lit(5000).alias("completed_upto"), a.alias("actual")))
+    a = F.when(ty == "error", v).when(ty == "signup", "").when(i < half, F.concat(F.lit("CP_"), v)).otherwise(v)
+    return evaluate.recovery_audit(e.select("scenario", "step", "completed_upto", a.alias("actual")))
 
 
 @query("v22_tool_calls", "select event_id, event_type as name, props::json->>'k' as k from events where event_type <> 'view'")

@@ -308,11 +308,11 @@ def _(spark, d):
     return graph.entity_boost(*_tables(spark, d)).withColumn("boost", F.round("boost", 6))
 
 
-QUERY_WORD = "left(lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)), 4)"
+QUERY_WORD = "lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1))"
 
 
 def _word_queries(spark, d):
-    w = F.left(F.lower(F.regexp_extract("text", r"([A-Za-z]+)[^A-Za-z]*$", 1)), F.lit(4))
+    w = F.lower(F.regexp_extract("text", r"([A-Za-z]+)[^A-Za-z]*$", 1))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("text"))
 
 

@@ -202,7 +202,7 @@ def _ranked_papers(spark, d):
     from corpusflow.functions.skew import top_k
 
     i = F.col("doc_id")
-    p = _docs(spark, d).select(F.col("source").alias("query_id"), i, F.left("text", F.lit(30)).alias("title"), F.col("lang").alias("authors"), F.lit("V").alias("venue"),
+    p = _docs(spark, d).select(F.col("source").alias("query_id"), i, tx.first_line(F.col("text")).alias("title"), F.col("lang").alias("authors"), F.lit("V").alias("venue"),
                                (2000 + F.col("n_chars") % 25).alias("year"), (F.col("n_chars") % 150).alias("citation_count"),
                                F.when(i % 3 == 0, "").otherwise("http://x").alias("url"), F.col("text").alias("abstract"))
     return top_k(p, ["query_id"], [F.desc("citation_count"), F.asc("doc_id")], 5)
@@ -211,7 +211,7 @@ def _ranked_papers(spark, d):
 RANKED = """rp as (select * from (select source as query_id, *, row_number() over (partition by source order by n_chars % 150 desc, doc_id) as rank from documents) where rank <= 5)"""
 
 
-@query("p13_paper_list", f"""with {RANKED} select query_id, string_agg(rank || '. ' || left(text, 30) || chr(10) || 'Authors: ' || lang || chr(10) || 'Venue/Year: V ' || (2000 + n_chars % 25) || chr(10)
+@query("p13_paper_list", f"""with {RANKED} select query_id, string_agg(rank || '. ' || split_part(text, chr(10), 1) || chr(10) || 'Authors: ' || lang || chr(10) || 'Venue/Year: V ' || (2000 + n_chars % 25) || chr(10)
  || 'Citations: ' || (n_chars % 150) || case when doc_id % 3 = 0 then '' else chr(10) || 'URL: http://x' end || case when text = '' then '' else chr(10) || 'Abstract: ' || case when length(text) > 1600 then left(text, 1600) || '...' else text end end,
  chr(10) || chr(10) order by rank) as paper_list from rp group by 1""")
 def _(spark, d):
@@ -219,7 +219,7 @@ def _(spark, d):
 
 
 @query("p13_compact_payload", rf"""with {RANKED}, a as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as a from rp where rank <= 3)
-select query_id, rank, left(text, 30) as title, 2000 + n_chars % 25 as year, n_chars % 150 as citation_count, case when length(a) <= 280 then a else rtrim(left(a, 280), {sq.BLANKS}) || '...' end as abstract from a""")
+select query_id, rank, split_part(text, chr(10), 1) as title, 2000 + n_chars % 25 as year, n_chars % 150 as citation_count, case when length(a) <= 280 then a else rtrim(left(a, 280), {sq.BLANKS}) || '...' end as abstract from a""")
 def _(spark, d):
     return papers.compact_payload(_ranked_papers(spark, d), "query_id")
 

@@ -8,9 +8,9 @@ from corpusflow.operators import chunking, conversation, ingest, traces
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.catalog_dialog import MSG, _messages
-from corpusflow.plans.catalog_eval import FAIL, RES, SPANS, _classified, _results, _spans
+from corpusflow.plans.catalog_eval import FAIL, RES, SPANS, SUMMARY, _classified, _results, _spans
 from corpusflow.plans.registry import query, table
-from corpusflow.session import work_dir
+from corpusflow.session import materialize, work_dir
 from corpusflow.sources import files, payloads, tables
 from corpusflow.streaming import jobs
 
@@ -256,18 +256,40 @@ def _(spark, d):
     return c.select("chunk_id", "source", "text").orderBy("chunk_id").limit(50)
 
 
-@query("s21_report_lines", f"""with {FAIL}, s as (select count(*) as a, count(*) filter (score >= 0.75) as b from rs)
-select '- Total Cases: ' || a as line from s union all select '- Passed Cases: ' || b from s union all select '- ' || failure_category || ': ' || count(*) from fc where score < 0.75 group by failure_category
-union all select '- `' || doc_id || '` | category=' || failure_category || ' | reason=' || failure_reason from fc where score < 0.75""")
-def _(spark, d):
+REPORT = f"""with {FAIL}, s as ({SUMMARY}), h as (select unnest(['# Evaluation Report', '', '## Summary', '', '## Failure Categories', '', '## Failed Cases']) as line)
+select line from h union all select unnest(['- Total Cases: ' || total_cases, '- Passed Cases: ' || passed_cases, '- Route Accuracy: ' || route_accuracy, '- Tool Accuracy: ' || tool_accuracy,
+ '- Keyword Hit Rate: ' || keyword_hit_rate, '- Evidence Hit Rate: ' || evidence_hit_rate, '- Avg Latency(ms): ' || avg_latency_ms, '- Avg Score: ' || avg_score]) from s
+union all select '- ' || failure_category || ': ' || count(*) from fc where score < 0.75 group by failure_category
+union all select '- `' || doc_id || '` | score=' || score || ' | category=' || failure_category || ' | reason=' || failure_reason from fc where score < 0.75"""
+
+
+def _report(spark, d):
     from corpusflow.operators import evaluate
 
-    c = _classified(spark, d)
+    c = materialize(_classified(spark, d), "classified")
     failed = c.where(f"score < {rules.PASS_SCORE}").withColumnRenamed("doc_id", "case_id")
-    l = files.report_lines(evaluate.summarize(_results(spark, d)), evaluate.failure_counts(c), failed)
-    # headings and means aside; a score is a double, whose text form differs between engines
-    keep = l.where("o in (10, 11, 40, 60)")
-    return keep.select(F.regexp_replace("line", r" score=[0-9.]+ \|", "").alias("line"))
+    return evaluate.summarize(_results(spark, d)), evaluate.failure_counts(c), failed
+
+
+@query("s21_report_lines", REPORT)
+def _(spark, d):
+    return files.report_lines(*_report(spark, d)).select("line")
+
+
+@query("s21_report_files", f"""with {FAIL}, s as ({SUMMARY}), l as ({REPORT.replace('with ' + FAIL + ', s as (' + SUMMARY + '), ', 'with ')})
+select 'summary' as part, null::bigint as case_id, total_cases || '|' || passed_cases || '|' || route_accuracy || '|' || tool_accuracy || '|' || tool_args_accuracy || '|' || keyword_hit_rate || '|' || evidence_hit_rate || '|' || avg_latency_ms || '|' || avg_score as value from s
+union all select 'failed', doc_id, score || '|' || failure_category || '|' || failure_reason from fc where score < 0.75 union all select 'markdown', null, line from l""")
+def _(spark, d):
+    # the JSON and the Markdown as they were written, read back
+    path = work_dir(spark, "report")
+    summary, counts, failed = _report(spark, d)
+    files.write_report(summary, counts, failed, path)
+    j = lambda part, df: spark.read.schema(df.schema).json(f"{path}/{part}")
+    row = lambda part, i, *c: [F.lit(part).alias("part"), i.cast("long").alias("case_id"), F.concat_ws("|", *(F.col(x).cast("string") for x in c)).alias("value")]
+    none = F.lit(None)
+    out = j("summary", summary).select(*row("summary", none, *summary.columns))
+    out = out.unionByName(j("failed_cases", failed).select(*row("failed", F.col("case_id"), "score", "failure_category", "failure_reason")))
+    return out.unionByName(spark.read.text(f"{path}/markdown").select(*row("markdown", none, "value")))
 
 
 @query("s22_report_catalogue", "select 'k' || (n_chars % 7) as k, count(*) as n from documents group by 1 having count(*) > 0")

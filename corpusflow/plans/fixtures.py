@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators import chunking, neighbours
+from corpusflow.functions import text
+from corpusflow.operators import chunking, lexical, neighbours, sparse
 from corpusflow.operators.lexical import LexicalIndex
 from corpusflow.plans.registry import table, texts
 from corpusflow.sources.indexes import lasting
@@ -13,22 +14,22 @@ from corpusflow.sources.indexes import lasting
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Leaf chunks (windows of 500 characters) of all documents, with parent and root ids; cut once per table."""
-    return lasting(spark, "windows", f"{d}/documents.parquet")(lambda: _chunks(spark, d), "chunks")
+    return lasting(spark, "windows", (chunking,), f"{d}/documents.parquet")(lambda: _chunks(spark, d), "chunks")
 
 
 def document_index(spark: SparkSession, d: str) -> LexicalIndex:
     """The lasting term index over whole documents."""
-    return LexicalIndex(texts(spark, d), "doc_id", keep=lasting(spark, "documents", f"{d}/documents.parquet"))
+    return LexicalIndex(texts(spark, d), "doc_id", keep=lasting(spark, "documents", (lexical, sparse, text), f"{d}/documents.parquet"))
 
 
 def chunk_index(spark: SparkSession, d: str) -> LexicalIndex:
     """The lasting term index over leaf chunks."""
-    return LexicalIndex(chunks(spark, d), "chunk_id", keep=lasting(spark, "windows", f"{d}/documents.parquet"))
+    return LexicalIndex(chunks(spark, d), "chunk_id", keep=lasting(spark, "windows", (chunking, lexical, sparse, text), f"{d}/documents.parquet"))
 
 
 def vector_index(spark: SparkSession, d: str) -> DataFrame:
     """The lasting neighbour graphs of the embeddings."""
-    keep = lasting(spark, "embeddings", f"{d}/embeddings.parquet")
+    keep = lasting(spark, "embeddings", (neighbours,), f"{d}/embeddings.parquet")
     return keep(lambda: neighbours.build(table(spark, d, "embeddings"), "vec_id"), "graphs")
 
 

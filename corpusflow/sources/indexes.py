@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +32,14 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def lasting(spark: SparkSession, name: str, *paths: str) -> Callable[[Callable[[], DataFrame], str], DataFrame]:
+def lasting(spark: SparkSession, name: str, by: tuple[ModuleType, ...], *paths: str) -> Callable[[Callable[[], DataFrame], str], DataFrame]:
     """``keep(make, label)``: the table that ``make()`` gives, from the shared work folder if it was written there from the same files before.
 
-    ``name`` stands for how the table is made. A table counts as written once the marker behind it is there, so one that
+    ``name`` and the code of the modules ``by`` stand for how the table is made. A table counts as written once the marker behind it is there, so one that
     breaks off is made again.
     """
-    base = f"{shared_dir(spark)}/corpusflow/lasting/{name}-{fingerprint(spark, *paths)}"
+    code = zlib.crc32(b"".join(Path(m.__file__).read_bytes() for m in by))
+    base = f"{shared_dir(spark)}/corpusflow/lasting/{name}-{code:08x}-{fingerprint(spark, *paths)}"
 
     def keep(make: Callable[[], DataFrame], label: str) -> DataFrame:
         path, marker = f"{base}/{label}", f"{base}/{label}-done"

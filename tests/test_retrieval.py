@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import cache, dense, fusion, lexical, memory, neighbours, sparse
+from corpusflow.operators import cache, dense, fusion, graph, lexical, memory, neighbours, sparse
 
 
 def ranked(spark, rows):
@@ -169,3 +169,17 @@ def test_cache_prefers_exact_and_respects_ttl(spark):
     q = spark.createDataFrame([(1, "q one", [1.0, 0.0]), (2, " Q two ", [1.0, 0.0]), (3, "else", [0.1, 1.0])], "query_id int, text string, embedding array<double>")
     got = {r.query_id: (r.cache_type, r.entry_id) for r in cache.lookup(q, c, F.lit(100.0), 50).collect()}
     assert got == {1: ("miss", None), 2: ("exact", 3), 3: ("semantic", 2)}
+
+
+def test_entity_search_matches_containment(spark):
+    names = ["Graph Search", "graph", "ñandú Ñ", "a", "", "deep graphs", "search engine", "x" * 500] + [f"common {i}" for i in range(40)]
+    ents = spark.createDataFrame([(f"t/{i}-{n.lower()}", n, "t" if i % 2 else "u", i) for i, n in enumerate(names)], "slug string, display_name string, type string, mention_count long")
+    asked = ["graph", "ñ", "a", "ch e", "common", "mmon 39", "zzz", "", None, "xx", "t/1", " Graph Search "]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    for kind in (None, "t"):
+        want = set()
+        for i, t in enumerate(asked):
+            t = (t or "").strip().lower()
+            hit = [(n, f"t/{n}-{x.lower()}") for n, x in enumerate(names) if t and (kind is None or n % 2) and (t in x.lower() or t in f"t/{n}-{x.lower()}")]
+            want |= {(i, s, n, r + 1) for r, (n, s) in enumerate(sorted(hit, key=lambda h: (-h[0], h[1]))[:5])}
+        assert {tuple(r) for r in graph.search_entities(ents, q, 5, kind).collect()} == want
