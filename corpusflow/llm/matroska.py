@@ -102,6 +102,10 @@ def write(payload: bytes) -> bytes:
 
 # reading
 
+MAX_DEPTH = 16            # the format itself needs half of it
+MAX_NUMBER = (1 << 63) - 1  # of tables
+
+
 class Broken(ValueError):
     pass
 
@@ -131,6 +135,12 @@ class Media:
     error: str | None = None
 
 
+def _fits(n: int) -> int:
+    if not -MAX_NUMBER <= n <= MAX_NUMBER:
+        raise Broken("number beyond 64 bits")
+    return n
+
+
 def _block(data, at: int, end: int, base: int, cluster: int, simple: bool, media: Media, keyframe: bool) -> None:
     track, at, _ = number(data, at)
     if at + 3 > end:
@@ -170,7 +180,8 @@ def _block(data, at: int, end: int, base: int, cluster: int, simple: bool, media
     if min(sizes) < 0 or at + sum(sizes) > end:
         raise Broken("lace beyond its block")
     duration = next((t.get("duration", 0) for t in media.tracks if t.get("number") == track), 0)
-    time = (base + offset) * media.scale
+    time = _fits((base + offset) * media.scale)
+    _fits(time + len(sizes) * duration)
     for i, n in enumerate(sizes):
         media.packets.append((track, time + i * duration, at, n, key, cluster))
         at += n
@@ -180,7 +191,7 @@ def read(data: bytes) -> Media:
     """Walk a file. What stands before a break is kept."""
     media = Media()
     try:
-        _walk(data, 0, len(data), media, None, {})
+        _walk(data, 0, len(data), media, None, {}, 0)
         if media.doc_type is None:
             media.error = "no EBML header"
     except (Broken, IndexError, struct.error) as e:
@@ -188,7 +199,9 @@ def read(data: bytes) -> Media:
     return media
 
 
-def _walk(data, at: int, end: int, media: Media, parent: int | None, state: dict) -> int:
+def _walk(data, at: int, end: int, media: Media, parent: int | None, state: dict, depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise Broken("elements nested too deep")
     while at < end:
         start = at
         i, at, _ = number(data, at, keep_marker=True)
@@ -208,17 +221,17 @@ def _walk(data, at: int, end: int, media: Media, parent: int | None, state: dict
                 inner = state | {"group": None}
             if i == TRACK:
                 media.tracks.append({})
-            at = _walk(data, at, stop, media, i, inner)
+            at = _walk(data, at, stop, media, i, inner, depth + 1)
             if i == BLOCK_GROUP and inner["group"]:
                 _block(data, *inner["group"], state["base"], state["start"] - state["segment"], False, media, not inner.get("referenced"))
             if i == CUE_POINT and "time" in inner:
-                media.cues.append((inner["time"] * media.scale, inner.get("track"), inner.get("cluster")))
+                media.cues.append((_fits(inner["time"] * media.scale), inner.get("track"), inner.get("cluster")))
             if i == CUE_POSITIONS:
                 state |= {k: inner[k] for k in ("track", "cluster") if k in inner}
             if cut:
                 raise Broken(f"element {i:#x} breaks off")
             continue
-        value = lambda a=at, b=stop: int.from_bytes(data[a:b], "big")
+        value = lambda a=at, b=stop: _fits(int.from_bytes(data[a:b] if b - a <= 8 else b"\xff" * 9, "big"))
         if i == SIMPLE_BLOCK:
             _block(data, at, stop, state["base"], state["start"] - state["segment"], True, media, False)
         elif i == BLOCK:

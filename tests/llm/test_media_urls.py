@@ -55,6 +55,22 @@ def test_broken_files():
     assert mk.read(b"").error and mk.read(b"\x00" * 50).error and mk.read(b"plain text").error
 
 
+def test_hostile_files(spark):
+    """Deep nesting and numbers beyond 64 bits are errors of the file, not of the job."""
+    deep = b""
+    for _ in range(3000):
+        deep = mk.element(mk.BLOCK_GROUP, deep)
+    good = mk.write(mk.payload_of("x" * 5000)[1])
+    head = mk.element(mk.EBML, mk.element(mk.DOC_TYPE, b"matroska"))
+    long_time = head + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, mk.element(mk.TIMESTAMP, b"\xff" * 9) + mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x80abc")))
+    big_time = head + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, mk.element(mk.TIMESTAMP, b"\x7f" * 8) + mk.element(mk.SIMPLE_BLOCK, b"\x81\0\0\x80abc")))
+    files = [head + mk.element(mk.SEGMENT, deep), long_time, big_time, good]
+    df = spark.createDataFrame(list(enumerate(map(bytearray, files))), "i int, m binary")
+    errors = {r.i: r.error for r in mk.packets(df, "i", "m").collect() if r.error}
+    assert errors == {0: "elements nested too deep", 1: "number beyond 64 bits", 2: "number beyond 64 bits"}
+    assert mk.packets(df, "i", "m").where("i = 3 and error is null").count() == len(mk.read(good).packets)
+
+
 def test_tables(spark, odd, empty):
     got = mk.stored_media(odd, "doc_id", "text").collect()
     assert len(got) == odd.count()
