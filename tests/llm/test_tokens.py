@@ -101,6 +101,20 @@ def test_packing_windows():
     assert sum(sizes) == total and all(n & (n - 1) == 0 for n in sizes) and sum(n < 2048 for n in sizes) <= 11
 
 
+def test_window_is_a_bound():
+    """Equal rests that fill no sequence exactly are cut; a packer never holds more than its window, and nothing is padded or lost."""
+    packer, placed, most = packing.Packer(2048, 256), [], 0
+    for i in range(6000):
+        placed += packer.add(i, np.full(1000, i, np.uint32))
+        most = max(most, packer.size)
+    assert most <= 256 and len(placed) > 2500
+    placed += packer.close()
+    sizes = [sum(len(r.ids) for r in s) for s in placed]
+    assert sum(sizes) == 6_000_000 and all(n == 2048 for n in sizes[:-11])
+    seen = sorted((r.doc, r.start, len(r.ids)) for s in placed for r in s)
+    assert [(d, s) for d, s, _ in seen if s == 0] == [(i, 0) for i in range(6000)]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(7)
     ids = (rng.zipf(1.3, 150_000) % 900).astype(np.uint16)
