@@ -15,7 +15,8 @@
 The bands are as wide as they can be while a pair at the threshold shares no bucket with a probability below 1e-5.
 
 Defined results: a text of fewer words than a shingle is one shingle; null texts and texts without words have an empty set
-and are linked with nothing; rows with a null id stay on their own; rows that repeat an id are one document; an empty
+and are linked with nothing; rows with a null id stay on their own; rows that repeat an id with the same text
+are one document, with another text a document of their own (so such an id may have several components); an empty
 table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -40,6 +41,7 @@ UNSEEN = 1e-5          # probability that a pair at the threshold shares no buck
 BATCH = 20             # signature values that are compared at a time
 MISS = 1e-6            # posterior probability of a link below which a pair is dropped
 BLOCK = 1 << 20        # shingles of a block of members; a task compares two blocks
+BLOCK_ROWS = 1024      # and its members
 PIECE = 2_000_000      # bytes of text that one step works on
 FILTER_BITS = 1 << 26  # of the bitmap that keeps other documents out of the verification; a fixed 8 MB
 
@@ -256,9 +258,10 @@ def block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: Da
     """
     tagged = members.join(labels, "id", "left").join(reps.select("id", "n", "sig"), "id")
     tagged = stored(tagged.select("key", "id", F.coalesce("component", "id").alias("component"), "n", "sig"), "near-tagged")
-    per = tagged.groupBy("key", "component").agg(F.sum("n").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    main = main.select("key", F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("xs"))
+    per = tagged.groupBy("key", "component").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    main = per.groupBy("key").agg(F.max(F.struct("n", "component", "c")).alias("m"), F.sum("n").alias("all"), F.sum("c").alias("rows"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, c: F.greatest(F.ceil(n / BLOCK), F.ceil(c / BLOCK_ROWS)).cast("int")
+    main = main.select("key", F.col("m.component").alias("main"), blocks(F.col("all"), F.col("rows")).alias("ys"), blocks(F.col("all") - F.col("m.n"), F.col("rows") - F.col("m.c")).alias("xs"))
     some = tagged.join(main, "key").join(sets, "id")
     place = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30))
     right = some.withColumns({"y": F.pmod(place, "ys").cast("int"), "x": F.explode(F.sequence(F.lit(0), F.col("xs") - 1))})
@@ -285,10 +288,37 @@ def block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: Da
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+def _one_text_each(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str] | None:
+    """Where ids have several texts: the documents with a column in which such rows have a number of their own; else None."""
+    several = docs.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("several")).agg(
+        F.min(F.xxhash64(text_column)).alias("a"), F.max(F.xxhash64(text_column)).alias("b")).where("a <> b").select("several")
+    several = stored(several, "near-several")
+    if several.isEmpty():
+        return None
+    own, mark = fresh(docs, "own", "mark")
+    marked = docs.join(several.withColumnRenamed("several", mark), docs[id_column].cast("long") == F.col(mark), "left")
+    low = F.lit(-(1 << 63)) + F.xxhash64(id_column, text_column).bitwiseAND(F.lit((1 << 61) - 1))
+    return marked.withColumn(own, F.when(F.col(mark).isNotNull(), low).otherwise(F.col(id_column).cast("long"))).drop(mark), own
+
+
 def near_duplicates(docs: DataFrame, id_column: str, text_column: str, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
+    alone = _one_text_each(docs, id_column, text_column)
+    if alone is None:
+        return _near_duplicates(docs, id_column, text_column, per_hundred)
+    marked, own = alone
+    found = stored(_near_duplicates(marked, own, text_column, per_hundred).where(F.col(own).isNotNull()).dropDuplicates([own]), "near-found")
+    rows = marked.select(F.col(id_column).cast("long").alias("id"), F.col(own).alias("own"))
+    rows = rows.join(found.select(F.col(own).alias("own"), "n_shingles", F.col("component_id").alias("group")), "own", "left")
+    names = rows.where("group is not null").groupBy("group").agg(F.min("id").alias("component_id"))
+    out = rows.join(names, "group", "left")
+    return out.select(F.col("id").alias(id_column), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "component_id",
+                      F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, per_hundred: int) -> DataFrame:
+    """The same for documents whose ids have one text each."""
     all_docs = stored(describe(docs, id_column, text_column), "near-documents")
     usable = all_docs.where("d1 is not null and id is not null")
     reps = usable.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("d1", "d2", "r.*")
@@ -313,7 +343,17 @@ def near_duplicates(docs: DataFrame, id_column: str, text_column: str, per_hundr
 
 
 def one_of_each_group(docs: DataFrame, id_column: str, text_column: str, per_hundred: int = 80) -> DataFrame:
-    """The filter: of each component the document with the smallest id, with all its columns."""
-    gone = fresh(docs, "gone")[0]
-    dropped = near_duplicates(docs, id_column, text_column, per_hundred).where(~F.col("kept")).select(F.col(id_column).alias(gone)).distinct()
-    return docs.join(dropped, docs[id_column].cast("long") == dropped[gone], "left_anti")
+    """The filter: of each component the document with the smallest id, with all its columns. Of several texts of one id in a component all stay."""
+    bound_batches(docs.sparkSession)
+    alone = _one_text_each(docs, id_column, text_column)
+    marked, own = alone or (docs, id_column)
+    gone, real = fresh(marked, "gone", "real")
+    found = _near_duplicates(marked, own, text_column, per_hundred)
+    if alone is None:
+        dropped = found.where(~F.col("kept")).select(F.col(own).alias(gone)).distinct()
+    else:  # a component's smallest id is known by the real ids of its members
+        found = stored(found.where(F.col(own).isNotNull()).select(F.col(own).alias(gone), "component_id").distinct(), "near-found")
+        named = found.join(marked.select(F.col(own).alias(gone), F.col(id_column).cast("long").alias(real)).where(F.col(gone).isNotNull()).distinct(), gone)
+        low = named.groupBy("component_id").agg(F.min(real).alias("low"))
+        dropped = named.join(low, "component_id").where(F.col(real) > F.col("low")).select(gone)
+    return marked.join(dropped, marked[own].cast("long") == dropped[gone], "left_anti").select(*docs.columns)

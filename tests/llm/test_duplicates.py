@@ -93,6 +93,17 @@ def test_long_chain_of_links(spark):
     assert got == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1400)}
 
 
+def test_ids_with_several_texts(spark):
+    """Such rows are documents of their own: no text is lost, and each has one row in its component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, c), (4, c + " more"), (5, None), (5, c), (6, a)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in nd.near_duplicates(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == sorted([(1, 36, 1, True), (2, 36, 1, False), (2, 36, 2, True), (3, 36, 2, False), (4, 36, 4, True), (4, 37, 4, True), (5, 0, 5, True), (5, 36, 4, False), (6, 36, 1, False)])
+    left = nd.one_of_each_group(docs, "doc_id", "text")
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(repr, (tuple(r) for r in left.collect()))) == sorted(map(repr, [(1, a), (2, b), (4, c), (4, c + " more"), (5, None)]))
+
+
 def test_near_duplicates_defined_cases(odd, empty):
     got = nd.near_duplicates(odd, "doc_id", "text").collect()
     assert len(got) == odd.count()
