@@ -85,29 +85,33 @@ class LexicalIndex:
         """(id, term, weight) of all documents."""
         return document_weights(self.post, self.df, self.stats, self.id_col)
 
-    def scaled(self) -> DataFrame:
+    def scaled(self, only: Column | None = None) -> DataFrame:
         """Vectors with the document part of BM25, everything but the idf."""
         avg = self.stats.select("avg_dl").scalar()
         w = F.transform("tfs", lambda tf: bm25(tf.cast("double"), F.col("dl"), F.lit(1.0), F.col("_avg")))
         v = self.vec.withColumn("_avg", avg)
-        return v.select(F.col(self.id_col).alias("chunk_id"), "dl", "terms", w.alias("weights"))
+        v = v.withColumnRenamed(self.id_col, "chunk_id")
+        return (v if only is None else v.where(only)).select("chunk_id", "dl", "terms", w.alias("weights"))
 
-    def search(self, queries: DataFrame, query_id: str, k: int, text_col: str = "text") -> DataFrame:
-        """Inner product of query and document weights, best ``k`` per query."""
+    def search(self, queries: DataFrame, query_id: str, k: int, text_col: str = "text", only: Column | None = None) -> DataFrame:
+        """Inner product of query and document weights, best ``k`` per query.
+
+        ``only`` is a condition on ``chunk_id``: other documents count in the statistics, but are left behind at the scan.
+        """
         n, avg = _scalars(self.stats)
         q = postings(vectors(queries, query_id, text_col), query_id)
         # terms without a document cannot score, so the small side may be sent to the frequency table
         i = idf(F.col("df"), n)
         e = q.join(self.df, "term").select(
             F.col(query_id).alias("query_id"), "term", (bm25(F.col("tf"), F.col("dl"), i, avg) * i).alias("w"), F.lit(0).alias("qlen")).where("w > 0")
-        return sparse_top_k(self.scaled(), materialize(e, "query-terms"), k)
+        return sparse_top_k(self.scaled(only), materialize(e, "query-terms"), k)
 
-    def match(self, queries: DataFrame, query_id: str, k: int, boost: float = 1.0, text_col: str = "text") -> DataFrame:
+    def match(self, queries: DataFrame, query_id: str, k: int, boost: float = 1.0, text_col: str = "text", only: Column | None = None) -> DataFrame:
         """Document weights of the distinct query terms added up."""
         n = self.stats.select("n_docs").scalar()
         t = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(tx.index_terms(F.col(text_col)))).alias("term")).where("term is not null")
         e = t.join(self.df, "term").select("query_id", "term", (idf(F.col("df"), n) * boost).alias("w"), F.lit(0).alias("qlen"))
-        return sparse_top_k(self.scaled(), materialize(e, "query-terms"), k)
+        return sparse_top_k(self.scaled(only), materialize(e, "query-terms"), k)
 
 
 def text_match(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int = 10) -> DataFrame:
@@ -116,16 +120,16 @@ def text_match(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str,
 
 
 def field_scores(
-    fields: dict[str, float], docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int
+    fields: dict[str, float], docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int, only: Column | None = None
 ) -> DataFrame:
     """Best-field score: BM25 per field times its weight, the highest field counts per document.
 
     A document among the ``k`` best is among the ``k`` best of the field that gives its score, so the
-    best of every field are enough.
+    best of every field are enough. ``only`` is a condition on ``chunk_id``, such as a filter by level.
     """
     legs = None
     for name, boost in fields.items():
-        s = LexicalIndex(docs.where(F.col(name) != ""), id_col, name).match(queries, query_id, k, boost).drop("rank")
+        s = LexicalIndex(docs.where(F.col(name) != ""), id_col, name).match(queries, query_id, k, boost, only=only).drop("rank")
         legs = s if legs is None else legs.unionByName(s)
     best = legs.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

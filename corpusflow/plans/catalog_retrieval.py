@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.operators import dense, fusion, lexical, neighbours
+from corpusflow.operators import dense, fusion, lexical, neighbours, ranking
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.registry import query, table, texts
@@ -128,7 +128,7 @@ def _fields(spark, d):
     docs = texts(spark, d)
     lines = F.split("text", "\n")
     return docs.select("doc_id", "text", F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("h1"),
-                       F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("h2"))
+                       F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("h2"), F.coalesce(F.get(lines, F.lit(2)), F.lit("")).alias("h3"))
 
 
 def _field_sql(name, boost):
@@ -138,14 +138,15 @@ def _field_sql(name, boost):
 
 
 @query("t08_multi_field_search", f"""
-with fields as (select doc_id, text, coalesce(string_split(text, chr(10))[1], '') as h1, coalesce(string_split(text, chr(10))[2], '') as h2 from documents),
+with fields as (select doc_id, text, coalesce(string_split(text, chr(10))[1], '') as h1, coalesce(string_split(text, chr(10))[2], '') as h2,
+ coalesce(string_split(text, chr(10))[3], '') as h3 from documents),
 qterms as (select distinct item_id as query_id, unnest({sq.terms('text')}) as term from benchmark),
-{_field_sql('text', 2.0)}, {_field_sql('h1', 3.0)}, {_field_sql('h2', 2.0)},
-b as (select query_id, chunk_id, round(max(s), 9) as score from (select * from f_text_s union all select * from f_h1_s union all select * from f_h2_s) group by all),
+{_field_sql('text', 2.0)}, {_field_sql('h1', 3.0)}, {_field_sql('h2', 2.0)}, {_field_sql('h3', 1.0)},
+b as (select query_id, chunk_id, round(max(s), 9) as score from (select * from f_text_s union all select * from f_h1_s union all select * from f_h2_s union all select * from f_h3_s) where chunk_id % 3 <> 0 group by all),
 {sq.ranked('b', K, 'o')} select {OUT} from o""")
 def _(spark, d):
-    w = {f: rules.FIELD_WEIGHTS[f] for f in ("text", "h1", "h2")}
-    return _out(lexical.field_scores(w, _fields(spark, d), fx.queries(spark, d), "doc_id", "query_id", K))
+    # documents stand for chunks of three levels by their numbers; two levels are searched
+    return _out(lexical.field_scores(rules.FIELD_WEIGHTS, _fields(spark, d), fx.queries(spark, d), "doc_id", "query_id", K, F.col("chunk_id") % 3 != 0))
 
 
 @query("t09_rrf_fusion", f"""with {SPARSE}, {sq.ranked('sraw', 30, 'sp')}, {_dense_sql(QUERY_VECTORS, 'dn', 30)}, {_rrf_sql('sp', 'dn', 'hy')}
@@ -267,6 +268,56 @@ def _(spark, d):
     return fusion.auto_merge_meta(h, fx.parents(c))
 
 
+TREE_HITS = f"""{sq.TREE}, {sq.lexical('tree', 'chunk_id')}, {sq.lexical_queries('benchmark', 'item_id')},
+sraw as (select qid as query_id, id as chunk_id, round(sum(qw.w * dw.w), 9) as score from qw join dw using (term) where qw.w > 0 and contains(id, '::l3::') group by all),
+{sq.ranked('sraw', 15, 'sp')}"""
+
+
+def _leaf():
+    return F.contains(F.col("chunk_id"), F.lit("::l3::"))
+
+
+@query("t10_level_filter", f"with {TREE_HITS} select {OUT} from sp")
+def _(spark, d):
+    # leaves of an index over chunks of all levels
+    return _out(fx.tree_index(spark, d).search(fx.queries(spark, d), "query_id", 15, only=_leaf()))
+
+
+SLUGS = "case doc_id % 3 when 0 then 'papers/arxiv/' || doc_id when 1 then 'concepts/' || doc_id else 'tmp/' || doc_id end"
+READ = f"""{TREE_HITS}, qv as ({QUERY_VECTORS}), cv as (select distinct chunk_id, embedding::double[] as v from tree join embeddings on chunk_id = 'doc' || vec_id || '.txt::p0::l3::0'),
+dnraw as (select query_id, chunk_id, round(list_inner_product(q.v, c.v), 9) as score from qv q, cv c), {sq.ranked('dnraw', 15, 'dn')}, {_rrf_sql('dn', 'sp', 'hy', 15)},
+rr as (select query_id, chunk_id, score, rank, query_id % 3 <> 0 as applied, (rank * 5 + query_id) % 17 as pos from hy),
+rk as (select *, row_number() over (partition by query_id order by case when applied then pos else rank - 1 end, chunk_id) as place from rr),
+h0 as (select query_id, chunk_id, parent_chunk_id, case when applied then 1 - pos / 20.0::double else score end as score, place as rank, 0 as replaced from rk join tree using (chunk_id) where place <= 12),
+{_merge_sql('h0', 'm1')}, {_merge_sql('m1', 'm2')},
+mo as (select *, row_number() over (partition by query_id order by score desc, rank, chunk_id) as r0 from m2),
+fin as (select mo.query_id, chunk_id, lvl, length(tree.text) as n_chars, r0, round(score * case when doc_id % 3 = 0 then 1.4::double when doc_id % 3 = 1 then 1.2::double else 1.0::double end
+ * greatest(1.0::double, case when contains(lower(b.text), 'attention') then 1.2::double end, case when contains(lower(b.text), 'transformer') then 1.2::double end, case when contains(lower(b.text), 'rag') then 1.3::double end), 9) as final_score
+ from mo join tree using (chunk_id) join benchmark b on item_id = mo.query_id where r0 <= 8)"""
+
+
+@query("t15_read_path", f"""with {READ} select query_id, chunk_id, lvl as chunk_level, n_chars, round(final_score, 6) as final_score,
+ row_number() over (partition by query_id order by final_score desc, r0) as rank from fin""")
+def _(spark, d):
+    """From questions to boosted hits on the stored chunks of three levels, as one plan."""
+    t = fx.tree(spark, d)
+    q = fx.queries(spark, d)
+    vectors = _vectors(spark, d).withColumn("chunk_id", F.concat(F.lit("doc"), F.col("chunk_id").cast("string"), F.lit(".txt::p0::l3::0")))
+    vectors = vectors.join(t.where("chunk_level = 3").select("chunk_id"), "chunk_id", "left_semi")
+    sparse_ = fx.tree_index(spark, d).search(q, "query_id", 15, only=_leaf())
+    hits = materialize(fusion.rrf(dense.exact_top_k(fx.query_vectors(spark, d), vectors, 15, "query_id", "chunk_id"), sparse_, limit=15), "fused")
+    pos = (F.col("rank") * 5 + F.col("query_id")) % 17  # an external reranker's order
+    scores = hits.where("query_id % 3 <> 0").select("query_id", (F.col("rank") - 1).alias("index"), (1 - pos / 20.0).alias("relevance"), pos.alias("pos"))
+    ranked = fusion.apply_rerank(hits, scores, 12).withColumn("score", fusion.score_of(F.col("rerank_score"), F.col("score")))
+    nodes = t.select("chunk_id", "parent_chunk_id")
+    merged = fusion.auto_merge(ranked.select("query_id", "chunk_id", "score", "rank").join(nodes, "chunk_id"), t.where("chunk_level < 3").select("chunk_id", "parent_chunk_id"), 8)
+    i = F.col("doc_id")
+    slug = F.concat(F.when(i % 3 == 0, "papers/arxiv/").when(i % 3 == 1, "concepts/").otherwise("tmp/"), i.cast("string"))
+    full = merged.select("query_id", "chunk_id", "score", "rank").join(t.select("chunk_id", "chunk_level", F.length("text").cast("long").alias("n_chars"), slug.alias("source")), "chunk_id")
+    out = ranking.apply_boosts(full, q, None, 8)
+    return out.select("query_id", "chunk_id", "chunk_level", "n_chars", F.round("final_score", 6).alias("final_score"), "rank")
+
+
 @query("t16_score_pick", "select doc_id, case when doc_id % 3 = 0 then coalesce(try_cast(source as double), 0.0) else n_chars::double end as score from documents")
 def _(spark, d):
     t = table(spark, d, "documents")

@@ -46,6 +46,31 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
         "start_index", "text")
 
 
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all three levels with their texts, stored once: a parent covers two children, a root four leaves."""
+    return lasting(spark, "windows", (chunking,), f"{d}/documents.parquet")(lambda: _tree(spark, d), "tree")
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    names = ["doc_id", "source", "chunk_id", "parent_chunk_id", "text"]
+    out = _chunks(spark, d).select(*names, F.lit(3).alias("chunk_level"))
+    docs = texts(spark, d).where(F.length("text") > 0).select("doc_id", "source", "text")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    last = F.greatest(F.lit(0), F.ceil((F.length("text") - 500) / 440)).cast("int")
+    for level, leaves in ((2, 2), (1, 4)):
+        rows = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor(last / leaves).cast("int"))).alias("i"))
+        parent = chunking.chunk_id(name, F.lit(0), 1, F.floor(F.col("i") / 2)) if level == 2 else F.lit("")
+        text_ = F.substring(F.col("text"), F.col("i") * (440 * leaves) + 1, F.lit(440 * leaves + 60))
+        out = out.unionByName(rows.select("doc_id", "source", chunking.chunk_id(name, F.lit(0), level, F.col("i")).alias("chunk_id"), parent.alias("parent_chunk_id"),
+                                          text_.alias("text"), F.lit(level).alias("chunk_level")))
+    return out
+
+
+def tree_index(spark: SparkSession, d: str) -> LexicalIndex:
+    """The lasting term index over chunks of all levels."""
+    return LexicalIndex(tree(spark, d), "chunk_id", keep=lasting(spark, "tree", (chunking, lexical, sparse, text), f"{d}/documents.parquet"))
+
+
 def parents(chunk_table: DataFrame) -> DataFrame:
     """Parent rows of both upper levels."""
     l2 = chunk_table.select(F.col("parent_chunk_id").alias("chunk_id"), F.col("root_chunk_id").alias("parent_chunk_id")).distinct()

@@ -62,3 +62,14 @@ chunks as (select doc_id, source, i as chunk_idx, 'doc' || doc_id || '.txt' as f
  from (select *, unnest(range(0, greatest(0, ceil((length(text) - 500) / 440.0))::int + 1)) as i from documents where length(text) > 0)),
 parents as (select distinct parent_chunk_id as chunk_id, root_chunk_id as parent_chunk_id from chunks
  union all select distinct root_chunk_id, '' from chunks)"""
+
+
+def _upper(level: int, leaves: int, parent: str) -> str:
+    return f"""select doc_id, source, 'doc' || doc_id || '.txt::p0::l{level}::' || i as chunk_id, {parent} as parent_chunk_id, substr(text, (i * {440 * leaves} + 1)::bigint, {440 * leaves + 60}) as text, {level} as lvl
+ from (select *, unnest(range(0, greatest(0, ceil((length(text) - 500) / 440.0))::int // {leaves} + 1)) as i from documents where length(text) > 0)"""
+
+
+# chunks of three levels with texts
+TREE = f"""{CHUNKS},
+tree as (select doc_id, source, chunk_id, parent_chunk_id, text, 3 as lvl from chunks
+ union all {_upper(2, 2, "'doc' || doc_id || '.txt::p0::l1::' || (i // 2)")} union all {_upper(1, 4, "''")})"""
