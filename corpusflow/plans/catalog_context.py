@@ -17,7 +17,9 @@ HIST = """hist as (select conv_id as query_id, turn as pos, case when role = 'us
 GATHER = f"""{SPARSE}, {sq.ranked('sraw', 8, 'kn')}, {HIST},
 cand as (select query_id, 'history' as source, pos, role || ': ' || content as content, 0.0::double as score from hist where r <= 12 and {sq.strip('content')} <> ''
  union all select query_id, 'knowledge', 1099511627776 + rank, text, score from kn join documents on doc_id = chunk_id
- union all select conv_id, 'note', 3298534883328 + turn, 'sys: ' || text, 0.5::double from conversations where role = 'system')"""
+ union all select query_id, 'parent_chunk', 2199023255552 + rank, substr(text, 1, 1820), score from kn join documents on doc_id = chunk_id where length(text) > 0
+ union all select conv_id, 'note', 3298534883328 + turn, 'sys: ' || text, 0.5::double from conversations where role = 'system'
+ union all select conv_id, 'memory', 4398046511104 + turn, '[Memory:project] ' || split_part(text, chr(10), 1) || ': ' || text, 0.9::double from conversations where role = 'assistant' and turn % 4 = 1)"""
 
 
 def _history(spark, d):
@@ -31,7 +33,13 @@ def _candidates(spark, d):
     kn = hits.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id").withColumnRenamed("rank", "pos")
     notes = table(spark, d, "conversations").where("role = 'system'").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.lit("sys").alias("title"), F.col("text").alias("content"), F.lit(0.5).alias("importance"))
-    return materialize(context.gather(_history(spark, d), kn, None, notes, None), "candidates")
+    # the first root chunk of each hit, and what earlier answers left as memories
+    roots = fx.tree(spark, d).where("chunk_level = 1 and endswith(chunk_id, '::l1::0')").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    up = hits.join(roots, "chunk_id").withColumnRenamed("rank", "pos")
+    memories = table(spark, d, "conversations").where("role = 'assistant' and turn % 4 = 1").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.lit("project").alias("kind"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("content"),
+        F.lit(None).cast("double").alias("importance"))
+    return materialize(context.gather(_history(spark, d), kn, up, notes, memories), "candidates")
 
 
 def _questions(spark, d):
