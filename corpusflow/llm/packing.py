@@ -3,8 +3,8 @@
 Every task packs the documents that it reads, so nothing is shuffled. A document's full windows are sequences of their
 own; the rest lengths form a multiset. The longest rest opens a sequence, and a subset-sum over bitsets (one big
 integer, bit s: sum s is reachable) finds the multiset of other rests that comes closest to the capacity; walking
-the saved bitsets backwards gives how often each length is taken. Where the best sum leaves slack, the next longest lengths
-are tried, and if none fills a sequence a rest is cut to fill it; so a task never holds more than a window of rests. What a task has left at its end fills sequences whose lengths are powers of two, so no sequence is padded.
+the saved bitsets backwards gives how often each length is taken. Where the best sum leaves slack, better ones may come with
+later documents; once two windows of rests are held, or no documents are left, a rest is cut to fill the slack. What a task has left at its end fills sequences whose lengths are powers of two, so no sequence is padded.
 
 Defined results: null and empty texts are documents of the end id alone; repeated rows and repeated ids are documents
 of their own; an empty table gives no rows; other columns are not read, whatever their names.
@@ -26,7 +26,6 @@ from corpusflow.llm.vocab import encoder
 
 CAPACITY = 2048
 WINDOW = 4096  # rests that are packed together
-TRIES = 8      # longest lengths that are tried to open a sequence
 
 
 class Rest:
@@ -79,13 +78,15 @@ class Packer:
         self.capacity, self.window = capacity, window
         self.rests: dict[int, list[Rest]] = {}
         self.size = self.held = 0
+        self.next = window  # rests at which packing is tried
 
     def add(self, doc, ids: np.ndarray) -> Iterator[list[Rest]]:
         whole = Rest(doc, len(ids), 0, ids)
         while len(whole.ids) >= self.capacity:
             yield [whole.cut(self.capacity)]
         self._keep(whole)
-        if self.size >= self.window:
+        if self.size >= self.next:
+            self.next = self.window
             yield from self._pack(self.window // 4)
 
     def close(self) -> Iterator[list[Rest]]:
@@ -131,19 +132,16 @@ class Packer:
                 lengths.pop()
             if len(lengths) > 2 * len(self.rests):
                 lengths = sorted(self.rests)
-            openings = [n for n in reversed(lengths[-4 * TRIES:]) if n in self.rests][:TRIES if keep else 1]
-            best = None
-            for n in openings:
-                first = self._pop(n)
-                found = closest(count, lengths, self.capacity - n)
-                self._keep(first)
-                slack = self.capacity - n - sum(m * k for m, k in found.items())
-                if best is None or not slack:
-                    best = n, found, slack
-                if not slack:
-                    break
-            n, found, slack = best
-            out = [self._pop(n)] + [self._pop(m) for m, k in found.items() for _ in range(k)]
+            out = [self._pop(lengths[-1])]
+            slack = self.capacity - len(out[0].ids)
+            for n, k in closest(count, lengths, slack).items():
+                out += [self._pop(n) for _ in range(k)]
+                slack -= n * k
+            if slack and keep and self.size + len(out) < 2 * self.window:
+                for r in out:
+                    self._keep(r)
+                self.next = self.size + self.window // 32
+                return
             while slack:
                 r = self._pop(max(self.rests))
                 out.append(r.cut(min(slack, len(r.ids))))
