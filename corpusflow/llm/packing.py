@@ -140,7 +140,7 @@ class Packer:
             if slack and keep and self.size + len(out) < 2 * self.window:
                 for r in out:
                     self._keep(r)
-                self.next = self.size + self.window // 32
+                self.next = min(self.size + self.window // 32, 2 * self.window)
                 return
             while slack:
                 r = self._pop(max(self.rests))
