@@ -1,5 +1,7 @@
 """Sources, sinks and streams. Files and payloads are written or built by Spark from the tables first."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from corpusflow import rules
@@ -12,7 +14,7 @@ from corpusflow.plans.catalog_eval import FAIL, RES, SPANS, SUMMARY, _classified
 from corpusflow.plans.registry import query, table
 from corpusflow.session import materialize, work_dir
 from corpusflow.sources import files, payloads, tables
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, state
 
 
 def _docs(spark, d):
@@ -405,3 +407,40 @@ def _(spark, d):
     e = _arriving(spark, table(spark, d, "events").select("user_id", "event_type", "ts"), "arriving")
     out = jobs.first_seen(e, ["user_id", "event_type"], "2 days", work_dir(spark, "first-seen"), work_dir(spark, "first-seen-checkpoint"))
     return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+LATENESS = timedelta(days=10)
+DECIDED = "epoch_us(ts) // 1000 < (select max(epoch_us(ts)) // 1000 - 864000000 from {0})"
+
+
+def _arriving_late(spark, df, label):
+    """The rows (with ``ts``) as files that arrive one after the other, every row up to five days after its time."""
+    path = work_dir(spark, label)
+    days = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000 + F.pmod(F.xxhash64(*df.columns), F.lit(5))
+    parts = df.withColumn("_part", F.floor(days / 5))
+    for (n,) in sorted(parts.select("_part").distinct().collect()):  # one for each five days
+        parts.where(F.col("_part") == n).drop("_part").write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, "*.parquet", df.schema, 3)
+
+
+@query("w02_answer_rows", f"""with ev as (select *, timestamp '2024-01-01' + to_hours(conv_id * 37 % 720) + to_minutes(turn) as ts from conversations),
+de as (select conv_id as run_id, turn as seq, role, text from ev where {DECIDED.format('ev')}),
+kp as (select * from de where seq < 5)
+select run_id, row_number() over (partition by run_id order by seq) as ordinal, coalesce(text, '') as part from kp where role = 'assistant'""")
+def _(spark, d):
+    t = table(spark, d, "conversations")
+    after = F.make_dt_interval(hours=F.pmod(F.col("run_id") * 37, F.lit(720)).cast("int"), mins=F.col("seq").cast("int"))
+    e = _stream_events(t).withColumn("ts", F.lit("2024-01-01").cast("timestamp") + after)
+    out = jobs.run_to_table(state.answer_rows(_arriving_late(spark, e, "arriving"), LATENESS, timedelta(days=1)), "answer-rows", mode="append")
+    return state.split_late(out, ["run_id"])[0].drop("_at")
+
+
+@query("w04_spaced_state", f"""with recursive de as (select user_id, event_type, ts from events where {DECIDED.format('events')}),
+kept as (select user_id, event_type, min(ts) as ts from de group by all
+union all select e.user_id, e.event_type, min(e.ts) from kept k join de e on e.user_id is not distinct from k.user_id and e.event_type is not distinct from k.event_type and e.ts > k.ts + interval 2 days group by e.user_id, e.event_type)
+select user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from kept""")
+def _(spark, d):
+    e = _arriving_late(spark, table(spark, d, "events").select("user_id", "event_type", "ts"), "arriving")
+    out = jobs.run_to_table(state.spaced_rows(e, ["user_id", "event_type"], timedelta(days=2), LATENESS), "spaced", mode="append")
+    kept = state.split_late(out, ["user_id", "event_type"])[0]
+    return kept.select("user_id", "event_type", F.date_format(F.timestamp_micros("_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
