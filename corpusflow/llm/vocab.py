@@ -101,6 +101,14 @@ def _simple(chunk: str, lead: str, words: list[str]) -> bool:
     return False
 
 
+class Numbers(dict):
+    """A key that is new gets the next number."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Memory:
     """Runs of ids by key; new keys are given to ``learn`` (keys -> ids, lengths)."""
 
@@ -109,19 +117,17 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def numbers(self, keys: list[str]) -> np.ndarray:
         known = self.known
         n = len(known)
-        for k in keys:
-            if k not in known:
-                known[k] = len(known)
+        found = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
         if len(known) > n:
             flat, lens = self.learn(list(islice(known, n, None)))
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        return found
 
 
 class Encoder:
@@ -144,8 +150,12 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normalised, split words and their number: all words go to the library in one text, with walls between them."""
-        odd = np.fromiter((WALL in w for w in words), bool, len(words))
-        ids = np.asarray(self.bare.encode_batch_fast([f" {WALL} ".join([w for w, o in zip(words, odd) if not o] if odd.any() else words)])[0].ids, np.uint32)
+        text = f" {WALL} ".join(words)
+        odd = np.zeros(len(words), bool)
+        if text.count(WALL) >= len(words):
+            odd[:] = [WALL in w for w in words]
+            text = f" {WALL} ".join([w for w, o in zip(words, odd) if not o])
+        ids = np.asarray(self.bare.encode_batch_fast([text])[0].ids, np.uint32)
         stop = ids == self.wall
         lens = np.diff(np.flatnonzero(np.concatenate([[True], stop, [True]]))) - 1
         if not odd.any():
@@ -244,7 +254,7 @@ class Encoder:
         split = pc.split_pattern(plain, " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         for memory, most in ((self.memory, self.chunks_kept), (self.word_memory, self.words_kept)):
             if len(memory.known) + len(chunks) > most:
                 memory.forget()
