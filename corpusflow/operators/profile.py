@@ -39,11 +39,6 @@ def inspect(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(cells))
 
 
-def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """A few rows to look at."""
-    return df.limit(n)
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
