@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusflow.session import materialize
+
 HOT_SHARE = 10_000  # a key with more than one ten-thousandth of all rows is hot; there are fewer than that many
 
 
@@ -50,6 +52,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def in_slices(df: DataFrame, order: list[str], label: str, name: str = "_slice") -> DataFrame:
+    """``df`` with a slice number that grows with ``order``, written to the shared folder.
+
+    Spark samples the rows for its range partitions, so the slices hold about equal numbers of rows whatever the range of the
+    values, and are as many as ``spark.sql.shuffle.partitions``. The number is written, as a lost task that ran again could
+    sample others. Rows equal in ``order`` share a slice: aggregate them first.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), label)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -62,7 +75,7 @@ def running(
 
     ``bucket`` maps a row to a slice of the order (it must grow with ``order``). Slice totals
     are added up first, then each slice is summed on its own and shifted by what came before.
-    ``sums`` names the outputs; a sum of ``lit(1)`` gives the row number.
+    ``sums`` names the outputs; a sum of ``lit(1)`` gives the row number. Null values add nothing.
     """
     df = df.withColumn("_b", bucket)
     tmp = {n: f"_v_{n}" for n in sums}
@@ -71,7 +84,7 @@ def running(
     slices = df.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"{v}_t") for v in tmp.values()])
     ws = W.partitionBy(*keys).orderBy(F.desc("_b") if reverse else F.asc("_b")).rowsBetween(W.unboundedPreceding, -1)
     before = slices.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"{v}_t").over(ws), F.lit(0)).alias(f"{v}_p") for v in tmp.values()]
+        *keys, "_b", *[F.sum(f"{v}_t").over(ws).alias(f"{v}_p") for v in tmp.values()]
     )
     wi = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inner = df
@@ -85,5 +98,6 @@ def running(
         same = same & F.col(k).eqNullSafe(F.col(j))
     out = inner.join(before, same).drop(*at.values())
     for n, v in tmp.items():
-        out = out.withColumn(n, F.col(n) + F.col(f"{v}_p"))
+        # a sum is null only if there is no value so far, in this slice and before
+        out = out.withColumn(n, F.coalesce(F.col(n) + F.col(f"{v}_p"), F.col(n), F.col(f"{v}_p")))
     return out.drop("_b", *tmp.values(), *[f"{v}_p" for v in tmp.values()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpusflow.functions.skew import running, top_k
+from corpusflow.functions.skew import in_slices, running, top_k
 
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 ERROR_TOKENS = ("#VALUE!", "#DIV/0!", "#REF!", "#NAME?", "#NULL!", "#NUM!", "#N/A")
@@ -53,11 +53,11 @@ def _long(df: DataFrame, columns: list[str], type_: str) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, slices: int = 4096) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, nulls, mean, sample deviation, extremes and exact interpolated quartiles per column.
 
-    Values are counted first; the running counts that locate a quartile are built per slice
-    of the value range, so neither a task nor the driver ever holds a whole column.
+    Values are counted first; the running counts that locate a quartile are built in slices of about equal numbers of
+    distinct values (:func:`in_slices`), so one far value can't put all others into one task.
     """
     long = _long(df, columns or numeric_columns(df), "double")
     stats = long.groupBy("column_name").agg(
@@ -69,17 +69,23 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, slices: int
         F.max("value").alias("max"),
     )
     hist = long.where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("c"))
-    span = F.col("max") - F.col("min")
-    hist = hist.join(stats.select("column_name", "n", "min", "max"), "column_name")
-    slice_no = F.when(span > 0, F.floor((F.col("value") - F.col("min")) / span * slices)).otherwise(0)
-    cum = running(hist, ["column_name"], slice_no, ["value"], {"upto": F.col("c")})
-    picks = []
+    hist = in_slices(hist, ["column_name", "value"], "value-counts")
+    # the slices that hold the quartiles' neighbours, at most six a column, are found by their totals and sorted alone
+    places = []
     for name, q in QUANTILES.items():
         pos = (F.col("n") - 1) * q
         for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (F.col("upto") - F.col("c") <= at) & (at < F.col("upto"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"{name}_{side}"))
-    found = cum.groupBy("column_name").agg(*picks)
+            places.append(F.struct(F.lit(f"{name}_{side}").alias("place"), at.alias("at")))
+    wanted = stats.select("column_name", F.inline(F.array(*places)))  # six rows a column
+    order = W.partitionBy("column_name").orderBy("_slice")
+    totals = hist.groupBy("column_name", "_slice").agg(F.sum("c").alias("t")).withColumn("before", F.sum("t").over(order) - F.col("t"))
+    within = totals.join(wanted, "column_name").where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("t")))
+    within = within.groupBy("column_name", "_slice").agg(F.collect_list(F.struct("place", (F.col("at") - F.col("before")).alias("at"))).alias("places"))
+    cum = hist.join(F.broadcast(within), ["column_name", "_slice"]).withColumn(
+        "upto", F.sum("c").over(W.partitionBy("column_name", "_slice").orderBy("value")))
+    cum = cum.select("column_name", "value", "c", "upto", F.inline("places")).where((F.col("upto") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("upto")))
+    found = cum.groupBy("column_name").agg(
+        *[F.max(F.when(F.col("place") == n, F.col("value"))).alias(n) for n in (f"{q}_{side}" for q in QUANTILES for side in ("lo", "hi"))])
     out = stats.join(found, "column_name")
     cols = ["column_name", "n", "nulls", "mean", "std", "min"]
     res = [F.col(c) for c in cols]
@@ -139,13 +145,15 @@ def value_range(df: DataFrame, column: str) -> DataFrame:
 def running_total_and_rank(df: DataFrame, key: str, time: str, amount: str, row_id: str) -> DataFrame:
     """Running total by time (peers share it, as in SQL's default frame) and rank by amount, per key.
 
-    Both are built on sums per (key, value), in slices of the order (:func:`running`).
+    Both are built on sums per (key, value), in slices of the order (:func:`running`). The slices hold about equal
+    numbers of these sums (:func:`in_slices`), so a hot key is dealt over many.
     """
     per_time = df.groupBy(key, time).agg(F.sum(F.col(amount).cast("decimal(38,12)")).alias("_a"))
-    totals = running(per_time, [key], F.date_trunc("year", F.col(time)), [time], {"running_total": F.col("_a")})
-    per_amount = df.groupBy(key, amount).agg(F.count("*").alias("_c"))
+    per_time = in_slices(per_time, [key, time], "sums-by-time")
+    totals = running(per_time, [key], F.col("_slice"), [time], {"running_total": F.col("_a")}).drop("_slice")
+    per_amount = in_slices(df.groupBy(key, amount).agg(F.count("*").alias("_c")), [key, amount], "counts-by-amount")
     ranks = running(
-        per_amount, [key], F.floor(F.col(amount) / 1000), [F.desc(amount)], {"_upto": F.col("_c")}, reverse=True
+        per_amount, [key], F.col("_slice"), [F.desc(amount)], {"_upto": F.col("_c")}, reverse=True
     ).select(key, amount, (F.col("_upto") - F.col("_c") + 1).alias("amount_rank"))
     return (
         df.select(row_id, key, time, amount)
