@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.functions.skew import first_per_key, top_k
+from corpusflow.functions.skew import first_per_key, salted_join, top_k
 from corpusflow.operators.sparse import sparse_top_k
 from corpusflow.session import materialize
 
@@ -57,36 +57,66 @@ def _chars(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_remove(F.split(c, ""), "")))
 
 
-def duplicates(rows: DataFrame, id_col: str, title: str = "title", content: str = "content", threshold: float = 0.8) -> DataFrame:
+def duplicates(rows: DataFrame, id_col: str, title: str = "title", content: str = "content", threshold: float = 0.8, block: int = 1024) -> DataFrame:
     """Ids of rows with an earlier near copy: same hash, or same title and character Jaccard above the threshold.
 
     Rows are first reduced to distinct (title, character set): all later rows of a set are copies of its
     first. Sets are then compared by prefix filtering: two sets this similar must share a character among the
-    few rarest of either and differ little in size, so (title, character, size band) is the join key and the pairs
-    of a large title group are never all formed.
+    few rarest of either and differ little in size, so (title, character, size band) is the join key. What follows the
+    shared character bounds how much they can have in common (positional filter). A key with more than ``block`` sets is dealt
+    into blocks that meet pairwise, so no task holds a hot title; pairs are judged inside the join and never leave it, only the
+    ids that have an earlier copy do. Null titles or contents equal nothing.
     """
     n = rows.select(F.col(id_col).alias("id"), tx.cache_key_text(F.col(title)).alias("t"), _chars(tx.cache_key_text(F.col(content))).alias("s"))
-    n = n.withColumn("sig", F.array_join("s", ""))
+    n = n.withColumn("sig", F.array_join("s", "")).where("t is not null and sig is not null")
     n = materialize(n.select("id", "t", "sig"), "titles")
-    sets = n.groupBy("t", "sig").agg(F.min("id").alias("first"))
-    sets = materialize(sets.withColumn("s", F.array_remove(F.split("sig", ""), "")), "character-sets")
-    repeated = n.join(sets.select("t", "sig", "first"), ["t", "sig"]).where("id <> first").select("id")
-    freq = sets.select(F.explode("s").alias("c")).groupBy("c").agg(F.count("*").alias("f"))  # one row per character in use
-    pos = sets.select("t", "sig", "first", F.size("s").alias("n"), F.explode("s").alias("c")).join(freq, "c")
+    sets = materialize(n.groupBy("t", "sig").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "character-sets")
+    key = F.struct("t", "sig")
+    several = sets.where("copies > 1").select(key.alias("k"), "first", "copies")
+    repeated = salted_join(n.select("id", key.alias("k")), several, "k", "copies", F.xxhash64("id")).where("id <> first").select("id")
+    # characters from the rarest on; their table has a row per character in use, at most Unicode
+    chars = sets.select("t", "first", F.explode(F.array_remove(F.split("sig", ""), "")).alias("c"))
+    freq = chars.groupBy("c").agg(F.count("*").alias("f"))
+    rare_first = F.transform(F.sort_array(F.collect_list(F.struct("f", "c"))), lambda x: x["c"])
+    s = chars.join(F.broadcast(freq), "c").groupBy("t", "first").agg(rare_first.alias("s")).withColumn("n", F.size("s"))
     # a set of n characters shares at least one of its n - ceil(0.8 n) + 1 rarest with any set that similar
-    ordered = pos.withColumn("r", F.row_number().over(W.partitionBy("t", "sig").orderBy("f", "c")))
-    pre = ordered.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    head = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
     # sizes of similar sets differ by at most the factor 1 / 0.8, so their bands are equal or neighbours
     band = F.floor(F.log("n") / math.log(1 / threshold))
-    lo = pre.select("t", "c", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("sig").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"))
-    hi = pre.select("t", "c", band.alias("band"), F.col("sig").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"))
+    pre = materialize(s.select("t", "first", "s", "n", band.alias("band"), F.posexplode(head).alias("r", "c")), "prefixes")
+    meet = F.struct("t", "c", "band").alias("k")
+    a = pre.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select(
+        meet, F.col("first").alias("fa"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = pre.select(meet, F.col("first").alias("fb"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    a, b = _in_blocks(a, b, block)
+    common = F.size(F.array_intersect("sa", "sb"))
+    left = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     near = (F.col("fa") < F.col("fb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    cand = lo.join(hi, ["t", "c", "band"]).where(near).select("t", "a", "b", "fb").distinct()
-    sa, sb = F.split("a", ""), F.split("b", "")
-    inter = F.size(F.array_intersect(F.array_remove(sa, ""), F.array_remove(sb, "")))
-    union = F.size(F.array_union(F.array_remove(sa, ""), F.array_remove(sb, "")))
-    similar = cand.where(inter / union > threshold).select("fb").distinct()
-    return repeated.unionByName(similar.select(F.col("fb").alias("id"))).distinct().select(F.col("id").alias(id_col))
+    near = near & (left >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
+    near = near & (common / (F.col("na") + F.col("nb") - common) > threshold)
+    copies = a.join(b, ["k", "x", "y"]).where(near).select(F.col("fb").alias("id"))
+    return repeated.unionByName(copies).distinct().select(F.col("id").alias(id_col))
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``k`` with block numbers ``x`` and ``y``: each pair of rows of a key meets in one (x, y), where
+    about ``block`` rows of either side are."""
+    counts = a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k")
+    big = materialize(counts.where((F.col("na") > block) | (F.col("nb") > block)).select(
+        "k", (F.col("na") + F.col("nb")).alias("w"), F.ceil(F.col("na") / block).alias("xs"), F.ceil(F.col("nb") / block).alias("ys")), "big-keys")
+
+    none_big = big.isEmpty()
+
+    def dealt(side: DataFrame, first: str, own: str, other: str) -> DataFrame:
+        if none_big:  # every key is one block
+            return side.withColumns({"x": F.lit(0), "y": F.lit(0)})
+        h = F.xxhash64(first)
+        out = salted_join(side, big, "k", "w", h, "left")
+        parts = lambda c: F.coalesce(F.col(f"{c}s"), F.lit(1))
+        out = out.withColumn(own, F.pmod(h, parts(own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)))
+        return out.drop("w", "xs", "ys")
+
+    return dealt(a, "fa", "x", "y"), dealt(b, "fb", "y", "x")
 
 
 def turns(messages: DataFrame, session: str, seq: str) -> DataFrame:
