@@ -151,31 +151,23 @@ def three_levels(docs: DataFrame, filename: str, page: str = "page_number", text
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Sections that start at ``#`` and ``##`` lines, with both headings carried down.
 
-    Row-local array code: the text is cut before header lines and headings are folded along
-    the cuts, so a document never has to be regrouped.
+    Row-local array code: the text is cut before ``#`` lines, each of those parts before ``##`` lines, so a section finds both
+    headings in its own part and the work is linear in the text.
     """
-    # header lines outside of code fences start a section
+    # header lines outside of code fences start a section; the marks are code points that no text may hold
+    part, sub = "\ufdd0", "\ufdd1"
     fenced = F.split(F.concat(F.lit("\n"), F.col(text_col)), r"\n(?=```)", -1)
     # every second piece begins with an opening fence
-    marked = F.array_join(F.transform(fenced, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\n(?=##? )", "\n\x1e")).otherwise(p)), "\n")
-    parts = F.transform(F.split(marked, "\x1e"), lambda s: tx.strip(s))
-    secs = F.filter(parts, lambda s: s != "")
+    mark = lambda p: F.regexp_replace(F.regexp_replace(p, r"\n(?=# )", "\n" + part), r"\n(?=## )", "\n" + sub)
+    marked = F.array_join(F.transform(fenced, lambda p, i: F.when(i % 2 == 0, mark(p)).otherwise(p)), "\n")
     h1 = lambda s: F.trim(F.regexp_extract(s, r"^# ([^\n]*)", 1))
     h2 = lambda s: F.trim(F.regexp_extract(s, r"^## ([^\n]*)", 1))
 
-    def step(acc, s):
-        is1, is2 = s.rlike(r"^# "), s.rlike(r"^## ")
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.struct(F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit("").alias("body")))
-        row = F.struct(
-            F.when(is1, h1(s)).otherwise(prev["h1"]).alias("h1"),
-            F.when(is1, F.lit("")).when(is2, h2(s)).otherwise(prev["h2"]).alias("h2"),
-            s.alias("body"))
-        return F.concat(acc, F.array(row))
-
-    empty = F.array().cast("array<struct<h1:string,h2:string,body:string>>")
-    # headings repeat only along header lines; fold once per document
-    folded = F.aggregate(secs, empty, step)
-    return docs.select(F.col(id_col), F.posexplode(folded).alias("section", "s")).select(
+    bodies = lambda p: F.filter(F.transform(F.split(p, sub), lambda s: tx.strip(s)), lambda s: s != "")
+    headed = lambda b: F.struct(F.coalesce(h1(F.try_element_at(b, F.lit(1))), F.lit("")).alias("h1"), b.alias("bodies"))
+    groups = F.transform(F.transform(F.split(marked, part), bodies), headed)
+    cut = F.flatten(F.transform(groups, lambda g: F.transform(g["bodies"], lambda s: F.struct(g["h1"].alias("h1"), h2(s).alias("h2"), s.alias("body")))))
+    return docs.select(F.col(id_col), F.posexplode(cut).alias("section", "s")).select(
         id_col, F.col("section").cast("long").alias("section"), "s.h1", "s.h2", F.col("s.body").alias("text"))
 
 

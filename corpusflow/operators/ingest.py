@@ -67,19 +67,21 @@ def _is_table(spark: SparkSession, path: str) -> bool:
 def write_replacing(new: DataFrame, path: str, source: str = "_source", buckets: int = 256) -> None:
     """Replace by source (a file, a document) on disk: only the hash buckets of touched sources are rewritten.
 
-    The touched buckets are written anew and swapped by dynamic partition overwrite. ``buckets`` should grow with the table.
+    The touched buckets are written beside the table and swapped by dynamic partition overwrite, so they can be read while
+    they are written: a batch is written once for itself and once in its buckets, the first batch of a table only there.
+    Writers are dealt by size: a bucket with much data has several, small buckets share one.
     """
     spark = new.sparkSession
-    b = F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
-    add = materialize(new.withColumn("_source_bucket", b), "replace")
+    add = new.withColumn("_source_bucket", F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int"))
     if _is_table(spark, path):
+        add = materialize(add, "replace")
         old = spark.read.parquet(path)
         touched = add.select("_source_bucket").distinct()
         kept = old.join(touched, "_source_bucket", "left_semi")
         gone = add.select(F.col(source).alias("_gone")).distinct()
         kept = kept.join(gone, F.col(source).eqNullSafe(F.col("_gone")), "left_anti")
-        add = materialize(kept.unionByName(add, allowMissingColumns=True), "replace")
-    (add.repartition("_source_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        add = kept.unionByName(add, allowMissingColumns=True)
+    (add.hint("rebalance", F.col("_source_bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_source_bucket").parquet(path))
 
 
