@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
-from corpusflow.functions.skew import first_per_key, running, top_k
+from corpusflow.functions.skew import first_per_key, in_slices, running, top_k
 
 
 def abstract_from_index(index: Column) -> Column:
@@ -149,28 +151,55 @@ def report_quality(sessions: DataFrame, branches: DataFrame, sources: DataFrame,
 
 
 def references(sources: DataFrame) -> DataFrame:
-    """Numbered distinct references per session in order of appearance, counted branch by branch."""
+    """Numbered distinct references per session in order of appearance, counted in slices of about equal numbers of rows."""
     d = dedup_titles(sources.where(title_key(F.col("title")) != ""), "session_id", ["branch_id", "pos"])
-    return running(d, ["session_id"], F.col("branch_id"), ["pos"], {"number": F.lit(1)})
+    return _numbered(d, ["branch_id", "pos"], "number")
 
 
-def report_markdown(sessions: DataFrame, learnings: DataFrame, sources: DataFrame) -> DataFrame:
-    """One Markdown report per session. ``sessions``: session_id, title, answer."""
-    lines = lambda df, order, line: df.groupBy("session_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("t")))), lambda s: s["t"]), "\n").alias("t"))
-    g = lines(global_learnings(learnings), ["branch_id", "rank"], F.concat(F.lit("- "), F.col("learning")))
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    return running(in_slices(rows, ["session_id", *order], name), ["session_id"], F.col("_slice"), order, {name: F.lit(1)}).drop("_slice")
+
+
+def report_lines(sessions: DataFrame, learnings: DataFrame, sources: DataFrame) -> DataFrame:
+    """Markdown reports as rows: session_id, section, ordinal, line. ``sessions``: session_id, title, answer.
+
+    Sections: 0 title, 1 and 2 heading and learnings, 3 conclusion, 4 and 5 heading and references; those without rows are left
+    out. A reference with a url and an answer may hold line breaks. No session is gathered, so a report may be of any length.
+    """
+    def fixed(rows: DataFrame, *lines) -> DataFrame:
+        cells = [F.struct(F.lit(s).alias("section"), F.lit(o).cast("long").alias("ordinal"), t.alias("line")) for s, o, t in lines]
+        return rows.select("session_id", F.inline(F.array(*cells)))
+
+    known = lambda df: df.join(sessions.select("session_id"), "session_id", "left_semi")
+    listed = lambda df, section, ordinal, line: df.select("session_id", F.lit(section).alias("section"), F.col(ordinal).cast("long").alias("ordinal"), line.alias("line"))
     kind = F.when(F.col("source").isin("github", "repository"), " [GitHub]").when(F.col("source").isin("web", "webpage"), " [Web]").otherwise("")
     opt = lambda c, a, b: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(a), c, F.lit(b))).otherwise("")
     ref = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), tx.strip(F.col("title")),
                    opt(F.col("authors"), " — ", ""), opt(F.col("year").cast("string"), " (", ")"), opt(F.col("url"), "\n    ", ""), kind)
-    r = lines(references(sources), ["number"], ref)
-    j = sessions.join(g.withColumnRenamed("t", "_g"), "session_id", "left").join(r.withColumnRenamed("t", "_r"), "session_id", "left")
     answer = F.coalesce(F.nullif(F.col("answer"), F.lit("")), F.lit("本轮未产出有效研究结论。"))
-    body = F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.lit(""),
-                       F.when(F.col("_g").isNotNull(), F.concat(F.lit("## 核心发现\n"), F.col("_g"), F.lit("\n"))),
-                       F.lit("## 研究结论"), answer, F.lit(""),
-                       F.when(F.col("_r").isNotNull(), F.concat(F.lit("## 参考文献\n\n"), F.col("_r"), F.lit("\n"))))
-    return j.select("session_id", F.concat(tx.strip(body), F.lit("\n")).alias("report"))
+    g = known(_numbered(global_learnings(learnings), ["branch_id", "rank"], "ordinal"))
+    r = known(references(sources))
+    title = F.concat(F.lit("# "), F.coalesce("title", F.lit("")))
+    parts = [
+        fixed(sessions, (0, 1, title), (0, 2, F.lit("")), (3, 1, F.lit("## 研究结论")), (3, 2, answer)),
+        fixed(g.where("ordinal = 1"), (1, 1, F.lit("## 核心发现")), (3, 0, F.lit(""))),
+        listed(g, 2, "ordinal", F.concat(F.lit("- "), F.col("learning"))),
+        fixed(r.where("number = 1"), (4, 1, F.lit("")), (4, 2, F.lit("## 参考文献")), (4, 3, F.lit(""))),
+        listed(r, 5, "number", ref),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_reports(lines: DataFrame, path: str) -> None:
+    """Reports as JSON rows of session_id and line, range-sorted over the parts: read in order they are the texts."""
+    lines.orderBy("session_id", "section", "ordinal").select("session_id", "line").write.mode("overwrite").json(path)
+
+
+def report_markdown(sessions: DataFrame, learnings: DataFrame, sources: DataFrame) -> DataFrame:
+    """One Markdown text per session, for reports that fit into a cell; :func:`report_lines` has no such bound."""
+    lines = F.sort_array(F.collect_list(F.struct("section", "ordinal", "line")))
+    text = F.array_join(F.transform(lines, lambda s: s["line"]), "\n")
+    return report_lines(sessions, learnings, sources).groupBy("session_id").agg(F.concat(tx.strip(text), F.lit("\n")).alias("report"))
 
 
 def paper_text(number: Column, max_abstract: int = 1600) -> Column:

@@ -192,10 +192,27 @@ r as (select session_id, string_agg('[' || number || '] ' || {sq.strip('title')}
 select session_id, '# T ' || session_id || chr(10) || chr(10) || '## 核心发现' || chr(10) || g || chr(10) || chr(10) || '## 研究结论' || chr(10) || 'done' || chr(10) || chr(10)
  || '## 参考文献' || chr(10) || chr(10) || r || chr(10) as report from g join r using (session_id)""")
 def _(spark, d):
+    return papers.report_markdown(*_report_inputs(spark, d))
+
+
+@query("p12_report_lines", f"""with {GLOB}, {REFS},
+g as (select session_id, learning, row_number() over (partition by session_id order by branch_id, rank) as n from gl),
+ln as (select 2 as section, n as ordinal, '- ' || learning as line, session_id from g
+ union all select 5, number, '[' || number || '] ' || {sq.strip('title')} || case when url <> '' then chr(10) || '    ' || url else '' end, session_id from rf),
+hd as (select * from (values (1, 1, '## 核心发现', 2), (3, 0, '', 2), (4, 1, '', 5), (4, 2, '## 参考文献', 5), (4, 3, '', 5)) v(section, ordinal, line, needs)),
+ss as (select distinct source as session_id from documents)
+select session_id, section, ordinal::bigint as ordinal, line from ln
+union all select distinct ln.session_id, hd.section, hd.ordinal, hd.line from hd join ln on ln.section = hd.needs
+union all select session_id, 0, 1, '# T ' || session_id from ss union all select session_id, 0, 2, '' from ss
+union all select session_id, 3, 1, '## 研究结论' from ss union all select session_id, 3, 2, 'done' from ss""")
+def _(spark, d):
+    return papers.report_lines(*_report_inputs(spark, d))
+
+
+def _report_inputs(spark, d):
     s = _docs(spark, d).select(F.col("source").alias("session_id")).distinct()
     s = s.select("session_id", F.concat(F.lit("T "), F.col("session_id")).alias("title"), F.lit("done").alias("answer"))
-    src = _sources(spark, d).withColumns({"authors": F.lit(""), "year": F.lit(""), "source": F.lit("academic")})
-    return papers.report_markdown(s, _learnings(spark, d), src)
+    return s, _learnings(spark, d), _sources(spark, d).withColumns({"authors": F.lit(""), "year": F.lit(""), "source": F.lit("academic")})
 
 
 def _ranked_papers(spark, d):

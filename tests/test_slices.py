@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from corpusflow.functions.skew import in_slices
-from corpusflow.operators import chunking, memory, profile
+from corpusflow.operators import chunking, memory, papers, profile
 
 
 def test_quartiles_with_one_far_value(spark):
@@ -66,3 +66,24 @@ def test_sections_of_a_long_text(spark):
         (0, 0, "", "", "intro"), (0, 1, "A", "", "# A\nx"), (0, 2, "A", "B", "## B\ny\n```\n# no\n## no\n```"), (0, 3, "A", "C", "## C\nz"), (0, 4, "D", "", "# D\nw")]
     assert [g for g in got if g[0] == 1] == [(1, 0, "", "only", "## only\nt")]
     assert [g[0] for g in got].count(4) == 3001 and all(g[2] == "T" for g in got if g[0] == 4) and not [g for g in got if g[0] in (2, 3)]
+
+
+def test_report_lines(spark, tmp_path):
+    sessions = spark.createDataFrame([("a", "A", "yes"), ("b", None, None), ("c", "C", "")], "session_id string, title string, answer string")
+    learnings = spark.createDataFrame([("a", 1, 1, "x"), ("a", 0, 2, "y"), ("a", 2, 1, " X "), ("z", 0, 1, "gone")], "session_id string, branch_id int, rank int, learning string")
+    sources = spark.createDataFrame(
+        [("a", 1, i, f"t{i % 40}", "", None, "http://u" if i == 3 else "", "web") for i in range(60)] + [("c", 0, 0, None, "", "", "", "web")],
+        "session_id string, branch_id int, pos int, title string, authors string, year string, url string, source string")
+    got = {r.session_id: r.report for r in papers.report_markdown(sessions, learnings, sources).collect()}
+    refs = "\n".join(f"[{i + 1}] t{i}" + ("\n    http://u" if i == 3 else "") + " [Web]" for i in range(40))
+    none = "本轮未产出有效研究结论。"
+    assert got == {
+        "a": f"# A\n\n## 核心发现\n- y\n- x\n\n## 研究结论\nyes\n\n## 参考文献\n\n{refs}\n",
+        "b": f"# \n\n## 研究结论\n{none}\n",
+        "c": f"# C\n\n## 研究结论\n{none}\n"}
+    lines = papers.report_lines(sessions, learnings, sources)
+    path = str(tmp_path / "reports")
+    papers.write_reports(lines, path)
+    stored = spark.read.json(path)
+    assert stored.count() == lines.count() and stored.where("session_id = 'z'").count() == 0
+    assert papers.report_lines(sessions.limit(0), learnings, sources).count() == 0
