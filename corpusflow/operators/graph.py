@@ -242,9 +242,9 @@ def entity_detail(entities: DataFrame, links: DataFrame) -> DataFrame:
     return entities.select("slug", "display_name", "mention_count").join(o.unionByName(i), "slug")
 
 
-def enrich(queries: DataFrame, entities: DataFrame, links: DataFrame, seen_titles: DataFrame) -> DataFrame:
-    """Related papers of a query's best matching entities whose titles were not seen yet."""
-    found = search_entities(entities, queries, 5)
+def enrich(queries: DataFrame, entities: DataFrame, links: DataFrame, seen_titles: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Related papers of a query's best matching entities whose titles were not seen yet; ``index`` as in :func:`search_entities`."""
+    found = search_entities(entities, queries, 5, index=index)
     rel = found.select("query_id", "slug", F.col("rank").alias("_er")).join(
         related_papers(links, 3).withColumnRenamed("rank", "_pr"), "slug")
     papers = entities.where("type = 'paper'").select(F.col("slug").alias("paper"), F.col("display_name").alias("title"))

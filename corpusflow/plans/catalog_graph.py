@@ -1,15 +1,18 @@
 """Ranking, intent and the entity graph."""
 
+import sys
+
 from pyspark.sql import functions as F
 
 from corpusflow import rules
+from corpusflow.functions import skew
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import top_k
 from corpusflow.operators import dense, graph, ranking
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.registry import query, table, texts
-from corpusflow.session import materialize
+from corpusflow.sources.indexes import lasting
 
 
 def _turns(spark, d):
@@ -86,8 +89,26 @@ def _keywords(spark, d):
 
 
 def _tables(spark, d):
-    """Entity and link tables of all documents, written once and read by the graph queries."""
-    kw = materialize(_keywords(spark, d), "keywords")
+    """The lasting entity and link tables of all documents."""
+    keep = _keep(spark, d)
+    return keep(lambda: _entities(spark, d), "entities"), keep(lambda: _links(spark, d), "links")
+
+
+def _keep(spark, d):
+    return lasting(spark, "graph", (graph, rules, skew, tx, sys.modules[__name__]), f"{d}/documents.parquet")
+
+
+def _stored_keywords(spark, d):
+    return _keep(spark, d)(lambda: _keywords(spark, d), "keywords")
+
+
+def _grams(spark, d):
+    """The lasting gram index of the entities."""
+    return _keep(spark, d)(lambda: graph.gram_index(_tables(spark, d)[0]), "grams")
+
+
+def _entities(spark, d):
+    kw = _stored_keywords(spark, d)
     i = F.col("doc_id").cast("string")
     slug = F.concat(F.lit("keyword/"), F.col("term"))
     mentions = kw.select(slug.alias("slug"), F.col("term").alias("display_name"), F.lit("keyword").alias("type"),
@@ -95,11 +116,17 @@ def _tables(spark, d):
     papers = table(spark, d, "documents").select(
         F.concat(F.lit("paper/"), i).alias("slug"), F.concat(F.lit("Paper "), i).alias("display_name"), F.lit("paper").alias("type"),
         F.lit(1).cast("long").alias("mention_count"), F.col("doc_id").alias("seq"))
+    return graph.upsert_entities(mentions.unionByName(papers))
+
+
+def _links(spark, d):
+    kw = _stored_keywords(spark, d)
+    i, slug = F.col("doc_id").cast("string"), F.concat(F.lit("keyword/"), F.col("term"))
     co = graph.co_occurrence(kw, "doc_id")
     k = lambda c: F.concat(F.lit("keyword/"), F.col(c))
     links = graph.paper_links(kw, F.concat(F.lit("paper/"), i), slug, "has_keyword", "paper", "keyword").unionByName(
         graph.paper_links(co, k("from_term"), k("to_term"), "co_occurs", "keyword", "keyword"))
-    return graph.upsert_entities(mentions.unionByName(papers)), materialize(graph.upsert_links(links), "links")
+    return graph.upsert_links(links)
 
 
 @query("r06_apply_boosts", f"""with {GRAPH}, bl as (select to_entity as slug, count(*) as b from links group by 1),
@@ -323,7 +350,7 @@ fr as (select query_id, slug, mention_count, row_number() over (partition by que
 
 @query("e13_entity_search", f"with {GRAPH}, {FOUND} select * from found")
 def _(spark, d):
-    return graph.search_entities(_tables(spark, d)[0], _word_queries(spark, d), 5)
+    return graph.search_entities(_tables(spark, d)[0], _word_queries(spark, d), 5, index=_grams(spark, d))
 
 
 @query("e14_backlinks", f"with {GRAPH} select to_entity as slug, relation, count(*) as n from links group by all")
@@ -369,4 +396,4 @@ select query_id, paper, title from (select *, row_number() over (partition by ti
 def _(spark, d):
     ents, links = _tables(spark, d)
     seen = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("Paper "), F.col("doc_id").cast("string")).alias("title"))
-    return graph.enrich(_word_queries(spark, d), ents, links, seen)
+    return graph.enrich(_word_queries(spark, d), ents, links, seen, _grams(spark, d))
