@@ -52,14 +52,14 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def in_slices(df: DataFrame, order: list[str], label: str, name: str = "_slice") -> DataFrame:
+def in_slices(df: DataFrame, order: list[str], label: str, name: str = "_slice", slices: int | None = None) -> DataFrame:
     """``df`` with a slice number that grows with ``order``, written to the shared folder.
 
     Spark samples the rows for its range partitions, so the slices hold about equal numbers of rows whatever the range of the
-    values, and are as many as ``spark.sql.shuffle.partitions``. The number is written, as a lost task that ran again could
+    values, and are as many as ``slices`` says, else ``spark.sql.shuffle.partitions``. The number is written, as a lost task that ran again could
     sample others. Rows equal in ``order`` share a slice: aggregate them first.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialize(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), label)
 
 

@@ -53,7 +53,7 @@ def _long(df: DataFrame, columns: list[str], type_: str) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Count, nulls, mean, sample deviation, extremes and exact interpolated quartiles per column.
 
     Values are counted first; the running counts that locate a quartile are built in slices of about equal numbers of
@@ -69,7 +69,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.max("value").alias("max"),
     )
     hist = long.where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("c"))
-    hist = in_slices(hist, ["column_name", "value"], "value-counts")
+    hist = in_slices(hist, ["column_name", "value"], "value-counts", slices=slices)
     # the slices that hold the quartiles' neighbours, at most six a column, are found by their totals and sorted alone
     places = []
     for name, q in QUANTILES.items():
