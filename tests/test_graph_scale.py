@@ -1,7 +1,11 @@
 """Keywords are counted in place, links and entities combine by hash, entity search asks every word once."""
 
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
 from corpusflow.functions.skew import distinct_top_k
 from corpusflow.operators import graph
+from corpusflow.plans import catalog_graph
 
 
 def _plan(df):
@@ -48,3 +52,13 @@ def test_equal_query_texts_are_looked_up_once(spark):
     q = spark.createDataFrame([("1/alp", " ALP"), ("2/alp", "alp"), ("3/t", "t"), ("4/none", "zzz"), ("5/", " ")], "query_id string, text string")
     got = graph.search_entities(ents, q, 5)
     assert sorted(map(tuple, got.collect())) == [("1/alp", "k/alpha", 3, 2), ("1/alp", "k/alps", 5, 1), ("2/alp", "k/alpha", 3, 2), ("2/alp", "k/alps", 5, 1), ("3/t", "k/beta", 1, 1)]
+
+
+def test_every_word_of_a_text_is_asked(spark, sf, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(7, "Año de 3 Áé, de-la\nfin."), (8, "..."), (9, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = {tuple(r) for r in catalog_graph._word_queries(spark, d).collect()}
+    assert got == {(f"7/{w}", w) for w in ("año", "de", "áé", "la", "fin")}
+    asked = {r.query_id.split("/")[0] for r in entry_points.queries()["e13_entity_search"](spark, sf).select("query_id").distinct().collect()}
+    assert len(asked) > 1
+    assert spark.read.parquet(f"{sf}/benchmark.parquet").where(F.length("text") > 0).count() >= len(asked)
