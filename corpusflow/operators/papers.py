@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow import rules
 from corpusflow.functions import text as tx
@@ -19,10 +22,27 @@ def abstract_from_index(index: Column) -> Column:
 
 
 def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, index): word to positions per document."""
-    w = docs.select(id_col, F.posexplode_outer(F.array_remove(F.split(tx.collapse(F.col(text)), " "), "")).alias("p", "w")).where("w is not null")
-    g = w.groupBy(id_col, "w").agg(F.collect_list("p").alias("ps"))
-    return g.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    """The other columns and ``index``, word to positions: made where the text is read, no word leaves its row. A null text has none."""
+    keep = [c for c in docs.columns if c not in (text, id_col)]
+    schema = T.StructType([*(docs.schema[c] for c in (id_col, *keep)), T.StructField("index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, words, ends, places = [], [], [0], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                found: dict[str, list[int]] = {}
+                for i, w in enumerate(t.split(" ") if t else ()):
+                    found.setdefault(w, []).append(i)
+                starts.append(None if t is None else len(words))
+                words.extend(found)
+                for at in found.values():
+                    places.extend(at)
+                    ends.append(len(places))
+            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            maps = pa.MapArray.from_arrays(pa.array([*starts, len(words)], pa.int32()), pa.array(words, pa.string()), at)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], maps], names=schema.names)
+
+    return docs.select(id_col, *keep, tx.collapse(F.col(text)).alias("_words")).mapInArrow(index, schema)
 
 
 def doi_from_url(url: Column) -> Column:

@@ -15,7 +15,7 @@ def _docs(spark, d):
 
 @query("p01_abstract_from_index", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as abstract from documents")
 def _(spark, d):
-    idx = papers.inverted_index(_docs(spark, d), "doc_id", "text")
+    idx = papers.inverted_index(_docs(spark, d).select("doc_id", "text"), "doc_id", "text")
     return idx.select("doc_id", papers.abstract_from_index(F.col("index")).alias("abstract"))
 
 

@@ -149,7 +149,7 @@ def _(spark, d):
     t = _docs(spark, d)
     s = F.col("doc_id").cast("string")
     author = lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))
-    j = papers.inverted_index(t, "doc_id", "text").join(t, "doc_id", "right").select("doc_id", F.to_json(F.struct(
+    j = papers.inverted_index(t, "doc_id", "text").select("doc_id", F.to_json(F.struct(
         F.concat(F.lit(" T "), s).alias("title"), F.col("index").alias("abstract_inverted_index"), F.concat(F.lit("20"), (10 + F.col("doc_id") % 10).cast("string")).alias("publication_year"),
         F.col("n_chars").alias("cited_by_count"), F.concat(F.lit("http://x/"), s).alias("id"), F.array(author(F.concat(F.lit("A "), F.col("lang"))), author(F.lit("")), author(F.lit("B"))).alias("authorships"),
         F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"))).alias("payload"))
