@@ -21,7 +21,9 @@ from corpusflow.functions.skew import top_k
 
 DIGITS = 9
 MAX_ENTRIES = 8_000_000  # query terms of a batch that is sent to every task
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 500_000  # of a document term and a query term in the working arrays
+ROWS_AT_ONCE = 1_000  # documents of a batch that are worked on together
+KNOWN_WORDS = 100_000  # of which a task remembers the terms
 
 
 class Best:
@@ -53,6 +55,13 @@ def ids_of(column) -> np.ndarray:
     return a.astype(str) if a.dtype == object else a
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS_AT_ONCE``, so that what a worker makes of a batch stays small however long the texts are."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[str], list[str]], pieces: Callable[[str], list[str]]) -> DataFrame:
     """(id, dl, terms, tfs) of whole texts; row-local, nothing is shuffled.
 
@@ -62,15 +71,15 @@ def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for b in batches:
+        for b in _small(batches):
             terms, tfs, ends, dl = [], [], [0], []
-            if len(known) > 1_000_000:
-                known.clear()
             for text in b.column(1).to_pylist():
                 c: dict[str, int] = {}
                 for word, n in Counter(words(text)).items() if text else ():
                     found = known.get(word)
                     if found is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         found = known[word] = pieces(word)
                     for term in found:
                         c[term] = c.get(term, 0) + n
@@ -175,8 +184,8 @@ def sparse_top_k(vectors: DataFrame, entries: DataFrame, k: int, jaccard: bool =
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries = shared.value
             best = Best(len(queries[5]), k)
-            for b in batches:
-                if b.num_rows and best.n:
+            for b in _small(batches):
+                if best.n:
                     _score(queries, best, ids_of(b.column(0).to_numpy(zero_copy_only=False)), b.column(1).to_numpy(), b.column(2),
                            b.column(3).flatten().to_numpy(), jaccard)
             yield _table(best, queries, types)
