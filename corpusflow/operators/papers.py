@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import first_per_key, in_slices, running, top_k
+from corpusflow.operators.sparse import small_batches
 
 
 def abstract_from_index(index: Column) -> Column:
@@ -27,7 +28,7 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in (id_col, *keep)), T.StructField("index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             starts, words, ends, places = [], [], [0], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 found: dict[str, list[int]] = {}

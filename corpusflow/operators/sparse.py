@@ -55,7 +55,7 @@ def ids_of(column) -> np.ndarray:
     return a.astype(str) if a.dtype == object else a
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``ROWS_AT_ONCE``, so that what a worker makes of a batch stays small however long the texts are."""
     for b in batches:
         for at in range(0, b.num_rows, ROWS_AT_ONCE):
@@ -71,7 +71,7 @@ def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for b in _small(batches):
+        for b in small_batches(batches):
             terms, tfs, ends, dl = [], [], [0], []
             for text in b.column(1).to_pylist():
                 c: dict[str, int] = {}
@@ -184,7 +184,7 @@ def sparse_top_k(vectors: DataFrame, entries: DataFrame, k: int, jaccard: bool =
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries = shared.value
             best = Best(len(queries[5]), k)
-            for b in _small(batches):
+            for b in small_batches(batches):
                 if best.n:
                     _score(queries, best, ids_of(b.column(0).to_numpy(zero_copy_only=False)), b.column(1).to_numpy(), b.column(2),
                            b.column(3).flatten().to_numpy(), jaccard)

@@ -11,7 +11,7 @@ from corpusflow.operators import sparse
 
 def test_batches_are_cut(spark, monkeypatch):
     b = pa.RecordBatch.from_pydict({"i": list(range(2 * sparse.ROWS_AT_ONCE + 1))})
-    small = list(sparse._small([b, b.slice(0, 0)]))
+    small = list(sparse.small_batches([b, b.slice(0, 0)]))
     assert [x.num_rows for x in small] == [sparse.ROWS_AT_ONCE, sparse.ROWS_AT_ONCE, 1] and pa.Table.from_batches(small).to_batches()[0].schema == b.schema
     assert pa.Table.from_batches(small)["i"].to_pylist() == list(range(b.num_rows))
     docs = spark.createDataFrame([(i, f"red word{i} blue word{i % 3} red") for i in range(20)], "id long, text string")
