@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 from corpusflow.functions import text as tx
 from corpusflow.functions.skew import running
-from corpusflow.session import materialize
+from corpusflow.session import materialize, work_dir
 
 MANIFEST_KEY = ["path", "size", "mtime_ns"]
+GONE_BITS = 1 << 26  # of the bitmap of replaced sources
 
 
 def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -64,24 +65,62 @@ def _is_table(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_replacing(new: DataFrame, path: str, source: str = "_source", buckets: int = 256) -> None:
+def _bucket(source: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
+
+
+def dealt(rows: DataFrame, source: str, buckets: int = 256) -> DataFrame:
+    """The rows in the buckets of their sources, in the shared folder.
+
+    A bucket's rows are read together, so what is made of them row by row goes to :func:`write_replacing` as ``placed``, without a shuffle of its own.
+    """
+    path = work_dir(rows.sparkSession, "dealt")
+    out = rows.withColumn("_source_bucket", _bucket(source, buckets)).hint("rebalance", F.col("_source_bucket"))
+    out.write.option("compression", "zstd").partitionBy("_source_bucket").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def without_sources(rows: DataFrame, gone: DataFrame, source: str) -> DataFrame:
+    """The rows whose ``source`` isn't in ``gone`` (one column of that name), exact and without a shuffle of rows.
+
+    A bitmap of fixed size (8 MB at most) goes to the scan. Rows that it doesn't hold stay; of the others only the distinct names are
+    compared, and those that share no more than a place in the bitmap, about one of ``GONE_BITS`` over the number of gone names, are joined back.
+    """
+    def placed(t: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64(source), F.lit(GONE_BITS)) + 1
+        return t.withColumns({"_part": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)})
+
+    bits = materialize(placed(gone).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "gone")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.col("_bit").cast("int").bitwiseAND(7)) == 1, F.lit(False))
+    seen = placed(rows).join(F.broadcast(bits), "_part", "left").withColumn("_there", there).select(*rows.columns, "_there")
+    perhaps = seen.where("_there").drop("_there")
+    same = lambda t: F.col(source).eqNullSafe(t["_name"])
+    names = gone.select(F.col(source).alias("_name"))
+    staying = perhaps.select(source).distinct().join(names, same(names), "left_anti")
+    staying = materialize(staying.select(F.col(source).alias("_name")), "staying")
+    return seen.where("not _there").drop("_there").unionByName(perhaps.join(staying, same(staying), "left_semi"))
+
+
+def write_replacing(new: DataFrame, path: str, source: str = "_source", buckets: int = 256, placed: bool = False) -> None:
     """Replace by source (a file, a document) on disk: only the hash buckets of touched sources are rewritten.
 
     The touched buckets are written beside the table and swapped by dynamic partition overwrite, so they can be read while
     they are written: a batch is written once for itself and once in its buckets, the first batch of a table only there.
-    Writers are dealt by size: a bucket with much data has several, small buckets share one.
+    Writers are dealt by size: a bucket with much data has several, small buckets share one. Rows made in place from those of :func:`dealt`
+    with the same ``buckets`` are ``placed``: they and the stored rows are written by the tasks that read them, no row is shuffled.
     """
     spark = new.sparkSession
-    add = new.withColumn("_source_bucket", F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int"))
+    add = new.withColumn("_source_bucket", _bucket(source, buckets))
     if _is_table(spark, path):
         add = materialize(add, "replace")
         old = spark.read.parquet(path)
-        touched = add.select("_source_bucket").distinct()
-        kept = old.join(touched, "_source_bucket", "left_semi")
-        gone = add.select(F.col(source).alias("_gone")).distinct()
-        kept = kept.join(gone, F.col(source).eqNullSafe(F.col("_gone")), "left_anti")
+        touched = add.select("_source_bucket").distinct()  # no more rows than there are buckets
+        kept = old.join(F.broadcast(touched), "_source_bucket", "left_semi")
+        kept = without_sources(kept, add.select(source).distinct(), source)
         add = kept.unionByName(add, allowMissingColumns=True)
-    (add.hint("rebalance", F.col("_source_bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = add if placed else add.hint("rebalance", F.col("_source_bucket"))
+    (rows.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_source_bucket").parquet(path))
 
 

@@ -9,7 +9,7 @@ from corpusflow.operators import chunking, ingest
 from corpusflow.plans import fixtures as fx
 from corpusflow.plans import sqlkit as sq
 from corpusflow.plans.registry import query, table, texts
-from corpusflow.session import materialize, work_dir
+from corpusflow.session import work_dir
 
 LISTING = """listing as (select source || '/doc' || doc_id || '.md' as path, n_chars as size, (1704067200 + doc_id) * 1000000000 as mtime_ns from documents),
 manifest as (select path, case when size % 7 = 0 then size + 1 else size end as size, mtime_ns, timestamp '2024-01-01' as indexed_at
@@ -140,15 +140,16 @@ select doc_id, sections, under_h1, true as parents_there, true as leaves_apart,
 def _(spark, d):
     """Sections to three-level chunks, parents and leaves stored apart, then a third of the documents written once more."""
     def parts(rows):
-        named = rows.withColumns({"filename": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")), "page_number": F.col("section")})
-        return chunking.three_levels(named, "filename")
+        return chunking.three_levels(rows.withColumn("page_number", F.col("section")), "filename")
 
-    sections = materialize(_sections(spark, d), "sections")
+    # sections are dealt once, their chunks are made and stored where they are read
+    named = _sections(spark, d).withColumn("filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")))
+    sections = ingest.dealt(named, "filename", 16)
     stores = {}
     for name, rule in (("leaves", "chunk_level = 3"), ("parents", "chunk_level < 3")):
         stores[name] = work_dir(spark, name)
-        ingest.write_replacing(parts(sections).where(rule).withColumn("v", F.lit(1)), stores[name], "filename", 16)
-        ingest.write_replacing(parts(sections.where("doc_id % 3 = 0")).where(rule).withColumn("v", F.lit(2)), stores[name], "filename", 16)
+        ingest.write_replacing(parts(sections).where(rule).withColumn("v", F.lit(1)), stores[name], "filename", 16, placed=True)
+        ingest.write_replacing(parts(sections.where("doc_id % 3 = 0")).where(rule).withColumn("v", F.lit(2)), stores[name], "filename", 16, placed=True)
     leaves, parents = (spark.read.parquet(stores[n]) for n in ("leaves", "parents"))
     up = parents.select(F.col("chunk_id").alias("parent_chunk_id"), F.lit(True).alias("there"))
     per = leaves.join(up, "parent_chunk_id", "left").groupBy("doc_id").agg(
