@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,19 @@ def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield b.slice(at, ROWS_AT_ONCE)
 
 
+class Known(dict):
+    """The terms of the words that a task has met, at most ``KNOWN_WORDS`` of them."""
+
+    def __init__(self, pieces: Callable[[str], list[str]]):
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = self.pieces(word)
+        return found
+
+
 def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[str], list[str]], pieces: Callable[[str], list[str]]) -> DataFrame:
     """(id, dl, terms, tfs) of whole texts; row-local, nothing is shuffled.
 
@@ -70,19 +84,11 @@ def term_vectors(docs: DataFrame, id_col: str, text_col: str, words: Callable[[s
     t = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        known = Known(pieces)
         for b in small_batches(batches):
             terms, tfs, ends, dl = [], [], [0], []
             for text in b.column(1).to_pylist():
-                c: dict[str, int] = {}
-                for word, n in Counter(words(text)).items() if text else ():
-                    found = known.get(word)
-                    if found is None:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        found = known[word] = pieces(word)
-                    for term in found:
-                        c[term] = c.get(term, 0) + n
+                c = Counter(chain.from_iterable(map(known.__getitem__, words(text)))) if text else {}
                 terms.extend(c)
                 tfs.extend(c.values())
                 ends.append(len(terms))

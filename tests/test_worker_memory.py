@@ -35,3 +35,13 @@ def test_working_arrays_are_bounded():
     tracemalloc.stop()
     assert best.i.tolist() == [n_docs - 1, n_docs - 2, n_docs - 3] * n_queries
     assert peak < 80e6
+
+
+def test_words_are_taken_apart_once(monkeypatch):
+    asked = []
+    known = sparse.Known(lambda w: asked.append(w) or tx.index_pieces(w))
+    words = "the red_-x red a.b 1 a 机器学习v2 red the é".split()
+    assert [known[w] for w in words] == [[], ["red_x"], ["red"], ["a.b"], ["1"], [], ["机器", "器学", "学习", "v2"], ["red"], [], []]
+    assert len(asked) == len(set(words))
+    monkeypatch.setattr(sparse, "KNOWN_WORDS", 4)
+    assert all(known[f"w{i}"] == [f"w{i}"] and len(known) <= 8 for i in range(20)) and len(known) <= 4
