@@ -34,7 +34,7 @@ def _candidates(spark, d):
     notes = table(spark, d, "conversations").where("role = 'system'").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.lit("sys").alias("title"), F.col("text").alias("content"), F.lit(0.5).alias("importance"))
     # the first root chunk of each hit, and what earlier answers left as memories
-    roots = fx.tree(spark, d).where("chunk_level = 1 and endswith(chunk_id, '::l1::0')").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    roots = fx.roots(spark, d).where("endswith(chunk_id, '::l1::0')").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     up = hits.join(roots, "chunk_id").withColumnRenamed("rank", "pos")
     memories = table(spark, d, "conversations").where("role = 'assistant' and turn % 4 = 1").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.lit("project").alias("kind"), tx.first_line(F.col("text")).alias("title"), F.col("text").alias("content"),

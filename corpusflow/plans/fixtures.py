@@ -54,16 +54,24 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     names = ["doc_id", "source", "chunk_id", "parent_chunk_id", "text"]
     out = _chunks(spark, d).select(*names, F.lit(3).alias("chunk_level"))
+    return out.unionByName(_upper(spark, d, 2)).unionByName(_upper(spark, d, 1))
+
+
+def _upper(spark: SparkSession, d: str, level: int) -> DataFrame:
+    leaves = {2: 2, 1: 4}[level]
     docs = texts(spark, d).where(F.length("text") > 0).select("doc_id", "source", "text")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - 500) / 440)).cast("int")
-    for level, leaves in ((2, 2), (1, 4)):
-        rows = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor(last / leaves).cast("int"))).alias("i"))
-        parent = chunking.chunk_id(name, F.lit(0), 1, F.floor(F.col("i") / 2)) if level == 2 else F.lit("")
-        text_ = F.substring(F.col("text"), F.col("i") * (440 * leaves) + 1, F.lit(440 * leaves + 60))
-        out = out.unionByName(rows.select("doc_id", "source", chunking.chunk_id(name, F.lit(0), level, F.col("i")).alias("chunk_id"), parent.alias("parent_chunk_id"),
-                                          text_.alias("text"), F.lit(level).alias("chunk_level")))
-    return out
+    rows = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor(last / leaves).cast("int"))).alias("i"))
+    parent = chunking.chunk_id(name, F.lit(0), 1, F.floor(F.col("i") / 2)) if level == 2 else F.lit("")
+    text_ = F.substring(F.col("text"), F.col("i") * (440 * leaves) + 1, F.lit(440 * leaves + 60))
+    return rows.select("doc_id", "source", chunking.chunk_id(name, F.lit(0), level, F.col("i")).alias("chunk_id"), parent.alias("parent_chunk_id"),
+                       text_.alias("text"), F.lit(level).alias("chunk_level"))
+
+
+def roots(spark: SparkSession, d: str) -> DataFrame:
+    """The root chunks of :func:`tree`, made in place: who needs no more than them doesn't have to store the other levels."""
+    return _upper(spark, d, 1)
 
 
 def tree_index(spark: SparkSession, d: str) -> LexicalIndex:
