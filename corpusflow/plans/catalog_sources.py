@@ -414,13 +414,16 @@ DECIDED = "epoch_us(ts) // 1000 < (select max(epoch_us(ts)) // 1000 - 864000000
 
 
 def _arriving_late(spark, df, label):
-    """The rows (with ``ts``) as files that arrive one after the other, every row up to five days after its time."""
-    path = work_dir(spark, label)
+    """The rows (with ``ts``) as files that arrive one after the other, every row up to five days after its time.
+
+    The number of batches follows the time they span, not the rows or the splits of the table.
+    """
+    path, files = work_dir(spark, label), spark.sparkContext.defaultParallelism
     days = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000 + F.pmod(F.xxhash64(*df.columns), F.lit(5))
     parts = df.withColumn("_part", F.floor(days / 5))
     for (n,) in sorted(parts.select("_part").distinct().collect()):  # one for each five days
-        parts.where(F.col("_part") == n).drop("_part").write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, "*.parquet", df.schema, 3)
+        parts.where(F.col("_part") == n).drop("_part").repartition(files).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, "*.parquet", df.schema, 3 * files)
 
 
 @query("w02_answer_rows", f"""with ev as (select *, timestamp '2024-01-01' + to_hours(conv_id * 37 % 720) + to_minutes(turn) as ts from conversations),

@@ -66,3 +66,20 @@ def test_empty_stream(spark):
     out = state.spaced_rows(stream, ["k"], timedelta(hours=1), timedelta(hours=1))
     target = work_dir(spark, "none")
     jobs.append_updates(out, target, work_dir(spark, "none-checkpoint"), "append")
+
+
+def test_state_is_read_and_written_by_buckets(spark):
+    rows = [(k, t) for k in range(300) for t in _hours(0, 7, 40)]
+    stream = _files(spark, [rows[:500], rows[500:]], "k long, ts timestamp")
+    out = state.spaced_rows(stream, ["k"], timedelta(hours=4), timedelta(hours=48), buckets=8)
+    q = out.writeStream.format("noop").option("checkpointLocation", work_dir(spark, "few")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 80  # not rows for each of 300 keys
+
+
+def test_odd_keys(spark):
+    schema = "a double, b binary, c struct<x: int, y: array<string>>, ts timestamp"
+    keys = [(float("nan"), bytearray(b"1"), (1, ["p"])), (0.0, bytearray(b"2"), (None, None)), (None, None, None)]
+    rows = [(*k, t) for k in keys for t in _hours(0, 3, 9)] + [(-0.0, *keys[1][1:], DAY + timedelta(hours=1)), (1.0, None, None, DAY + timedelta(hours=60))]
+    out = jobs.run_to_table(state.spaced_rows(_files(spark, [rows[:6], rows[6:]], schema), ["a", "b", "c"], timedelta(hours=4), timedelta(hours=20), buckets=1), "odd", mode="append")
+    assert sorted(r.n for r in out.where("late is null").groupBy("a", "b", "c").agg(F.count("*").alias("n")).collect()) == [2, 2, 2]
