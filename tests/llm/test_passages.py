@@ -1,13 +1,17 @@
 """Passage removal: the automaton and the whole operator against brute force, many small shards, odd documents, the query against its twin."""
 
+import glob
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusflow.llm import catalog_llm, passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,3 +100,32 @@ def test_twin(spark, sf):
     got = catalog_llm.QUERIES[name](spark, sf)
     want = con.execute(f"select {', '.join(got.columns)} from ({catalog_llm.ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_hashes_of_words():
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcé"), int(n))) for n in rng.integers(1, 200, 3000)] + ["a", "a" * 8, "a" * 9, "a" * 64, "a" * 65, "a" * 64 + "b"]
+    h = passages.hashed(pa.array(["x", *words])[1:])
+    assert (h == passages.hashed(pa.array(words[::-1]))[::-1]).all()
+    assert len(np.unique(h)) == len(set(words))
+    texts = pa.array([" a\tb ", None, "", "c  a"])
+    got, counts = passages.words_in(texts)
+    assert passages.joined(got, counts).to_pylist() == ["a b", "", "", "c a"]
+
+
+def test_passing_data_is_left_out_or_removed(spark, monkeypatch):
+    """No automata in tables, and no shuffle that outlives the table it made."""
+    kept, labels = passages.stored, []
+    monkeypatch.setattr(passages, "stored", lambda df, label, *by: labels.append(label) or kept(df, label, *by))
+    assert passages.without_repeats(spark.createDataFrame(made_up(), "doc_id long, text string"), "doc_id", "text").count() == 209
+    assert "passage-documents" in labels and "passage-automata" not in labels
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    table = kept(spark.range(1000).groupBy((F.col("id") % 97).alias("k")).agg(F.count("*").alias("c")), "few")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 97
