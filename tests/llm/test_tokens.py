@@ -29,6 +29,46 @@ def test_ids_are_the_librarys(path, words):
                 assert ids[e - n:e].tolist() == load(path).encode(t, add_special_tokens=False).ids, t[:50]
 
 
+@pytest.mark.parametrize("path, words", [(BYTE, False), (WORD, True)])
+def test_words_go_to_the_library_alone(path, words):
+    """A call to the library holds the words and nothing between them that it would have to encode, too."""
+    made, sent = Encoder(path, words), []
+
+    class Library:
+        def encode_batch_fast(self, texts, bare=made.bare):
+            sent.extend(w for t in texts for w in t.split(" "))
+            return bare.encode_batch_fast(texts)
+
+    made.bare = Library()
+    texts = [t or "" for t in ODD] + HARD
+    ids, lens = made.ids(pa.array(texts, pa.string()))
+    want = [load(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for each in want for i in each] and lens.tolist() == [len(x) for x in want]
+    assert len(sent) == len(set(sent)) == len(made.word_memory.known)
+    made.spelled = np.zeros_like(made.spelled)  # as for a vocabulary that doesn't spell its words: each is encoded alone
+    some = list(made.word_memory.known)
+    assert [x.tolist() for x in made.encode_words(some)] == [x.tolist() for x in Encoder(path, words).encode_words(some)]
+    assert [len(x) for x in made.encode_words([])] == [0, 0]
+
+
+@pytest.mark.parametrize("path, words", [(BYTE, False), (WORD, True)])
+def test_common_words_stay_in_a_full_memory(path, words):
+    """Texts of 100 common words and 50 rare ones: what's full forgets rare ones, and the common ones are learned once."""
+    letters = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    common = ["c" + letters(i) for i in range(100)]
+    made, asked = Encoder(path, words, 400, 400), []
+    learn = made.encode_words
+    made.word_memory.learn = lambda keys: asked.extend(keys) or learn(keys)
+    for n in range(60):
+        text = " ".join([f"{c} r{letters(50 * n + i)}" if i < 50 else c for i, c in enumerate(common)])
+        ids, lens = made.ids(pa.array([text]))
+        assert ids.tolist() == load(path).encode(text, add_special_tokens=False).ids and lens.tolist() == [len(ids)]
+        assert max(len(made.memory.known), len(made.word_memory.known)) <= 400
+        for memory in (made.memory, made.word_memory):
+            assert len(memory.known) == len(memory.lens) and memory.lens.sum() == len(memory.flat)
+    assert len(asked) <= 60 * 50 + 100 + 1  # the first word of a byte-level text is another one
+
+
 def test_round_trip_of_pair_index(odd, empty):
     got = bpe.round_trip(odd, "doc_id", "text", WORD, with_ids=True).collect()
     assert len(got) == odd.count()
